@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -15,25 +16,28 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
 from murmurlens.config import VIETNAMESE, TextConfig
+from murmurlens.functions.common import let
 
 # Ship the Python helpers by value: executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # ---- fixed values: cleaning patterns ---------------------------------------
-WORD = r"\p{L}\p{N}_"
-WIDE_SPACES = (
-    r"[\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-)
-URL = r"(?i)https?://\S+|www\.\S+"
-EMAIL = r"\S+@\S+\.\S+"
-PHONE = r"(\+84|0)\p{Nd}{9,10}"
-EMOJI = (
-    r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}"
-    r"\x{1F1E0}-\x{1F1FF}\x{2702}-\x{27B0}\x{24C2}-\x{1F251}]+"
+#: Letters, digits and underscore.  ASCII first: the matcher tests those cheaply.
+WORD = r"a-z0-9_\p{L}\p{N}"
+#: White space beyond ASCII, and everything that is no white space at all.
+WIDE_SPACES = r"\x1C-\x1F\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+NON_SPACE = rf"[^\s{WIDE_SPACES}]"
+URL = rf"(?i)https?://{NON_SPACE}+|www\.{NON_SPACE}+"
+EMAIL = rf"(?<!{NON_SPACE}){NON_SPACE}+@{NON_SPACE}+\.{NON_SPACE}+"
+PHONE = r"(?:\+84|0)\p{Nd}{9,10}"
+EMOJI_RANGES = (
+    r"\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}"
+    r"\x{1F1E0}-\x{1F1FF}\x{2702}-\x{27B0}\x{24C2}-\x{1F251}"
 )
+EMOJI = f"[{EMOJI_RANGES}]+"
 REPEAT = r"([^\n])\1{3,}"
-SPECIAL = rf"[^{WORD}\s.,!?\-]"
+PUNCTUATION = r".,!?\-"
+SPECIAL = rf"[^{WORD}\s{PUNCTUATION}]"
 # ---- end of fixed values ---------------------------------------------------
 
 #: Characters that Python's ``str.strip`` removes.
@@ -48,25 +52,31 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(STRIP_CHARS))
 
 
-def plain_spaces(text: Column) -> Column:
-    """Turn Unicode white space into ASCII blanks so that ``\\s`` sees it."""
-    return F.regexp_replace(text, WIDE_SPACES, " ")
+def split_spaces(text: Column) -> Column:
+    """Split at Unicode white space, as Python's ``str.split`` does."""
+    return F.split(text, rf"[\s{WIDE_SPACES}]+")
 
 
 def expand_abbreviations(text: Column, config: TextConfig = VIETNAMESE) -> Column:
     """Lower-case and spell out whole-word abbreviations.
 
-    One pass tests whether any abbreviation occurs at all; only texts that hold
-    one pay for the replacement chain.
+    One pass tests whether any abbreviation occurs.  A text that holds one is
+    cut into word and non-word pieces and looked up piece by piece, so the cost
+    does not depend on how many abbreviations there are.
     """
-    lowered = F.lower(text)
-    if not config.abbreviations:
-        return lowered
-    any_key = "|".join(config.abbreviations)
-    expanded = lowered
-    for key, expansion in config.abbreviations.items():
-        expanded = F.regexp_replace(expanded, rf"(?<![{WORD}]){key}(?![{WORD}])", expansion)
-    return F.when(lowered.rlike(rf"(?<![{WORD}])(?:{any_key})(?![{WORD}])"), expanded).otherwise(lowered)
+    table = config.abbreviations
+    if not table:
+        return F.lower(text)
+    initials = "".join(sorted({key[0] for key in table}))
+    present = rf"(?=[{initials}])(?<![{WORD}])(?:{'|'.join(table)})(?![{WORD}])"
+    expansion = F.create_map(*[F.lit(v) for item in table.items() for v in item])
+
+    def expand(lowered: Column) -> Column:
+        pieces = F.regexp_extract_all(lowered, F.lit(rf"([{WORD}]+|[^{WORD}]+)"), F.lit(1))
+        spelled = F.transform(pieces, lambda p: F.when(p.isin(*table), expansion[p]).otherwise(p))
+        return F.when(lowered.rlike(present), F.array_join(spelled, "")).otherwise(lowered)
+
+    return let(F.lower(text), expand)
 
 
 def drop_urls(text: Column) -> Column:
@@ -74,6 +84,7 @@ def drop_urls(text: Column) -> Column:
 
 
 def drop_emails(text: Column) -> Column:
+    """The rule always takes a whole run of non-blanks, so it is tried once per run."""
     return F.regexp_replace(text, EMAIL, " ")
 
 
@@ -81,6 +92,17 @@ def drop_phones(text: Column) -> Column:
     return F.regexp_replace(text, PHONE, " ")
 
 
+def _where(text: Column, possible: Callable[[Column], Column], change: Callable[[Column], Column]) -> Column:
+    return let(text, lambda t: F.when(possible(t), change(t)).otherwise(t))
+
+
+def _drop_contacts(lowered: Column) -> Column:
+    """URLs, e-mails, phones; a substring test spares most texts each pattern."""
+    out = _where(lowered, lambda t: t.contains("http") | t.contains("www."), drop_urls)
+    out = _where(out, lambda t: t.contains("@"), drop_emails)
+    return _where(out, lambda t: t.contains("0") | t.contains("+84"), drop_phones)
+
+
 def drop_emoji(text: Column) -> Column:
     return F.regexp_replace(text, EMOJI, " ")
 
@@ -102,13 +124,13 @@ def clean_text(text: Column, keep_emoji: bool = False, config: TextConfig = VIET
     """The whole chain in its fixed order; null and blank give ``''``.
 
     Abbreviations expand before links go, and the result is always lower case.
-    Apply once: collapsing repeats can create a new abbreviation.
+    Apply once: collapsing repeats can create a new abbreviation.  Emoji,
+    special characters and white space end up as one blank whichever goes
+    first, so a single last pass takes all three.
     """
-    out = expand_abbreviations(plain_spaces(text), config)
-    out = drop_phones(drop_emails(drop_urls(out)))
-    if not keep_emoji:
-        out = drop_emoji(out)
-    out = collapse_spaces(drop_special(collapse_repeats(out)))
+    kept = rf"\p{{L}}\p{{N}}&&[^{EMOJI_RANGES}]" if not keep_emoji else r"\p{L}\p{N}"
+    out = collapse_repeats(_drop_contacts(expand_abbreviations(text, config)))
+    out = F.btrim(F.regexp_replace(out, rf"[^a-z0-9_{PUNCTUATION}[{kept}]]+", " "))
     return F.coalesce(out, F.lit(""))
 
 
@@ -123,5 +145,4 @@ def nfc(text: Column) -> Column:
 
 def comparison_form(text: Column) -> Column:
     """Light normalisation used to compare two comments."""
-    lowered = F.lower(plain_spaces(text))
-    return collapse_spaces(F.regexp_replace(lowered, rf"[^{WORD}\s]", " "))
+    return F.btrim(F.regexp_replace(F.lower(text), rf"[^{WORD}]+", " "))

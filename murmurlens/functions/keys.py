@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from murmurlens.config import CORPUS_LABEL_ALIASES
 from murmurlens.functions.cleaning import strip
+from murmurlens.functions.common import let
 
 
 def _field(df: DataFrame, name: str, trim: bool = True) -> Column:
@@ -69,20 +70,24 @@ POST_QUERY_KEYS = ("multi_permalinks", "story_fbid", "fbid")
 POST_PATHS = (r"/groups/[^/]+/(?:posts|permalink)/(\d+)", r"/posts/(\d+)")
 # ---- end of fixed values ---------------------------------------------------
 
-_REDIRECT_DEPTH = 3
+_REDIRECT_DEPTH = 2
+
+
+def _decoded(value: Column) -> Column:
+    return let(value, lambda v: F.coalesce(F.try_url_decode(v), v))
 
 
 def query_value(url: Column, key: str) -> Column:
     """First non-empty value of one query key, percent-decoded; ``''`` if absent."""
-    raw = F.regexp_extract(url, rf"^[^?#]*\?(?:[^#]*&)?{key}=([^&#]+)", 1)
-    return F.coalesce(F.try_url_decode(raw), raw)
+    return _decoded(F.regexp_extract(url, rf"^[^?#]*\?(?:[^#]*?&)?{key}=([^&#]+)", 1))
 
 
-def _id_in(url: Column, paths: tuple[str, ...], keys: tuple[str, ...]) -> Column:
+def _direct_id(url: Column, paths: tuple[str, ...], keys: tuple[str, ...]) -> Column:
+    """Id in the query or the path of a decoded link, null if there is none."""
     candidates = [F.regexp_extract(query_value(url, k), r"^(\d+)$", 1) for k in keys]
     path = F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
     candidates += [F.regexp_extract(path, p, 1) for p in paths]
-    return F.coalesce(*[F.nullif(c, F.lit("")) for c in candidates], F.lit(""))
+    return F.coalesce(*[F.nullif(c, F.lit("")) for c in candidates])
 
 
 def post_id_of_url(
@@ -93,11 +98,17 @@ def post_id_of_url(
     """Post id in a link; a ``u=`` redirect target is looked at first.
 
     Redirects are unrolled to a fixed depth, which keeps the whole rule one
-    column expression.
+    column expression; each level is bound once.
     """
-    levels = [F.coalesce(F.try_url_decode(url), url)]
-    for _ in range(_REDIRECT_DEPTH):
-        target = query_value(levels[-1], "u")
-        levels.append(F.coalesce(F.try_url_decode(target), target))
-    ids = [F.nullif(_id_in(level, paths, keys), F.lit("")) for level in reversed(levels)]
-    return F.coalesce(*ids, F.lit(""))
+
+    def resolve(link: Column, depth: int) -> Column:
+        def here(decoded: Column) -> Column:
+            own = _direct_id(decoded, paths, keys)
+            if depth == 0:
+                return own
+            target = query_value(decoded, "u")
+            return F.coalesce(resolve(target, depth - 1), own)
+
+        return let(_decoded(link), here)
+
+    return F.coalesce(resolve(url, _REDIRECT_DEPTH), F.lit(""))

@@ -8,6 +8,7 @@ from murmurlens.config import (
     BOT_AUTHORS, DELETED_BODIES, LABELS, QUOTA_MARKERS, TOXIC_LABELS, VIETNAMESE, TextConfig,
 )
 from murmurlens.functions.cleaning import strip
+from murmurlens.functions.common import let
 
 #: Characters for which Python's ``str.isdigit`` holds beyond decimal digits.
 _DIGITS = r"\p{Nd}\x{B2}\x{B3}\x{B9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}\x{2460}-\x{2468}"
@@ -44,15 +45,22 @@ def is_live_comment(body: Column, author: Column) -> Column:
 
 def looks_vietnamese(text: Column, config: TextConfig = VIETNAMESE) -> Column:
     """Diacritics and hint words decide; plain ASCII Vietnamese passes too."""
-    lowered = F.lower(strip(text))
-    letters = F.regexp_extract_all(lowered, F.lit(r"([a-zA-ZÀ-ỹĐđ]+)"), 1)
-    n = F.size(letters)
-    hits = F.size(F.filter(letters, lambda t: t.isin(*config.hint_words)))
-    accented = lowered.rlike(f"[{config.letters}]")
-    verdict = (
-        (accented & ((hits >= 1) | (n <= 4))) | (hits >= 2) | ((hits >= 1) & (hits * 4 >= n))
-    )
-    return F.coalesce((n > 0) & verdict, F.lit(False))
+
+    def verdict(t: Column) -> Column:
+        """``t`` has the lowered text, the number of words and the hint hits."""
+        accented = t["text"].rlike(f"[{config.letters}]")
+        n, hits = t["n"], t["hits"]
+        ok = (hits >= 2) | ((hits >= 1) & (hits * 4 >= n)) | (((hits >= 1) | (n <= 4)) & accented)
+        return F.coalesce((n > 0) & ok, F.lit(False))
+
+    def counted(lowered: Column) -> Column:
+        def counts(found: Column) -> Column:
+            hits = F.size(F.filter(found, lambda t: t.isin(*config.hint_words)))
+            return F.struct(lowered.alias("text"), F.size(found).alias("n"), hits.alias("hits"))
+
+        return let(F.regexp_extract_all(lowered, F.lit(r"([a-zA-ZÀ-ỹĐđ]+)"), F.lit(1)), counts)
+
+    return F.coalesce(let(let(F.lower(strip(text)), counted), verdict), F.lit(False))
 
 
 def is_quota_error(message: Column) -> Column:

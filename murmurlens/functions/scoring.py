@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, functions as F
 
 from murmurlens.config import LEVELS, VIETNAMESE, TextConfig
+from murmurlens.functions.common import let
 
 
 def _weight(term: Column, weights: Mapping[str, int]) -> Column:
@@ -45,7 +46,7 @@ def score_of_hits(hits: Column) -> Column:
 
 
 def toxic_score(tokens: Column, config: TextConfig = VIETNAMESE) -> Column:
-    return score_of_hits(lexicon_hits(tokens, config))
+    return let(tokens, lambda t: let(lexicon_hits(t, config), score_of_hits))
 
 
 def toxic_level(score: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, functions as F
 
 from murmurlens.config import VIETNAMESE, TextConfig
-from murmurlens.functions.cleaning import plain_spaces
+from murmurlens.functions.cleaning import split_spaces
 
 #: A tokenizer turns a text column into an ``array<string>`` column.  Pass one
 #: built on a pandas UDF to plug in a word segmenter.
@@ -16,24 +16,26 @@ Tokenizer = Callable[[Column], Column]
 
 def words(text: Column) -> Column:
     """White-space split without empty items."""
-    return F.filter(F.split(plain_spaces(text), r"\s+"), lambda t: t != "")
+    return F.filter(split_spaces(text), lambda t: t != "")
 
 
 def is_term(token: Column, config: TextConfig = VIETNAMESE) -> Column:
     """Token filter: two or more characters, has a letter, no stop word.
 
     An all-digit token fails the letter test, so it needs no rule of its own.
+    Most tokens start with a-z, which two byte comparisons find out.
     """
+    ascii_start = (token >= "a") & (token < "{")
     return (
         (F.char_length(token) >= 2)
-        & token.rlike(f"[a-z{config.letters}]")
         & ~token.isin(*config.stop_words)
+        & (ascii_start | token.rlike(f"[a-z{config.letters}]"))
     )
 
 
 def terms(text: Column, config: TextConfig = VIETNAMESE) -> Column:
     """Default tokenizer: lower case, split, :func:`is_term`."""
-    return F.filter(F.split(F.lower(plain_spaces(text)), r"\s+"), lambda t: is_term(t, config))
+    return F.filter(split_spaces(F.lower(text)), lambda t: is_term(t, config))
 
 
 def bigrams(tokens: Column) -> Column:

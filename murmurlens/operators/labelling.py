@@ -10,6 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from murmurlens.config import LABEL_ERROR, LABEL_INSTRUCTIONS, LABELS, VIETNAMESE, TextConfig
+from murmurlens.functions.common import let
 from murmurlens.functions.scoring import toxic_score
 from murmurlens.functions.tokens import terms
 from murmurlens.operators.dedup import number_batches
@@ -47,20 +48,20 @@ def reply_labels(reply: Column, size: Column) -> Column:
     """
     bare = F.regexp_replace(reply, "(?i)```(?:json)?", "")
     body = F.regexp_extract(bare, r"(?s)(\[.*\])", 1)
-    items = F.from_json(body, REPLY_TYPE, {"mode": "PERMISSIVE"})
-    whole = F.coalesce(
-        F.forall(items, lambda i: i.isNotNull() & i["id"].isNotNull() & i["label"].isNotNull()), F.lit(False)
-    )
-    ok = F.filter(items, lambda i: whole)
 
-    def label_at(pos: Column) -> Column:
-        named = F.filter(ok, lambda i: i["id"] == pos)
-        label = F.upper(F.try_element_at(named, F.lit(-1))["label"])
-        return F.when(label.isin(*LABELS), label).otherwise(F.lit(LABEL_ERROR))
+    def usable(items: Column) -> Column:
+        whole = F.forall(items, lambda i: i.isNotNull() & i["id"].isNotNull() & i["label"].isNotNull())
+        return F.when(whole, items)
+
+    def labels(items: Column) -> Column:
+        def at(pos: Column) -> Column:
+            label = F.upper(F.try_element_at(F.filter(items, lambda i: i["id"] == pos), F.lit(-1))["label"])
+            return F.when(label.isin(*LABELS), label).otherwise(F.lit(LABEL_ERROR))
 
-    return F.when(
-        size > 0, F.transform(F.sequence(F.lit(0), size - 1), lambda p: label_at(p.cast("int")))
-    ).otherwise(F.array().cast("array<string>"))
+        return F.transform(F.sequence(F.lit(0), size - 1), lambda p: at(p.cast("int")))
+
+    items = let(F.from_json(body, REPLY_TYPE, {"mode": "PERMISSIVE"}), usable)
+    return F.when(size > 0, let(items, labels)).otherwise(F.array().cast("array<string>"))
 
 
 def parse_replies(replies: DataFrame, reply_col: str = "reply", size_col: str = "size") -> DataFrame:
@@ -82,8 +83,10 @@ def with_provenance(df: DataFrame, labelled_by: str, error: Column | None = None
 
 def lexicon_label(text: Column, config: TextConfig = VIETNAMESE) -> Column:
     """Built-in deterministic labels: no hit is clean, from 50 on it is hate."""
-    score = toxic_score(terms(text, config), config)
-    return F.when(score == 0, LABELS[0]).when(score < 50, LABELS[1]).otherwise(LABELS[2])
+    return let(
+        toxic_score(terms(text, config), config),
+        lambda score: F.when(score == 0, LABELS[0]).when(score < 50, LABELS[1]).otherwise(LABELS[2]),
+    )
 
 
 def apply_labeller(df: DataFrame, labeller: Labeller, labelled_by: str, size: int = 25,

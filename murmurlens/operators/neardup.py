@@ -33,6 +33,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from murmurlens.functions.cleaning import comparison_form
+from murmurlens.functions.common import computed_once
 from murmurlens.functions.similarity import block_prefix, length_bucket, similar_pairs, token_set
 from murmurlens.operators.dedup import cap_per_group
 from murmurlens.session import materialise
@@ -55,7 +56,8 @@ def _group_text(group: Sequence[str]) -> list[Column]:
 def profile(df: DataFrame, text_col: str = "text", order: str = "seq", group: Sequence[str] = ()) -> DataFrame:
     """``id, block, prefix, bucket, tokens`` of every row with comparable text."""
     named = [g.alias(f"g{i}") for i, g in enumerate(_group_text(group))]
-    normal = df.select(F.col(order).alias("id"), *named, comparison_form(F.col(text_col)).alias("normal"))
+    source = df.select(F.col(order).alias("id"), *named, F.col(text_col).alias("raw"))
+    normal = computed_once(source, "normal", comparison_form(F.col("raw")))
     prefix = block_prefix(F.col("normal"))
     return normal.filter(F.col("normal") != "").select(
         "id",

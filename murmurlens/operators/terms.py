@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from murmurlens.config import LABELS, VIETNAMESE, TextConfig
-from murmurlens.functions.cleaning import plain_spaces
+from murmurlens.functions.cleaning import split_spaces
 from murmurlens.functions.predicates import is_toxic
 from murmurlens.functions.tokens import Tokenizer, is_term, ngrams, terms
 
@@ -25,7 +25,7 @@ def word_counts(df: DataFrame, config: TextConfig = VIETNAMESE, tokenizer: Token
     """
     labelled = df.filter(F.col("label").isNotNull())
     if tokenizer is None:
-        split = F.split(F.lower(plain_spaces(F.col("text"))), r"\s+")
+        split = split_spaces(F.lower(F.col("text")))
         words = labelled.select("label", F.explode(split).alias("word")).filter(is_term(F.col("word"), config))
     else:
         words = labelled.select("label", F.explode(tokenizer(F.col("text"))).alias("word"))
@@ -60,7 +60,7 @@ def ngram_counts(df: DataFrame, sizes: Sequence[int] = (2, 3), toxic_only: bool
     """``n, ngram, count`` for all sizes in one pass over the text."""
     rows = df.filter(is_toxic(F.col("label"))) if toxic_only else df
     make = tokenizer or (lambda text: terms(text, config))
-    tokens = rows.select(make(F.col("text")).alias("tokens")).filter(F.size("tokens") >= min(sizes))
+    tokens = rows.select(make(F.col("text")).alias("tokens"))
     grams = F.array(*[
         F.struct(F.lit(n).alias("n"), ngrams(F.col("tokens"), n).alias("grams")) for n in sizes
     ])

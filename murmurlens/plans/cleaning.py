@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from murmurlens.config import VIETNAMESE, TextConfig
 from murmurlens.functions.cleaning import clean_text, nfc
+from murmurlens.functions.common import computed_once
 from murmurlens.operators.dedup import drop_exact_duplicates
 from murmurlens.operators.neardup import drop_near_duplicates, kept_ids
 from murmurlens.session import materialise
@@ -29,7 +30,7 @@ def clean_comments(
     """Cleaned comments.  ``compose=True`` brings text to NFC first."""
     out = df.filter(F.col("text").isNotNull())
     text = nfc(F.col("text")) if compose else F.col("text")
-    out = out.withColumn("text", clean_text(text, keep_emoji, config))
+    out = computed_once(out, "text", clean_text(text, keep_emoji, config))
     out = out.filter(F.char_length("text") >= min_length)
     if drop_duplicates:
         out = drop_exact_duplicates(out, duplicate_subset)
@@ -46,9 +47,10 @@ def cleaning_audit(df: DataFrame, similarity_threshold: float = 0, min_length: i
     Duplicates are found by comparing each row to the first of its key, which
     is a pre-aggregated minimum, so that a flood of copies stays spread out.
     """
-    cleaned = df.select(
-        "seq", *[c for c in {*duplicate_subset, *similarity_group} - {"text"}],
-        F.col("text").isNull().alias("missing"), clean_text(F.col("text"), config=config).alias("text"),
+    keys = sorted({*duplicate_subset, *similarity_group} - {"text"})
+    cleaned = computed_once(
+        df.select("seq", *keys, "text", F.col("text").isNull().alias("missing")),
+        "text", clean_text(F.col("text"), config=config),
     )
     short = F.char_length("text") < min_length
     first = F.when(F.col("missing"), "null_text").when(short, "too_short")

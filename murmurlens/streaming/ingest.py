@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from murmurlens.config import VIETNAMESE, TextConfig
 from murmurlens.functions.cleaning import clean_text
+from murmurlens.functions.common import computed_once
 from murmurlens.functions.keys import with_record_key
 from murmurlens.operators.dedup import keep_last
 from murmurlens.operators.labelling import lexicon_label, with_provenance
@@ -18,7 +19,7 @@ def lexicon_step(labelled_by: str = "Lexicon", config: TextConfig = VIETNAMESE)
     """Label step that needs no service: the built-in lexicon labels."""
 
     def label(df: DataFrame) -> DataFrame:
-        return with_provenance(df.withColumn("label", lexicon_label(F.col("text"), config)), labelled_by)
+        return with_provenance(computed_once(df, "label", lexicon_label(F.col("text"), config)), labelled_by)
 
     return label
 
@@ -26,7 +27,7 @@ def lexicon_step(labelled_by: str = "Lexicon", config: TextConfig = VIETNAMESE)
 def prepare(comments: DataFrame, min_length: int = 5, config: TextConfig = VIETNAMESE) -> DataFrame:
     """Key first, on the raw text, then clean; works on batch and stream alike."""
     keyed = with_record_key(comments.filter(F.col("text").isNotNull()))
-    cleaned = keyed.withColumn("text", clean_text(F.col("text"), config=config))
+    cleaned = computed_once(keyed, "text", clean_text(F.col("text"), config=config))
     return cleaned.filter(F.char_length("text") >= min_length)
 
 

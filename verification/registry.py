@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from murmurlens.config import VIETNAMESE
 from murmurlens.functions.cleaning import STRIP_CHARS
+from murmurlens.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,8 +45,12 @@ LABEL_CASE = (
 )
 
 
+_TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df, _TEXT_TABLES[name]) if name in _TEXT_TABLES else df
 
 
 def comments(spark: SparkSession, sf: str, time: bool = False) -> DataFrame:
