@@ -232,7 +232,7 @@ def _settle(live: DataFrame, waiting: DataFrame | None) -> tuple[DataFrame, list
         if waiting is not None:
             kept = kept.join(waiting, "id", "left_anti")
         dropped = materialise(
-            live.join(kept, live["a"] == kept["id"], "left_semi").select(F.col("b").alias("id")).distinct(),
+            live.join(kept.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct(),
             "dropped",
         )
         if dropped.isEmpty():
@@ -259,7 +259,7 @@ def _dropped_nodes(nodes: DataFrame, threshold: float, frontier: int) -> DataFra
         head = cap_per_group(leads, ["k"], frontier + 1, ["id"])
         ranked = materialise(head.withColumn("rank", F.row_number().over(first)), "frontier")
         found = _edges(_pairs(ranked.filter(F.col("rank") <= frontier), todo), nodes, threshold)
-        live = materialise((found if live is None else live.union(found)).distinct(), "edges")
+        live = materialise((found if live is None else live.unionByName(found)).distinct(), "edges")
         rest = ranked.filter(F.col("rank") > frontier).select("k", F.col("id").alias("from_id"))
         last_round = rest.isEmpty()
         waiting = None
