@@ -54,8 +54,8 @@ def corpus_label(label: Column) -> Column:
 
 
 def hour_of_day(value: Column) -> Column:
-    """Hour as written in the value; what cannot be parsed gives null."""
-    return F.hour(F.try_to_timestamp(value))
+    """Hour as written, whatever the session or the written zone; unparsable gives null."""
+    return F.hour(value.try_cast("timestamp_ntz"))
 
 
 def epoch_to_iso(seconds: Column) -> Column:

@@ -76,12 +76,11 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
 
     Every row of the file is checked, as a Spark job over the raw lines.
     """
-    lines = spark.read.option("encoding", "ISO-8859-1").text(path)
-    utf16 = F.col("value").rlike(r"^(\x{FF}\x{FE}|\x{FE}\x{FF})")
-    raw = F.encode("value", "ISO-8859-1")
+    lines = spark.read.text(path)  # hands over the bytes of a line undecoded
+    head = F.substring(F.col("value").cast("binary"), 1, 2)
     verdict = lines.agg(
-        F.coalesce(F.bool_or(utf16), F.lit(False)).alias("wide"),
-        F.coalesce(F.bool_and(F.is_valid_utf8(raw.cast("string"))), F.lit(True)).alias("utf8"),
+        F.coalesce(F.bool_or(head.isin(bytearray(b"\xff\xfe"), bytearray(b"\xfe\xff"))), F.lit(False)).alias("wide"),
+        F.coalesce(F.bool_and(F.is_valid_utf8("value")), F.lit(True)).alias("utf8"),
     ).first()
     return "UTF-16" if verdict["wide"] else "UTF-8" if verdict["utf8"] else "ISO-8859-1"
 

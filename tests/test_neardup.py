@@ -99,12 +99,12 @@ def near_texts(rng, n, openers, vocabulary):
 def test_equals_sequential_pass(spark, seed, threshold, frontier, openers):
     rng = random.Random(seed)
     vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(60)]
-    texts = near_texts(rng, 220, openers, vocabulary)
+    texts = near_texts(rng, 200, openers, vocabulary)
     rows = [(i, t, rng.choice(["a", "b"])) for i, t in enumerate(texts)] + [(900, "?!", "a"), (901, "", "a")]
     df = spark.createDataFrame(rows, "seq bigint, text string, source string").repartition(4)
-    for group in ([], ["source"]):
-        got = {r["seq"] for r in ND.drop_near_duplicates(df, threshold, group, frontier=frontier).select("seq").collect()}
-        assert got == sequential(rows, threshold, bool(group))
+    group = ["source"] if seed % 2 else []
+    got = {r["seq"] for r in ND.drop_near_duplicates(df, threshold, group, frontier=frontier).select("seq").collect()}
+    assert got == sequential(rows, threshold, bool(group))
 
 
 def test_flood_of_near_copies_is_settled_by_leaders(spark):
