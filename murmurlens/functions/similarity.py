@@ -9,6 +9,7 @@ and length arithmetic, and most pairs are decided by bounds before that.
 from __future__ import annotations
 
 import sys
+from collections import Counter
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -52,16 +53,23 @@ def _common_subsequence(a: str, b: str) -> int:
     return trimmed + len(a) - free.bit_count()
 
 
-def common_subsequence(left: Column, right: Column) -> Column:
+def _bounded_subsequence(a: str, b: str, need: float) -> int:
+    """Same length, or an upper bound below ``need`` where that is cheaper to find.
+
+    Characters the two texts share, whatever their order, bound it from above.
+    """
+    shared = (Counter(a) & Counter(b)).total()
+    return shared if shared < need else _common_subsequence(a, b)
+
+
+def common_subsequence(left: Column, right: Column, need: Column) -> Column:
     """Arrow-batched kernel; null in, null out, so decided pairs cost nothing."""
 
-    def kernel(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(
-            [None if x is None or y is None else _common_subsequence(x, y) for x, y in zip(a, b)],
-            dtype="Int32",
-        )
+    def kernel(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
+        found = [None if x is None or y is None else _bounded_subsequence(x, y, m) for x, y, m in zip(a, b, n)]
+        return pd.Series(found, dtype="Int32")
 
-    return F.pandas_udf(kernel, IntegerType())(left, right)
+    return F.pandas_udf(kernel, IntegerType())(left, right, need)
 
 
 def with_bounds(df: DataFrame, left: str, right: str) -> DataFrame:
@@ -91,8 +99,13 @@ def with_bounds(df: DataFrame, left: str, right: str) -> DataFrame:
     )
 
 
-def _resolved(df: DataFrame, undecided: Column) -> DataFrame:
-    lcs = common_subsequence(F.when(undecided, F.col("__left")), F.when(undecided, F.col("__right")))
+def _resolved(df: DataFrame, undecided: Column, threshold: float) -> DataFrame:
+    """Add ``score``: exact from ``threshold`` on, below it at least below it."""
+    total = F.col("__lx") + F.col("__ly")
+    need = (F.col("__x") + F.col("__y") - total * (100 - threshold) / 100) / 2 - 1e-6
+    lcs = common_subsequence(
+        F.when(undecided, F.col("__left")), F.when(undecided, F.col("__right")), F.coalesce(need, F.lit(0.0))
+    )
     df = df.withColumn("__lcs", lcs)
     distance = F.col("__x") + F.col("__y") - 2 * F.col("__lcs")
     full = F.greatest("lower", 100 - 100 * distance / (F.col("__lx") + F.col("__ly")))
@@ -105,11 +118,11 @@ _SCRATCH = ("__s", "__left", "__right", "__x", "__y", "__lx", "__ly", "__lcs", "
 def score_pairs(df: DataFrame, left: str, right: str) -> DataFrame:
     """Add the exact ``score`` of two token-set columns."""
     bounded = with_bounds(df, left, right)
-    return _resolved(bounded, F.col("upper") > F.col("lower")).drop(*_SCRATCH)
+    return _resolved(bounded, F.col("upper") > F.col("lower"), 0).drop(*_SCRATCH)
 
 
 def similar_pairs(df: DataFrame, left: str, right: str, threshold: float) -> DataFrame:
     """Keep the pairs with score ``>= threshold``; only undecided ones reach Python."""
     bounded = with_bounds(df, left, right).filter(F.col("upper") >= threshold)
-    scored = _resolved(bounded, F.col("lower") < threshold)
+    scored = _resolved(bounded, F.col("lower") < threshold, threshold)
     return scored.filter(F.col("score") >= threshold).drop(*_SCRATCH, "score")

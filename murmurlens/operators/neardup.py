@@ -8,10 +8,10 @@ nothing here compares all rows of a block:
 1. Rows with equal group, prefix, bucket and token set behave alike, so each
    such set is one node, its first row.  A flood of copies ends here, in a
    pre-aggregated ``min``.
-2. Nodes meet in *lists*.  A small block is a list of its own.  In a large
-   block a node joins lists of rare tokens and rare trigrams instead, chosen so
-   that any two similar nodes share a list (prefix filtering, see
-   :func:`_fine_entries`).
+2. Nodes meet in *lists*.  The nodes of one block and length window are a list
+   if they are few.  In a large window a node joins lists of rare tokens and
+   rare trigrams instead, chosen so that any two similar nodes share a list
+   (prefix filtering, see :func:`_fine_entries`).
 3. Each round takes only the first ``frontier`` nodes of a list and compares
    them with the rest of it.  A leader removes its near copies at once, so a
    cluster of ``n`` near copies costs about ``n`` comparisons, not ``n²``.  The
@@ -87,15 +87,9 @@ def _nodes(df: DataFrame, text_col: str, order: str, group: Sequence[str]) -> Da
     return rows.groupBy("block", "bucket", "tokens").agg(F.min("id").alias("id"))
 
 
-def _windows(bucket: str = "bucket") -> Column:
-    """Two list windows per node: equal or adjacent buckets share one."""
-    return F.explode(F.array(F.col(bucket), F.col(bucket) + 1))
-
-
-def _block_entries(nodes: DataFrame) -> DataFrame:
-    return nodes.select("id", "block", _windows().alias("w")).select(
-        F.xxhash64("block", "w").alias("k"), "id", F.lit(True).alias("lead")
-    )
+def _windows(nodes: DataFrame) -> DataFrame:
+    """Two length windows per node; nodes in equal or adjacent buckets share one."""
+    return nodes.select("id", "block", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("w"))
 
 
 def _code(value: Column) -> Column:
@@ -120,7 +114,7 @@ def _rarity(coded: DataFrame, column: str) -> np.ndarray:
 
 
 def _fine_entries(nodes: DataFrame, threshold: float) -> DataFrame:
-    """List entries for large blocks, complete for every pair in reach.
+    """List entries for the large windows ``ws`` of nodes, complete for every pair in reach.
 
     Write ``d`` for the joined length of a node's token set and ``t`` for
     ``1 - threshold/100``.  A pair reaches the threshold in one of two ways:
@@ -137,7 +131,7 @@ def _fine_entries(nodes: DataFrame, threshold: float) -> DataFrame:
     t = 1 - threshold / 100
     tokens = F.split("tokens", " ")
     coded = nodes.select(
-        "id", "block", "bucket",
+        "id", "block", "ws",
         F.char_length("tokens").alias("d"),
         F.transform(tokens, _code).alias("words"),
         F.transform(tokens, F.char_length).alias("sizes"),
@@ -160,7 +154,7 @@ def _fine_entries(nodes: DataFrame, threshold: float) -> DataFrame:
             yield pd.DataFrame({"heads": heads, "rare": rare})
 
     pick = F.pandas_udf(choose, "heads array<int>, rare array<int>")
-    picked = coded.select("id", "block", "bucket", "words", pick("d", "words", "sizes", "grams").alias("p"))
+    picked = coded.select("id", "block", "ws", "words", pick("d", "words", "sizes", "grams").alias("p"))
 
     def entry(kind: int, lead: bool):
         return lambda c: F.struct(F.lit(kind).alias("kind"), c.alias("code"), F.lit(lead).alias("lead"))
@@ -171,8 +165,8 @@ def _fine_entries(nodes: DataFrame, threshold: float) -> DataFrame:
         F.transform(F.array_except("words", "p.heads"), entry(1, False)),
     )
     return (
-        picked.select("id", "block", "bucket", F.explode(entries).alias("e"))
-        .select("id", "block", "e.*", _windows().alias("w"))
+        picked.select("id", "block", "ws", F.explode(entries).alias("e"))
+        .select("id", "block", "e.*", F.explode("ws").alias("w"))
         .select(F.xxhash64("block", "w", "kind", "code").alias("k"), "id", "lead")
         .groupBy("k", "id").agg(F.bool_or("lead").alias("lead"))
     )
@@ -180,14 +174,17 @@ def _fine_entries(nodes: DataFrame, threshold: float) -> DataFrame:
 
 def _entries(nodes: DataFrame, threshold: float, frontier: int) -> DataFrame:
     """Entries ``k, id, lead`` of all lists that can hold a pair, with list size ``n``."""
+    windows = _windows(nodes)
     sizes = materialise(
-        nodes.groupBy("block").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1), "blocks"
+        windows.groupBy("block", "w").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1), "windows"
+    )
+    small, large = sizes.filter(F.col("size") <= frontier), sizes.filter(F.col("size") > frontier)
+    entries = windows.join(small, ["block", "w"]).select(
+        F.xxhash64("block", "w").alias("k"), "id", F.lit(True).alias("lead")
     )
-    shared = nodes.join(sizes, "block")
-    entries = _block_entries(shared.filter(F.col("size") <= frontier))
-    if not sizes.filter(F.col("size") > frontier).isEmpty():
-        large = materialise(shared.filter(F.col("size") > frontier).drop("size"), "large-blocks")
-        entries = entries.unionByName(_fine_entries(large, threshold))
+    if not large.isEmpty():
+        ws = windows.join(large, ["block", "w"]).groupBy("id").agg(F.collect_set("w").alias("ws"))
+        entries = entries.unionByName(_fine_entries(materialise(nodes.join(ws, "id"), "large"), threshold))
     entries = materialise(entries, "entries")
     useful = entries.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.bool_or("lead").alias("led"))
     return entries.join(useful.filter((F.col("n") > 1) & F.col("led")).select("k", "n"), "k")
