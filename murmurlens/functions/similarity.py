@@ -16,6 +16,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import IntegerType
 
+from murmurlens.functions.common import computed_once
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
@@ -75,44 +77,49 @@ def common_subsequence(left: Column, right: Column, need: Column) -> Column:
 def with_bounds(df: DataFrame, left: str, right: str) -> DataFrame:
     """Add ``lower`` and ``upper`` score bounds and the differing parts.
 
-    ``left`` and ``right`` name token-set columns (sorted, distinct).
+    ``left`` and ``right`` name token-set columns (sorted, distinct).  Set
+    operations and lengths are computed once each; see :func:`computed_once`.
     """
-    length = lambda parts: F.char_length(F.array_join(parts, " "))
-    df = df.withColumns({
-        "__s": length(F.array_intersect(left, right)),
-        "__left": F.array_join(F.array_except(left, right), " "),
-        "__right": F.array_join(F.array_except(right, left), " "),
-    }).withColumns({"__x": F.char_length("__left"), "__y": F.char_length("__right")})
-    sep = F.when(F.col("__s") > 0, 1).otherwise(0)
-    df = df.withColumns({"__lx": F.col("__s") + sep + F.col("__x"), "__ly": F.col("__s") + sep + F.col("__y")})
-    shared = F.col("__s") > 0
-    subset = shared & ((F.col("__x") == 0) | (F.col("__y") == 0))
-    empty = (F.size(left) == 0) | (F.size(right) == 0)
-    against = lambda n: 100 - 100 * (1 + F.col(n)) / (2 * F.col("__s") + 1 + F.col(n))
-    lower = F.when(empty, 0.0).when(subset, 100.0).when(
-        shared, F.greatest(against("__x"), against("__y"))
-    ).otherwise(0.0)
-    df = df.withColumn("lower", lower)
-    whole = 100 - F.try_divide(100 * F.abs(F.col("__x") - F.col("__y")), F.col("__lx") + F.col("__ly"))
-    return df.withColumn(
-        "upper", F.when(empty | subset, F.col("lower")).otherwise(F.greatest("lower", whole))
-    )
+    shared_length = F.char_length(F.array_join(F.array_intersect(left, right), " "))
+    df = computed_once(df, "__parts", F.struct(
+        shared_length.alias("s"),
+        F.array_join(F.array_except(left, right), " ").alias("left"),
+        F.array_join(F.array_except(right, left), " ").alias("right"),
+        ((F.size(left) == 0) | (F.size(right) == 0)).alias("empty"),
+    ))
+    p = F.col("__parts")
+    df = computed_once(df, "__n", F.struct(
+        p["s"].alias("s"), F.char_length(p["left"]).alias("x"), F.char_length(p["right"]).alias("y"),
+        p["empty"].alias("empty"),
+    ))
+    n = F.col("__n")
+    s, x, y, empty = (n[c] for c in ("s", "x", "y", "empty"))
+    total = 2 * s + F.when(s > 0, 2).otherwise(0) + x + y
+    subset = (s > 0) & ((x == 0) | (y == 0))
+    against = lambda part: 100 - 100 * (1 + part) / (2 * s + 1 + part)
+    lower = F.when(empty, 0.0).when(subset, 100.0).when(s > 0, F.greatest(against(x), against(y))).otherwise(0.0)
+    df = computed_once(df, "__bound", F.struct(lower.alias("lower"), total.alias("total")))
+    low = F.col("__bound")["lower"]
+    whole = 100 - F.try_divide(100 * F.abs(x - y), F.col("__bound")["total"])
+    return df.withColumns({
+        "lower": low, "upper": F.when(empty | subset, low).otherwise(F.greatest(low, whole)),
+    })
 
 
 def _resolved(df: DataFrame, undecided: Column, threshold: float) -> DataFrame:
     """Add ``score``: exact from ``threshold`` on, below it at least below it."""
-    total = F.col("__lx") + F.col("__ly")
-    need = (F.col("__x") + F.col("__y") - total * (100 - threshold) / 100) / 2 - 1e-6
+    parts, n, total = F.col("__parts"), F.col("__n"), F.col("__bound")["total"]
+    differing = n["x"] + n["y"]
+    need = (differing - total * (100 - threshold) / 100) / 2 - 1e-6
     lcs = common_subsequence(
-        F.when(undecided, F.col("__left")), F.when(undecided, F.col("__right")), F.coalesce(need, F.lit(0.0))
+        F.when(undecided, parts["left"]), F.when(undecided, parts["right"]), F.coalesce(need, F.lit(0.0))
     )
     df = df.withColumn("__lcs", lcs)
-    distance = F.col("__x") + F.col("__y") - 2 * F.col("__lcs")
-    full = F.greatest("lower", 100 - 100 * distance / (F.col("__lx") + F.col("__ly")))
+    full = F.greatest("lower", 100 - 100 * (differing - 2 * F.col("__lcs")) / total)
     return df.withColumn("score", F.when(F.col("__lcs").isNotNull(), full).otherwise(F.col("lower")))
 
 
-_SCRATCH = ("__s", "__left", "__right", "__x", "__y", "__lx", "__ly", "__lcs", "lower", "upper")
+_SCRATCH = ("__parts", "__n", "__bound", "__lcs", "lower", "upper")
 
 
 def score_pairs(df: DataFrame, left: str, right: str) -> DataFrame:
