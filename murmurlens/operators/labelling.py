@@ -5,12 +5,13 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from murmurlens.config import LABEL_ERROR, LABEL_INSTRUCTIONS, LABELS, VIETNAMESE, TextConfig
-from murmurlens.functions.common import let
+from murmurlens.functions.common import computed_once, let
 from murmurlens.functions.scoring import toxic_score
 from murmurlens.functions.tokens import terms
 from murmurlens.operators.dedup import number_batches
@@ -90,34 +91,39 @@ def lexicon_label(text: Column, config: TextConfig = VIETNAMESE) -> Column:
 
 
 def apply_labeller(df: DataFrame, labeller: Labeller, labelled_by: str, size: int = 25,
-                   text_col: str = "text", order: str = "seq") -> DataFrame:
+                   text_col: str = "text") -> DataFrame:
     """Send batches to ``labeller`` from the executors and parse what comes back.
 
-    Batches form inside each Arrow batch, so no shuffle is needed.  An
-    exception marks its own batch only, with the message in ``label_error``.
+    Batches form inside each Arrow batch and rows pass through untouched, so
+    nothing is shuffled.  An exception marks its own batch only, with the
+    message in ``label_error``.
     """
-
-    def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for start in range(0, len(frame), size):
-                part = frame.iloc[start : start + size]
-                texts = part[text_col].tolist()
+    rest = df.drop("label", "label_error", "labeled_by")
+    answer = StructType.fromDDL("__reply string, __error string, __pos int, __size int")
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(text_col).to_pylist()
+            replies, errors, positions, sizes = [], [], [], []
+            for start in range(0, len(texts), size):
+                part = texts[start : start + size]
                 reply, error = None, None
                 try:
-                    reply = labeller(texts)
+                    reply = labeller(part)
                 except Exception as exc:  # noqa: BLE001 - any failure belongs to this batch
                     error = str(exc).replace("\n", " ")[:500]
-                yield pd.DataFrame({
-                    "reply": [reply], "error": [error], "size": [len(part)], "ids": [part[order].tolist()],
-                })
-
-    answers = df.select(order, text_col).mapInPandas(send, "reply string, error string, size int, ids array<bigint>")
-    labels = answers.select(
-        F.explode(F.arrays_zip("ids", reply_labels(F.coalesce("reply", F.lit("")), F.col("size")).alias("label"))).alias("r"),
-        "error",
-    ).select(F.col("r.ids").alias(order), F.col("r.label").alias("label"), "error")
-    rest = df.drop("label", "label_error", "labeled_by")
-    return with_provenance(rest.join(labels, order), labelled_by, F.col("error")).drop("error")
+                replies += [reply] * len(part)
+                errors += [error] * len(part)
+                positions += range(len(part))
+                sizes += [len(part)] * len(part)
+            added = [pa.array(replies, pa.string()), pa.array(errors, pa.string()),
+                     pa.array(positions, pa.int32()), pa.array(sizes, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *answer.names])
+
+    sent = rest.mapInArrow(send, StructType([*rest.schema.fields, *answer.fields]))
+    labels = reply_labels(F.coalesce("__reply", F.lit("")), F.col("__size"))
+    labelled = computed_once(sent, "label", F.get(labels, F.col("__pos")))
+    return with_provenance(labelled, labelled_by, F.col("__error")).drop(*answer.names)
 
 
 def validate_labels(df: DataFrame, show: int = 10) -> None:

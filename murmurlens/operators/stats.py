@@ -178,23 +178,17 @@ def length_score_trend(scored: DataFrame, quantile: float = 0.95) -> DataFrame:
 
 
 def queue_status(pending: DataFrame, review: DataFrame, store: DataFrame) -> DataFrame:
-    """Rows per queue, and per label in the review and store queues."""
+    """Rows per queue, and per label in the review and store queues: one scan each."""
+    total = pending.agg(F.count(F.lit(1)).alias("count")).select(
+        F.lit("pending").alias("queue"), F.lit(None).cast("string").alias("label"), "count"
+    )
 
-    def counted(df: DataFrame, queue: str, by_label: bool) -> DataFrame:
-        if not by_label:
-            return df.agg(F.count(F.lit(1)).alias("count")).select(
-                F.lit(queue).alias("queue"), F.lit(None).cast("string").alias("label"), "count"
-            )
+    def by_label(df: DataFrame, queue: str) -> DataFrame:
         label = normalize_label(F.col("label"))
-        shown = F.when(label == "", "<blank>").otherwise(label)
-        return df.groupBy(shown.alias("label")).agg(F.count(F.lit(1)).alias("count")).select(
+        shown = df.select(F.when(label == "", "<blank>").otherwise(label).alias("label"))
+        # the margin of the rollup, where the label is null, is the queue total
+        return shown.rollup("label").agg(F.count(F.lit(1)).alias("count")).select(
             F.lit(queue).alias("queue"), "label", "count"
         )
 
-    parts = [counted(pending, "pending", False)]
-    for name, df in (("review", review), ("store", store)):
-        parts += [counted(df, name, False), counted(df, name, True)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return total.unionByName(by_label(review, "review")).unionByName(by_label(store, "store"))

@@ -49,9 +49,10 @@ def label_cycle(pending: DataFrame, store: DataFrame, label: LabelStep, max_rows
 
 def run_cycle(pending: DataFrame, store: LabelStore, label: LabelStep, version: int, max_rows: int = 0) -> DataFrame:
     """Same, committed: append one store version and return what is still pending."""
-    open_rows = anti_join_keys(with_record_key(pending), store.read(), ["source", "record_key"])
+    keyed = with_record_key(pending)
+    open_rows = anti_join_keys(keyed, store.keys())
     store.append(labelled(label(pending_batch(open_rows, max_rows))), version)
-    return anti_join_keys(with_record_key(pending), store.read(), ["source", "record_key"])
+    return anti_join_keys(keyed, store.keys())
 
 
 def final_labels(corpus: DataFrame, store: DataFrame, order: str = "seq") -> DataFrame:

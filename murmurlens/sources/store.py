@@ -51,6 +51,10 @@ class LabelStore:
         """Current labels: the last row per key."""
         return keep_last(self.log(), ["record_key"], ["version", "seq"]).drop("version")
 
+    def keys(self) -> DataFrame:
+        """Source and key of every stored row: enough for an anti-join, no ranking."""
+        return self.log().select("source", "record_key")
+
     def compact_to(self, path: str) -> LabelStore:
         """Write the current labels as one version elsewhere and return that store."""
         target = LabelStore(self.spark, path, self.schema)

@@ -56,8 +56,12 @@ def flatten_post_listing(listings: DataFrame, json_col: str = "json") -> DataFra
 
 
 def attach_titles(comments: DataFrame, posts: DataFrame) -> DataFrame:
-    """Put the title of its post onto each comment."""
-    return comments.join(posts.select("post_id", "post_title"), "post_id")
+    """Put the title of its post onto each comment.
+
+    A post that several listings show counts once.
+    """
+    titles = posts.groupBy("post_id").agg(F.min("post_title").alias("post_title"))
+    return comments.join(titles, "post_id")
 
 
 def _children(node: Column, path: str) -> Column:
@@ -76,8 +80,9 @@ def flatten_reply_trees(
 
     Works level by level over the whole table: each pass opens the replies of
     the comments accepted in the pass before, so a rejected comment takes its
-    subtree with it.  Levels are written to the staging area, which keeps the
-    plan flat however deep the deepest tree is.  ``accept(body)`` adds a
+    subtree with it.  Levels, with the replies still to open as variants, are
+    written to the staging area: JSON is parsed once and the plan stays flat
+    however deep the deepest tree is.  ``accept(body)`` adds a
     text rule, such as the language test.
     """
     root = F.try_parse_json(json_col)
@@ -108,23 +113,19 @@ def flatten_reply_trees(
                 author.alias("author"),
                 F.coalesce(F.try_variant_get(data, "$.data.score", "bigint"), F.lit(0)).alias("score"),
                 epoch_to_iso(F.try_variant_get(data, "$.data.created_utc", "double")).alias("published_at"),
-                F.to_json(F.try_variant_get(data, "$.data.replies", "variant")).alias("replies"),
+                _children(data, "$.data.replies.data.children").alias("children"),
             )
         )
         opened = materialise(opened, f"replies-{depth}")
         if opened.isEmpty():
             break
-        done.append(opened.drop("replies"))
-        level = opened.select(
-            post_col,
-            F.col("path").alias("prefix"),
-            _children(F.try_parse_json("replies"), "$.data.children").alias("children"),
-        )
+        done.append(opened.drop("children"))
+        level = opened.filter(F.size("children") > 0).select(post_col, F.col("path").alias("prefix"), "children")
     else:
-        if not level.filter(F.size("children") > 0).isEmpty():
+        if not level.isEmpty():
             raise RuntimeError(f"reply trees are deeper than {max_depth} levels")
     if not done:
-        return opened.drop("replies")
+        return opened.drop("children").withColumn("source", F.lit("reddit"))
     out = done[0]
     for df in done[1:]:
         out = out.union(df)
