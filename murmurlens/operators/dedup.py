@@ -63,7 +63,7 @@ def number_within(df: DataFrame, group: Sequence[str], order: str = "seq", colum
     group.  ``group`` may be empty: that numbers the whole table.
     """
     keys = [*group, "__range"]
-    ranged = df.withColumn("__range", F.floor(F.col(order) / F.lit(width)))
+    ranged = df.withColumn("__range", F.expr(f"`{order}` div {width}"))
     sizes = ranged.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
@@ -108,10 +108,9 @@ def cap_per_group(df: DataFrame, group: Sequence[str], n: int, order: Sequence[s
 def number_batches(df: DataFrame, size: int, group: Sequence[str] = (), order: str = "seq") -> DataFrame:
     """Consecutive batches of ``size`` rows: ``batch_id`` and ``pos``, both from 0."""
     numbered = number_within(df, group, order, "__number")
-    zero_based = F.col("__number") - 1
     return numbered.withColumns({
-        "batch_id": F.floor(zero_based / size),
-        "pos": F.pmod(zero_based, F.lit(size)).cast("int"),
+        "batch_id": F.expr(f"(__number - 1) div {size}"),
+        "pos": F.expr(f"(__number - 1) % {size}").cast("int"),
     }).drop("__number")
 
 

@@ -24,10 +24,19 @@ def lexicon_step(labelled_by: str = "Lexicon", config: TextConfig = VIETNAMESE)
     return label
 
 
-def prepare(comments: DataFrame, min_length: int = 5, config: TextConfig = VIETNAMESE) -> DataFrame:
-    """Key first, on the raw text, then clean; works on batch and stream alike."""
-    keyed = with_record_key(comments.filter(F.col("text").isNotNull()))
-    cleaned = computed_once(keyed, "text", clean_text(F.col("text"), config=config))
+def keyed_rows(comments: DataFrame) -> DataFrame:
+    """Rows with text and their key, taken from the raw text."""
+    return with_record_key(comments.filter(F.col("text").isNotNull()))
+
+
+def prepare(batch: DataFrame, min_length: int = 5, config: TextConfig = VIETNAMESE) -> DataFrame:
+    """Last row per key, cleaned, long enough.
+
+    Deduplication goes first: its shuffle spreads the batch, however few files
+    it came from, and the text work runs on the surviving rows only.
+    """
+    last = keep_last(batch, ["record_key"])
+    cleaned = computed_once(last, "text", clean_text(F.col("text"), config=config))
     return cleaned.filter(F.char_length("text") >= min_length)
 
 
@@ -40,10 +49,10 @@ def start_ingest(comments: DataFrame, store: LabelStore, checkpoint: str, label:
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        store.append(label(keep_last(batch, ["record_key"])), batch_id)
+        store.append(label(prepare(batch, min_length, config)), batch_id)
 
     return (
-        prepare(comments, min_length, config)
+        keyed_rows(comments)
         .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
