@@ -37,12 +37,17 @@ def write_review(review: DataFrame, path: str, overwrite: bool = False) -> None:
     csv_options(review.write.mode(mode)).csv(path)
 
 
+def _ordered(df: DataFrame, order: str, age: int) -> DataFrame:
+    """Row order as a number: a table from a spreadsheet has text or nothing there."""
+    value = F.col(order).try_cast("bigint") if order in df.columns else F.lit(None).cast("bigint")
+    return df.withColumns({order: value, "__age": F.lit(age)})
+
+
 def upsert(store: DataFrame, fresh: DataFrame, order: str = "seq") -> DataFrame:
     """Union, last row per key, valid labels only; fresh rows beat stored ones."""
-    both = store.withColumn("__age", F.lit(0)).unionByName(
-        fresh.withColumn("__age", F.lit(1)), allowMissingColumns=True
-    ).filter(F.col("label").isin(*LABELS))
-    return keep_last(both, ["record_key"], ["__age", order]).drop("__age")
+    both = _ordered(store, order, 0).unionByName(_ordered(fresh, order, 1), allowMissingColumns=True)
+    valid = both.filter(F.col("label").isin(*LABELS))
+    return keep_last(valid, ["record_key"], ["__age", order]).drop("__age")
 
 
 def import_review(review: DataFrame, store: DataFrame, pending: DataFrame, labelled_by: str = "Manual",

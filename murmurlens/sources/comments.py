@@ -57,7 +57,8 @@ def with_row_order(df: DataFrame, column: str = "seq") -> DataFrame:
 
 
 def scan_platform(spark: SparkSession, path: str, platform: str, **options) -> DataFrame:
-    return normalise_platform(with_row_order(read_csv(spark, path, **options)), platform)
+    """One platform file; :func:`gather` numbers the rows of all files together."""
+    return normalise_platform(read_csv(spark, path, **options), platform)
 
 
 def split_known(names: Iterable[str], known: Iterable[str] = PLATFORMS) -> tuple[list[str], list[str]]:
@@ -82,18 +83,21 @@ def gather(
     sources: Iterable[str] | None = None,
     corpus: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """All comments, and the unlabelled ones among the platform rows.
+    """All comments with a unique ``seq``, and the unlabelled ones among them.
 
-    The second frame is a filter over the same scan, not a second read.
+    Rows are numbered after the union, platforms in the order given and the
+    corpus last, unless every input brings its own ``seq``, which then has to be
+    unique over all of them.  The second frame is a filter, not a second read: a
+    corpus holds labelled rows only.
     """
     wanted, unknown = split_known(sources or platforms, platforms)
     if unknown:
         raise ValueError(f"unknown sources: {', '.join(unknown)}")
-    collected = union_sources(platforms[name] for name in wanted) if wanted else None
-    parts = [df for df in (collected, corpus) if df is not None]
-    everything = union_sources(parts)
-    pending = (collected if collected is not None else everything).filter(is_unlabelled(F.col("label")))
-    return everything, pending
+    parts = [platforms[name] for name in wanted] + ([corpus] if corpus is not None else [])
+    if not all("seq" in df.columns for df in parts):
+        parts = [df.drop("seq") for df in parts]
+    everything = with_row_order(union_sources(parts))
+    return everything, everything.filter(is_unlabelled(F.col("label")))
 
 
 def select_sources(df: DataFrame, sources: Iterable[str]) -> DataFrame:

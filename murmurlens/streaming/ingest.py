@@ -12,6 +12,7 @@ from murmurlens.functions.keys import with_record_key
 from murmurlens.operators.dedup import keep_last
 from murmurlens.operators.labelling import lexicon_label, with_provenance
 from murmurlens.plans.labelling import LabelStep
+from murmurlens.sources.comments import with_row_order
 from murmurlens.sources.store import LabelStore
 
 
@@ -35,7 +36,7 @@ def prepare(batch: DataFrame, min_length: int = 5, config: TextConfig = VIETNAME
     Deduplication goes first: its shuffle spreads the batch, however few files
     it came from, and the text work runs on the surviving rows only.
     """
-    last = keep_last(batch, ["record_key"])
+    last = keep_last(with_row_order(batch), ["record_key"])
     cleaned = computed_once(last, "text", clean_text(F.col("text"), config=config))
     return cleaned.filter(F.char_length("text") >= min_length)
 

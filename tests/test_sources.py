@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from murmurlens.config import CORPUS_SOURCE
 from murmurlens.functions.predicates import looks_vietnamese
 from murmurlens.operators.stats import label_distribution
+from murmurlens.plans.cleaning import clean_comments
 from murmurlens.plans.report import summary_report
 from murmurlens.sources import comments as C, corpus, store, threads
 
@@ -38,6 +39,19 @@ def test_gather_unions_and_filters(spark):
     assert C.split_known(["reddit", "tiktok"]) == (["reddit"], ["tiktok"])
 
 
+def test_rows_of_several_files_get_unique_order(spark, tmp_path):
+    text = "đây là một bình luận khá dài để so sánh"
+    for name in ("youtube", "reddit"):
+        (tmp_path / f"{name}.csv").write_text(f"text\n{text}\n{text} nhé\n{name} khác hẳn\n", encoding="utf-8")
+    frames = {n: C.scan_platform(spark, str(tmp_path / f"{n}.csv"), n) for n in ("youtube", "reddit")}
+    everything, pending = C.gather(frames)
+    assert everything.select("seq").distinct().count() == 6 == pending.count()
+    kept = clean_comments(everything, similarity_group=("source",))
+    assert sorted((r["source"], r["text"][:4]) for r in kept.collect()) == [
+        ("reddit", "redd"), ("reddit", "đây "), ("youtube", "yout"), ("youtube", "đây ")]
+    assert clean_comments(everything, duplicate_subset=("text",), similarity_group=()).count() == 3
+
+
 @pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "utf-16", "latin-1"])
 def test_corpus_files(spark, tmp_path, encoding):
     text = "café" if encoding == "latin-1" else "cà phê ngon"

@@ -10,6 +10,7 @@ from murmurlens.operators import dedup as D, labelling as L, review as R, stats,
 from murmurlens.plans import labelling as P
 from murmurlens.plans.analysis import analyse
 from murmurlens.plans.cleaning import clean_comments, cleaning_audit
+from murmurlens.sources import comments as C
 from murmurlens.sources.store import LabelStore
 from murmurlens.streaming import ingest
 
@@ -145,13 +146,16 @@ def test_review_round_trip(spark, tmp_path):
     R.write_review(review, str(tmp_path / "review"))
     with pytest.raises(Exception, match="(?i)exists"):
         R.write_review(review, str(tmp_path / "review"))
-    filled = review.withColumn("label", F.when(F.col("seq") == 0, " hate").when(F.col("seq") == 1, "clean").otherwise(""))
+    edited = C.read_csv(spark, str(tmp_path / "review"))
+    filled = edited.withColumn("label", F.when(F.col("seq") == 0, " hate").when(F.col("seq") == 1, "clean").otherwise(""))
     store = spark.createDataFrame([("youtube|comment|0", "CLEAN", "t", "youtube")], "record_key string, label string, text string, source string").withColumn("seq", F.lit(99))
     out = R.import_review(filled, store, pending, platform="youtube")
     assert dict(values(out.store, "record_key", "label")) == {"youtube|comment|0": "HATE", "youtube|comment|1": "CLEAN"}
     assert out.pending.count() == 6 and out.review.count() == 2
     again = R.import_review(filled, out.store, out.pending, platform="youtube")
     assert values(again.store, "record_key", "label") == values(out.store, "record_key", "label")
+    bare = spark.createDataFrame([("CLEAN ", "tay", "777")], "label string, text string, comment_id string")
+    assert ("reddit|comment|777", "CLEAN") in values(R.import_review(bare, store, pending).store, "record_key", "label")
     with pytest.raises(ValueError, match="CLEAN, OFFENSIVE, HATE"):
         R.import_review(filled.withColumn("label", F.lit("NICE")), store, pending)
 
