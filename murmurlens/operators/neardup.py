@@ -12,10 +12,11 @@ nothing here compares all rows of a block:
    if they are few.  In a large window a node joins lists of rare tokens and
    rare trigrams instead, chosen so that any two similar nodes share a list
    (prefix filtering, see :func:`_fine_entries`).
-3. Each round takes only the first ``frontier`` nodes of a list and compares
-   them with the rest of it.  A leader removes its near copies at once, so a
-   cluster of ``n`` near copies costs about ``n`` comparisons, not ``n²``.  The
-   frontier doubles each round, so rounds grow with the logarithm of a list.
+3. A small window is compared as a whole.  Of the finer lists, which overlap, each
+   round takes the first few nodes and compares them with the rest.  A leader
+   removes its near copies at once, so a cluster of ``n`` near copies costs a
+   small multiple of ``n`` comparisons, not ``n²``.  The few double each round, so
+   the number of rounds is the logarithm of the longest list.
 4. A node whose earlier list mates are all compared or gone is settled by
    :func:`_settle`; rounds go on until every list is used up.
 """
@@ -40,8 +41,10 @@ from murmurlens.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Nodes of one list that are compared with the rest of it per round.
+#: Largest window whose nodes are compared as one list.
 FRONTIER = 256
+#: Nodes of a finer list that are compared with the rest of it in round one.
+_FIRST_STEP = 16
 #: Members of one list that one task joins with its frontier.
 _LIST_SHARD = 50_000
 #: Tokens and trigrams are hashed to this many codes; their frequency table is
@@ -169,18 +172,19 @@ def _fine_entries(nodes: DataFrame, threshold: float) -> DataFrame:
         .select("id", "block", "e.*", F.explode("ws").alias("w"))
         .select(F.xxhash64("block", "w", "kind", "code").alias("k"), "id", "lead")
         .groupBy("k", "id").agg(F.bool_or("lead").alias("lead"))
+        .withColumn("fine", F.lit(True))
     )
 
 
 def _entries(nodes: DataFrame, threshold: float, frontier: int) -> DataFrame:
-    """Entries ``k, id, lead`` of all lists that can hold a pair, with list size ``n``."""
+    """Entries ``k, id, lead, fine`` of all lists that can hold a pair, with list size ``n``."""
     windows = _windows(nodes)
     sizes = materialise(
         windows.groupBy("block", "w").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1), "windows"
     )
     small, large = sizes.filter(F.col("size") <= frontier), sizes.filter(F.col("size") > frontier)
     entries = windows.join(small, ["block", "w"]).select(
-        F.xxhash64("block", "w").alias("k"), "id", F.lit(True).alias("lead")
+        F.xxhash64("block", "w").alias("k"), "id", F.lit(True).alias("lead"), F.lit(False).alias("fine")
     )
     if not large.isEmpty():
         ws = windows.join(large, ["block", "w"]).groupBy("id").agg(F.collect_set("w").alias("ws"))
@@ -251,13 +255,17 @@ def _dropped_nodes(nodes: DataFrame, threshold: float, frontier: int) -> DataFra
     live: DataFrame | None = None
     gone: list[DataFrame] = []
     first = Window.partitionBy("k").orderBy("id")
+    step = min(_FIRST_STEP, frontier)
     while not leads.isEmpty():
-        # one past the frontier tells whether the list goes on, and from where
-        head = cap_per_group(leads, ["k"], frontier + 1, ["id"])
-        ranked = materialise(head.withColumn("rank", F.row_number().over(first)), "frontier")
-        found = _edges(_pairs(ranked.filter(F.col("rank") <= frontier), todo), nodes, threshold)
+        # one past the taken nodes tells whether the list goes on, and from where
+        head = cap_per_group(leads, ["k"], max(frontier, step) + 1, ["id"])
+        taken = F.when(F.col("fine"), step).otherwise(frontier)
+        ranked = head.withColumn("rank", F.row_number().over(first)).withColumn("taken", taken)
+        ranked = materialise(ranked.filter(F.col("rank") <= F.col("taken") + 1), "frontier")
+        front = ranked.filter(F.col("rank") <= F.col("taken"))
+        found = _edges(_pairs(front, todo), nodes, threshold)
         live = materialise((found if live is None else live.unionByName(found)).distinct(), "edges")
-        rest = ranked.filter(F.col("rank") > frontier).select("k", F.col("id").alias("from_id"))
+        rest = ranked.filter(F.col("rank") > F.col("taken")).select("k", F.col("id").alias("from_id"))
         last_round = rest.isEmpty()
         waiting = None
         if not last_round:
@@ -274,7 +282,7 @@ def _dropped_nodes(nodes: DataFrame, threshold: float, frontier: int) -> DataFra
             leads, todo = _without(leads, ids, "id"), _without(todo, ids, "id")
             todo = materialise(todo, "lists")
         leads = materialise(leads, "leads")
-        frontier *= 2
+        step *= 2
     return reduce(DataFrame.union, gone) if gone else None
 
 
