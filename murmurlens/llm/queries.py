@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontamination, quality, sampled_pieces, secret_scan, simhash, substring_dedup, token_counts, toxicity
+from . import decontamination, fingerprints, quality, sampled_pieces, secret_scan, simhash, substring_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -75,6 +75,11 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+@query("op4_fingerprints")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.fingerprints_of_versions(table(spark, sf, "documents"))
+
+
 @query("op5_toxicity")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
