@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from . import decontamination, fingerprints, quality, sampled_pieces, secret_scan, simhash, substring_dedup, token_counts, toxicity
+from . import chat_threads, decontamination, fingerprints, quality, sampled_pieces, secret_scan, simhash, substring_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,7 +38,7 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-@query("op1_substring_dedup", """
+@query("op1_substring_dedup", r"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x09-\x0D ]+'), lambda w: w <> '') AS w FROM documents),
 s AS (SELECT doc_id, len(w) AS n, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20),
 g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS h FROM s),
@@ -54,7 +54,7 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-@query("op2_decontamination", """
+@query("op2_decontamination", r"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x09-\x0D ]+'), lambda w: w <> '') AS w FROM documents),
 b AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x09-\x0D ]+'), lambda w: w <> '') AS w FROM benchmark),
 dw AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
@@ -92,6 +92,42 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+_LINE = "trim(regexp_replace(lower(x), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
+
+
+@query("op7_chat_threads", r"""
+SELECT conv_id, turn, role, regexp_replace(regexp_replace(coalesce(text, ''), '^\s+', ''), '\s+$', '') AS text,
+       0::BIGINT AS n_quoted, NULL::BIGINT AS reply_to, turn AS root, 0::BIGINT AS depth
+FROM conversations
+""")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return chat_threads.threaded_messages(table(spark, sf, "conversations"))
+
+
+@query("requoted_threads", rf"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text,
+             lag(coalesce(text, '')) OVER w AS one, lag(coalesce(text, ''), 2) OVER w AS two FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+l AS (SELECT *, len(list_filter(string_split(one, chr(10)), lambda x: length({_LINE}) >= 8)) > 0 AS says_one,
+             len(list_filter(string_split(two, chr(10)), lambda x: length({_LINE}) >= 8)) > 0 AS says_two FROM c)
+SELECT conv_id, turn, role, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS text,
+       coalesce(len(string_split(one, chr(10))) + 1, 0) + coalesce(len(string_split(two, chr(10))), 0) AS n_quoted,
+       CASE WHEN says_one THEN turn - 1 WHEN says_two THEN turn - 2 END AS reply_to
+FROM l
+""")
+def requoted_threads(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations written as mail, each message over the two before it, and read back."""
+    turns = Window.partitionBy("conv_id").orderBy("turn")
+    text = F.coalesce("text", F.lit(""))
+    said = table(spark, sf, "conversations").select("conv_id", "turn", "role", text.alias("text"), F.lag(text).over(turns).alias("one"), F.lag(text, 2).over(turns).alias("two"))
+
+    def quoted(value: str, mark: str) -> Column:
+        return F.concat(F.lit(mark), F.regexp_replace(value, "\n", "\n" + mark))
+
+    mail = F.concat_ws("\n", F.when(F.col("one").isNotNull(), F.lit("Somebody wrote:")), quoted("two", "> > "), quoted("one", "> "), F.lit(""), "text")
+    found = chat_threads.threaded_messages(said.select("conv_id", "turn", "role", mail.alias("text")))
+    return found.select("conv_id", "turn", "role", "text", "n_quoted", "reply_to")
+
+
 @query("op8_quality")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
