@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Text bytes a Python worker looks at together; bounds its memory, not its input.
 SLICE_BYTES = 2_000_000
@@ -17,6 +22,24 @@ LAST_ID = (1 << 63) - 1
 Texts = Callable[[list[str]], dict]
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that their Python workers can import it."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix=f"{root.name}-code-")  # the driver's own, which hands the file out
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/{root.name}.zip", "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, str(source.relative_to(root.parent)))
+    spark.sparkContext.addPyFile(f"{folder}/{root.name}.zip")
+    _SHIPPED.add(app)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive row ranges of ``batch`` with about ``limit`` bytes of ``column`` each; a longer text is alone."""
     if not batch.num_rows:
@@ -42,6 +65,7 @@ def map_texts(docs: DataFrame, make: Callable[[], Texts], schema: str, text: str
     ``schema`` names the computed columns in the order of the dictionary they
     come in.  Nothing is shuffled and rows keep their number.
     """
+    ship_package(docs.sparkSession)
     kept = docs.select(*carry, F.col(text).alias("__text"))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
 
@@ -68,6 +92,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     ids chosen are at most ``bound`` whatever the table holds, hence the
     broadcast.  Where an id has several labels the largest counts.
     """
+    ship_package(docs.sparkSession)
     chosen = None
     usable = (
         labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__label"))

@@ -21,7 +21,7 @@ from operator import eq
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import held_out, labelled_sample, map_texts, slices, texts_of
+from .common import held_out, labelled_sample, map_texts, ship_package, slices, texts_of
 
 FOLDS, FOLD = 4, 2
 #: A document is kept from this score on.
@@ -172,6 +172,8 @@ def score_quality(docs: DataFrame, forest: Forest, text: str = "text") -> DataFr
 def keep_quality(docs: DataFrame, forest: Forest, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text the trees accept, all columns as they were."""
 
+    ship_package(docs.sparkSession)
+
     @F.pandas_udf("double")
     def score(texts):
         import pandas as pd

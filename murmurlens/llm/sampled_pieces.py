@@ -40,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices, texts_of
+from .common import ship_package, slices, texts_of
 
 MARK = "▁"
 #: A word with the marks before it, or marks at the end of a text.
@@ -377,6 +377,7 @@ def sampled_pieces(docs: DataFrame, model: str, k: int = 2, alpha: float = 0.5,
 
     ``model`` is a vocabulary file that every executor can open.
     """
+    ship_package(docs.sparkSession)
     kept = docs.select(F.col(key), F.col(text).alias("__text"))
     item = pa.struct([("pieces", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("log_inclusion", pa.float64())])
 
@@ -417,6 +418,8 @@ def decode(pieces: list[int], model: str) -> str:
 def decoded_texts(samples: DataFrame, model: str, pieces: str = "pieces", out: str = "text") -> DataFrame:
     """``samples`` with the text that each row's pieces stand for; null pieces give null."""
 
+    ship_package(samples.sparkSession)
+
     @F.pandas_udf("string")
     def decoded(column):
         return column.map(lambda p: None if p is None else decode(p, model))

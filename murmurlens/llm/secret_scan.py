@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_texts, slices, texts_of
+from .common import map_texts, ship_package, slices, texts_of
 
 #: The patterns and the least lengths of what they mark.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -113,6 +113,7 @@ def fit_markov(docs: DataFrame, sample_docs: int = 2000, min_length: int = 20, t
     The sample's texts stay on the executors; what comes to the driver are two
     tables of 96 x 96 counts.
     """
+    ship_package(docs.sparkSession)
     ids = docs.select(F.col("doc_id").alias("__id")).where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("__id"), "__id").limit(sample_docs)
     sample = docs.join(F.broadcast(ids), docs["doc_id"] == F.col("__id"), "left_semi").select(F.col(text).alias("__text"))
 
@@ -159,6 +160,8 @@ def scan_secrets(docs: DataFrame, model: MarkovPair, text: str = "text") -> Data
 def mask_secrets(docs: DataFrame, model: MarkovPair, mask: str = "[SECRET]", text: str = "text") -> DataFrame:
     """``docs`` with each secret (touching and overlapping spans as one) replaced by ``mask``; a null text stays null."""
 
+    ship_package(docs.sparkSession)
+
     @F.pandas_udf("string")
     def masked(texts):
         def one(t: str | None) -> str | None:

@@ -38,7 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LAST_ID, slices, texts_of
+from .common import LAST_ID, ship_package, slices, texts_of
 
 WINDOW = 20
 ROUNDS = 4
@@ -173,6 +173,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text") ->
     """doc_id, n_words, n_removed and ``kept``, the words that stay joined by one space, of every row."""
     if not 2 <= window <= 256:
         raise ValueError("a window has 2 to 256 words")
+    ship_package(docs.sparkSession)
     texts = keyed_texts(docs, window, text)
     parsed = texts.where(F.col("__id") == F.col("__copy_of")).select("__id", "__variant", "__text")
 
