@@ -58,9 +58,15 @@ def hour_of_day(value: Column) -> Column:
     return F.hour(value.try_cast("timestamp_ntz"))
 
 
+#: Seconds of the first and the last moment that a four-digit year can show.
+_FIRST_SECOND, _LAST_SECOND = -62135596800, 253402300799
+
+
 def epoch_to_iso(seconds: Column) -> Column:
-    """UTC ISO text for epoch seconds; 0 and null give null."""
-    whole = F.nullif(seconds.cast("long"), F.lit(0).cast("long"))
+    """UTC ISO text for epoch seconds; 0, null and what no four-digit year can show give null."""
+    number = seconds.try_cast("double")
+    shown = F.when(number.between(_FIRST_SECOND, _LAST_SECOND), number)
+    whole = F.nullif(shown.try_cast("long"), F.lit(0).cast("long"))
     utc = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=whole)
     return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
 
@@ -70,8 +76,6 @@ POST_QUERY_KEYS = ("multi_permalinks", "story_fbid", "fbid")
 POST_PATHS = (r"/groups/[^/]+/(?:posts|permalink)/(\d+)", r"/posts/(\d+)")
 # ---- end of fixed values ---------------------------------------------------
 
-_REDIRECT_DEPTH = 2
-
 
 def _decoded(value: Column) -> Column:
     return let(value, lambda v: F.coalesce(F.try_url_decode(v), v))
@@ -97,18 +101,17 @@ def post_id_of_url(
 ) -> Column:
     """Post id in a link; a ``u=`` redirect target is looked at first.
 
-    Redirects are unrolled to a fixed depth, which keeps the whole rule one
-    column expression; each level is bound once.
+    A link is followed as often as it may hold a target (``u=``, whatever the
+    times the equals sign is encoded); the innermost id counts.
     """
+    steps = F.sequence(F.lit(0), F.regexp_count(url, F.lit("u(?:=|%(?:25)*3[dD])")))
 
-    def resolve(link: Column, depth: int) -> Column:
+    def follow(state: Column, _: Column) -> Column:
         def here(decoded: Column) -> Column:
             own = _direct_id(decoded, paths, keys)
-            if depth == 0:
-                return own
-            target = query_value(decoded, "u")
-            return F.coalesce(resolve(target, depth - 1), own)
+            return F.struct(query_value(decoded, "u").alias("link"), F.coalesce(own, state["id"]).alias("id"))
 
-        return let(_decoded(link), here)
+        return F.when(state["link"] == "", state).otherwise(let(_decoded(state["link"]), here))
 
-    return F.coalesce(resolve(url, _REDIRECT_DEPTH), F.lit(""))
+    start = F.struct(url.alias("link"), F.lit(None).cast("string").alias("id"))
+    return F.coalesce(F.aggregate(steps, start, follow, lambda state: state["id"]), F.lit(""))

@@ -2,7 +2,8 @@
 
 Every "first or last per key" here is ``row_number() <= k`` on a window.  Spark
 turns that into a group limit *before* the shuffle as well as after it, so a
-key that holds a third of all rows sends at most ``k`` rows per map task.
+key that holds a third of all rows sends at most ``k`` rows per map task.  Numbering
+goes by ranges instead, so that no window holds a whole group.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from murmurlens.functions.cleaning import strip
+from murmurlens.session import materialise
 
 #: Largest ``k`` for which Spark plans the group limit
 #: (``spark.sql.optimizer.windowGroupLimitThreshold``).
@@ -53,41 +55,50 @@ def drop_platform_duplicates(df: DataFrame, fallback: Sequence[str], order: Sequ
     return keep_first(keyed, keys, order).drop(*keys)
 
 
-def number_within(df: DataFrame, group: Sequence[str], order: str = "seq", column: str = "number",
-                  width: int = 1 << 16) -> DataFrame:
-    """Consecutive numbers from 1 per group, in ``order`` (a unique integer).
+def _places(df: DataFrame, order: str) -> list[Column]:
+    """Nulls first, then by value; equal values by a hash of the row."""
+    return [F.col(order).asc_nulls_first(), F.xxhash64(*df.columns)]
 
-    Rows are ranked inside ranges of ``width`` order values; the row counts of
-    the ranges before it shift each range.  A window holds at most ``width``
-    rows of one group, and only the counts, one row per range, are summed per
-    group.  ``group`` may be empty: that numbers the whole table.
+
+def number_within(df: DataFrame, group: Sequence[str], order: str = "seq", column: str = "number") -> DataFrame:
+    """Consecutive numbers from 1 per group, in ``order``: null first, ties by a hash of the row.
+
+    The rows are dealt out by ranges of (group, order) and written once, each
+    with its place in its range.  A group's numbers are these places, shifted by
+    the group's counts in earlier ranges, of which there are as many as
+    partitions, however many rows or values there are.
+    ``group`` may be empty: that numbers the whole table.
     """
-    keys = [*group, "__range"]
-    ranged = df.withColumn("__range", F.expr(f"`{order}` div {width}"))
-    sizes = ranged.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
-    local = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    ranked = ranged.withColumn(_RANK, local)
-    match = ranked["__range"] == shifts["__range"]
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by = [*[F.col(c).asc_nulls_first() for c in group], *_places(df, order)]
+    placed = df.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("__place", F.monotonically_increasing_id())
+    placed = materialise(placed, "numbered").withColumn("__part", F.shiftrightunsigned("__place", 33))
+    keys = [*group, "__part"]
+    sizes = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__place").alias("__first"))
+    ranges = sizes.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("__part", "__first", "__n"))).alias("__ranges"))
+    before = F.aggregate(F.slice("__ranges", 1, F.col("__at")), F.lit(0).cast("bigint"), lambda total, r: total + r["__n"])
+    named = [F.col(c).alias(f"__in_{c}") for c in group]
+    opened = ranges.select(*named, "__ranges", F.posexplode("__ranges").alias("__at", "__r"))
+    shifts = opened.select(
+        *[f"__in_{c}" for c in group], F.col("__r.__part").alias("__of"), (before - F.col("__r.__first") + 1).alias("__shift"))
+    match = F.col("__part") == F.col("__of")
     for c in group:
-        match = match & ranked[c].eqNullSafe(shifts[c])
-    columns = [ranked[c] for c in df.columns]
-    return ranked.join(shifts, match).select(
-        *columns, (ranked[_RANK] + shifts["__shift"]).cast("bigint").alias(column)
-    )
+        match = match & F.col(c).eqNullSafe(F.col(f"__in_{c}"))
+    return placed.join(shifts, match).select(*df.columns, (F.col("__place") + F.col("__shift")).alias(column))
 
 
 def first_rows(df: DataFrame, n: int, order: str = "seq") -> DataFrame:
-    """The first ``n`` rows in ``order``; 0 means all.
+    """The first ``n`` rows in ``order``, null first, ties by a hash of the row; 0 means all.
 
     A small limit is a top-k; a large one is cut by number, so that its rows
-    never meet in one task.
+    never meet in one task.  Both follow the same order and give the same rows;
+    ``_ORDERED_LIMIT`` is about cost only.
     """
     if n <= 0:
         return df
     if n <= _ORDERED_LIMIT:
-        return df.orderBy(order).limit(n)
+        return df.orderBy(*_places(df, order)).limit(n)
     return number_within(df, [], order, "__number").filter(F.col("__number") <= n).drop("__number")
 
 
@@ -115,8 +126,8 @@ def number_batches(df: DataFrame, size: int, group: Sequence[str] = (), order: s
 
 
 def stable_sample(df: DataFrame, k: int, seed: int = 42, order: str = "seq") -> DataFrame:
-    """``k`` rows picked by a hash of the row order: same rows on any layout."""
-    return df.orderBy(F.xxhash64(F.col(order), F.lit(seed)), order).limit(k)
+    """``k`` rows picked by a hash of seed and row order: same rows on any layout and in any engine."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(order).cast("string"), F.lit("")))), order).limit(k)
 
 
 def synthetic_ids(df: DataFrame, group: Sequence[str] = ("facebook_group_id", "post_id"),
@@ -140,5 +151,9 @@ def append_latest(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("source
 
 
 def anti_join_keys(df: DataFrame, done: DataFrame, keys: Sequence[str] = ("source", "record_key")) -> DataFrame:
-    """Rows of ``df`` whose key is not among ``done``."""
-    return df.join(done.select(*keys), list(keys), "left_anti")
+    """Rows of ``df`` whose key is not among ``done``; null equals null."""
+    right = done.select(*[F.col(c).alias(f"__done_{c}") for c in keys])
+    match = F.lit(True)
+    for c in keys:
+        match = match & df[c].eqNullSafe(right[f"__done_{c}"])
+    return df.join(right, match, "left_anti")

@@ -8,9 +8,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
-from murmurlens.config import LABEL_ERROR, LABEL_INSTRUCTIONS, LABELS, VIETNAMESE, TextConfig
+from murmurlens.config import LABEL_ERROR, LABEL_INSTRUCTIONS, LABELS, QUOTA_MARKERS, VIETNAMESE, TextConfig
 from murmurlens.functions.common import computed_once, let
 from murmurlens.functions.scoring import toxic_score
 from murmurlens.functions.tokens import terms
@@ -23,6 +23,8 @@ Labeller = Callable[[list[str]], str]
 
 REPLY_TYPE = "array<struct<id:int, label:string>>"
 PARSE_ERROR = "parse_error"
+#: Error of batches that were not sent because the service has no quota left (fixed value).
+NOT_CALLED = "quota_exhausted_not_called"
 
 
 def label_requests(df: DataFrame, size: int = 25, text_col: str = "text", order: str = "seq") -> DataFrame:
@@ -94,36 +96,42 @@ def apply_labeller(df: DataFrame, labeller: Labeller, labelled_by: str, size: in
                    text_col: str = "text") -> DataFrame:
     """Send batches to ``labeller`` from the executors and parse what comes back.
 
-    Batches form inside each Arrow batch and rows pass through untouched, so
-    nothing is shuffled.  An exception marks its own batch only, with the
-    message in ``label_error``.
+    Batches form inside each Arrow batch, so nothing is shuffled.  A batch comes
+    back as one row with its rows in an array, and its reply is parsed once.  An
+    exception marks its own batch only, with the message in ``label_error``; after a
+    quota error the task calls no more and marks the rest ``NOT_CALLED``.
     """
     rest = df.drop("label", "label_error", "labeled_by")
-    answer = StructType.fromDDL("__reply string, __error string, __pos int, __size int")
+    rows_type = ArrayType(rest.schema, False)
+    sent_type = StructType([StructField("__rows", rows_type), *StructType.fromDDL("__reply string, __error string, __size int").fields])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        exhausted = False
         for batch in batches:
             texts = batch.column(text_col).to_pylist()
-            replies, errors, positions, sizes = [], [], [], []
-            for start in range(0, len(texts), size):
-                part = texts[start : start + size]
-                reply, error = None, None
-                try:
-                    reply = labeller(part)
-                except Exception as exc:  # noqa: BLE001 - any failure belongs to this batch
-                    error = str(exc).replace("\n", " ")[:500]
-                replies += [reply] * len(part)
-                errors += [error] * len(part)
-                positions += range(len(part))
-                sizes += [len(part)] * len(part)
-            added = [pa.array(replies, pa.string()), pa.array(errors, pa.string()),
-                     pa.array(positions, pa.int32()), pa.array(sizes, pa.int32())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *answer.names])
-
-    sent = rest.mapInArrow(send, StructType([*rest.schema.fields, *answer.fields]))
+            replies, errors, starts = [], [], list(range(0, len(texts), size))
+            for start in starts:
+                reply, error = None, NOT_CALLED if exhausted else None
+                if not exhausted:
+                    try:
+                        reply = labeller(texts[start : start + size])
+                    except Exception as exc:  # noqa: BLE001 - any failure belongs to this batch
+                        error = str(exc).replace("\n", " ")
+                        exhausted = any(marker in error.lower() for marker in QUOTA_MARKERS)
+                replies.append(reply)
+                errors.append(error)
+            bounds = pa.array([*starts, len(texts)], pa.int32())
+            rows = pa.ListArray.from_arrays(bounds, pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema)))
+            sizes = [min(size, len(texts) - start) for start in starts]
+            yield pa.RecordBatch.from_arrays(
+                [rows, pa.array(replies, pa.string()), pa.array(errors, pa.string()), pa.array(sizes, pa.int32())], sent_type.names)
+
+    sent = rest.mapInArrow(send, sent_type)
     labels = reply_labels(F.coalesce("__reply", F.lit("")), F.col("__size"))
-    labelled = computed_once(sent, "label", F.get(labels, F.col("__pos")))
-    return with_provenance(labelled, labelled_by, F.col("__error")).drop(*answer.names)
+    parsed = computed_once(sent.withColumn("__labels", labels), "__labels", labels)
+    opened = parsed.select(F.posexplode("__rows").alias("__pos", "__row"), "__labels", "__error")
+    labelled = opened.select("__row.*", "__error", F.get("__labels", F.col("__pos")).alias("label"))
+    return with_provenance(labelled, labelled_by, F.col("__error")).drop("__error")
 
 
 def validate_labels(df: DataFrame, show: int = 10) -> None:

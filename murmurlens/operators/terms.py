@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from murmurlens.config import LABELS, VIETNAMESE, TextConfig
 from murmurlens.functions.cleaning import split_spaces
 from murmurlens.functions.predicates import is_toxic
+from murmurlens.operators.dedup import cap_per_group
 from murmurlens.functions.tokens import Tokenizer, is_term, ngrams, terms
 
 
@@ -48,11 +49,13 @@ def display_cut(counts: DataFrame, term: str, k: int = 15) -> DataFrame:
 
 
 def keywords_per_label(counts: DataFrame, k: int = 15, labels: Sequence[str] = LABELS) -> DataFrame:
-    """Top ``k`` words of each label; Spark cuts to ``k`` before the shuffle."""
-    order = Window.partitionBy("label").orderBy(F.desc("count"), F.asc("word"))
-    return counts.filter(F.col("label").isin(*labels)).withColumn("rank", F.row_number().over(order)).filter(
-        F.col("rank") <= k
-    )
+    """Top ``k`` words of each label, whatever ``k``: labels are cut before they meet in one task."""
+    return _top_of_each(counts.filter(F.col("label").isin(*labels)), "label", "word", k)
+
+
+def _top_of_each(counts: DataFrame, group: str, term: str, k: int) -> DataFrame:
+    cut = cap_per_group(counts.withColumn("__down", -F.col("count")), [group], k, ["__down", term]).drop("__down")
+    return cut.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("count"), F.asc(term))))
 
 
 def ngram_counts(df: DataFrame, sizes: Sequence[int] = (2, 3), toxic_only: bool = True,
@@ -71,27 +74,36 @@ def ngram_counts(df: DataFrame, sizes: Sequence[int] = (2, 3), toxic_only: bool
 
 
 def top_ngrams(counts: DataFrame, k: int = 20) -> DataFrame:
-    order = Window.partitionBy("n").orderBy(F.desc("count"), F.asc("ngram"))
-    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return _top_of_each(counts, "n", "ngram", k)
 
 
 def distinct_ngrams(counts: DataFrame) -> DataFrame:
     return counts.groupBy("n").agg(F.count(F.lit(1)).alias("distinct_ngrams"))
 
 
+#: Lexicon entries up to which the lexicon is broadcast (an entry takes about 100 bytes).
+BROADCAST_ENTRIES = 100_000
+#: Copies of a larger lexicon that a term's rows are dealt out to.
+_SALTS = 16
+
+
 def lexicon_lookup(df: DataFrame, lexicon: DataFrame, config: TextConfig = VIETNAMESE,
-                   order: str = "seq") -> DataFrame:
+                   order: str = "seq", broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
     """Hits and total weight per row by joining exploded terms to a lexicon table.
 
-    For lexicons too large for a literal map.  The join side is left to the
-    optimizer, which broadcasts it only while its size allows.
+    For lexicons too large for a literal map.  Terms meet the lexicon first and
+    only hits are added up.  A lexicon of at most ``broadcast_entries`` is sent to all
+    executors, so no text is shuffled; a larger one is joined by term, each term's
+    rows dealt out to several copies of its entry, as a frequent term may be a
+    large part of all rows.
     """
     tokens = df.select(order, terms(F.col("text"), config).alias("tokens"))
     candidates = tokens.select(
         order, F.explode(F.concat("tokens", ngrams(F.col("tokens"), 2))).alias("term")
     )
-    # combine equal terms of a row first: a hot word then ships once per row
-    per_row = candidates.groupBy(order, "term").agg(F.count(F.lit(1)).alias("times"))
-    return per_row.join(lexicon, "term").groupBy(order).agg(
-        F.sum("times").alias("hits"), F.sum(F.col("times") * F.col("weight")).alias("weight")
-    )
+    if lexicon.limit(broadcast_entries + 1).count() <= broadcast_entries:
+        hits = candidates.join(F.broadcast(lexicon), "term")
+    else:
+        salted = lexicon.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        hits = candidates.withColumn("__salt", F.pmod(F.xxhash64(order), F.lit(_SALTS)).cast("int")).join(salted, ["term", "__salt"])
+    return hits.groupBy(order).agg(F.count(F.lit(1)).alias("hits"), F.sum("weight").alias("weight"))

@@ -47,11 +47,16 @@ def label_cycle(pending: DataFrame, store: DataFrame, label: LabelStep, max_rows
     )
 
 
-def run_cycle(pending: DataFrame, store: LabelStore, label: LabelStep, version: int, max_rows: int = 0) -> DataFrame:
-    """Same, committed: append one store version and return what is still pending."""
+def run_cycle(pending: DataFrame, store: LabelStore, label: LabelStep, version: int, max_rows: int = 0,
+              writer: str = "cycle") -> DataFrame:
+    """Same, committed: append one store version and return what is still pending.
+
+    What the version itself holds from an earlier run does not count as done, so
+    running a version again labels the same rows again and replaces them.
+    """
     keyed = with_record_key(pending)
-    open_rows = anti_join_keys(keyed, store.keys())
-    store.append(labelled(label(pending_batch(open_rows, max_rows))), version)
+    open_rows = anti_join_keys(keyed, store.keys(without=(writer, version)))
+    store.append(labelled(label(pending_batch(open_rows, max_rows))), version, writer)
     return anti_join_keys(keyed, store.keys())
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -31,19 +34,25 @@ def build_session(app_name: str = "murmurlens", master: str | None = None, **con
 
 
 def staging_root(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: ``spark.checkpoint.dir``.
+    """Shared folder for intermediate tables: ``spark.checkpoint.dir``, else the context's checkpoint folder.
 
     A cluster must name one, because executors come and go and a machine-local
     folder would go with them.  Only a ``local[...]`` session that names none
-    gets a temporary folder.
+    gets a temporary folder, removed when Python ends.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     sc = spark.sparkContext
-    if not sc.master.startswith("local"):
+    checkpoint = sc._jsc.sc().getCheckpointDir()
+    if checkpoint.isDefined():
+        return checkpoint.get().rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    return _LOCAL_STAGING.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="murmurlens-"))
+    if sc.applicationId not in _LOCAL_STAGING:
+        _LOCAL_STAGING[sc.applicationId] = tempfile.mkdtemp(prefix="murmurlens-")
+        atexit.register(shutil.rmtree, _LOCAL_STAGING[sc.applicationId], ignore_errors=True)
+    return _LOCAL_STAGING[sc.applicationId]
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
@@ -60,13 +69,3 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = staging_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a table of fewer files than cores to all cores.
-
-    A file with a single row group is one task however large it is.  A table
-    of many files, the normal case, is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df

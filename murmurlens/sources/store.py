@@ -1,23 +1,42 @@
 """Append-only label store.
 
-Every cycle appends its own rows under ``version=<n>``; a reader keeps the
-last row per ``record_key``.  A cycle therefore writes what is new, never the
-whole store, and replaying a version replaces that version only.  Spark's file
-commit makes a version visible when its job ends, so a crash leaves nothing
-half-written behind, and "pending" is simply *ingested minus stored*: there is
-no second file that could disagree.
+A version belongs to a writer (a cycle, a stream, a review) and has a number.  Its
+rows go into a folder of their own for each attempt; once they are written, an empty
+file under ``_versions`` names the attempt, and with that rename the version is there.
+So a crash leaves the version as it was before, and writing a version again replaces
+that version only.  A reader keeps the last row per ``record_key``, versions in the order
+of their first commit.  "Pending" is *ingested minus stored*: there is no second file
+that could disagree.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from murmurlens.functions.keys import with_record_key
 from murmurlens.operators.dedup import keep_last
 from murmurlens.sources.comments import COMMENT_SCHEMA, labelled
 
 
+class Version(NamedTuple):
+    """A committed version: place in the order, times committed, and where its rows are."""
+
+    sequence: int
+    generation: int
+    writer: str
+    number: int
+    attempt: str
+
+    @property
+    def file_name(self) -> str:
+        return f"{self.sequence:09d}~{self.generation:06d}~{self.writer}~{self.number}~{self.attempt}"
+
+
 class LabelStore:
     """Labelled comments at ``path``, keyed by ``record_key``."""
 
@@ -26,34 +45,71 @@ class LabelStore:
         self.path = path.rstrip("/")
         self.schema = schema
 
+    def _fs(self, path: str):
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop, hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[Version]:
+        """Committed versions in order, one entry each; a folder listing, no rows are read."""
+        folder, fs = self._fs(f"{self.path}/_versions")
+        if not fs.exists(folder):
+            return []
+        found: dict[tuple[str, int], Version] = {}
+        for name in sorted(status.getPath().getName() for status in fs.listStatus(folder)):
+            if m := re.fullmatch(r"(\d+)~(\d+)~([^~]+)~(\d+)~([0-9a-f]+)", name):
+                version = Version(int(m[1]), int(m[2]), m[3], int(m[4]), m[5])
+                known = found.get((version.writer, version.number))
+                if known is None or known.generation <= version.generation:
+                    found[version.writer, version.number] = version
+        return sorted(found.values())
+
     def exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return bool(fs.exists(path))
+        return bool(self.versions())
 
-    def append(self, rows: DataFrame, version: int) -> None:
-        """Add one version; writing the same version again replaces it."""
+    def append(self, rows: DataFrame, version: int, writer: str = "cycle") -> None:
+        """Commit one version of a writer; the same version again replaces it."""
+        if not re.fullmatch(r"[\w.:-]+", writer):
+            raise ValueError("a writer's name has letters, digits and _ . : - only")
         known = [f for f in self.schema if f.name in rows.columns]
         projected = rows.select(
             *[F.col(f.name).cast(f.dataType) for f in known],
             *[F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema if f.name not in rows.columns],
         )
-        labelled(projected).write.mode("overwrite").parquet(f"{self.path}/version={int(version)}")
+        attempt = uuid.uuid4().hex
+        labelled(projected).write.parquet(f"{self.path}/rows/{attempt}")
+        before = self.versions()
+        same = [v for v in before if (v.writer, v.number) == (writer, int(version))]
+        if same:
+            committed = same[0]._replace(generation=same[0].generation + 1, attempt=attempt)
+        else:
+            committed = Version(max((v.sequence for v in before), default=-1) + 1, 0, writer, int(version), attempt)
+        draft, fs = self._fs(f"{self.path}/_drafts/{attempt}")
+        target, _ = self._fs(f"{self.path}/_versions/{committed.file_name}")
+        fs.mkdirs(target.getParent())
+        fs.create(draft, True).close()
+        if not fs.rename(draft, target):
+            raise RuntimeError(f"version {version} of {writer} could not be committed")
 
-    def log(self) -> DataFrame:
-        """Every stored row with its version."""
-        schema = StructType([*self.schema, StructField("version", LongType())])
-        if not self.exists():
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.path)
+    def log(self, without: tuple[str, int] | None = None) -> DataFrame:
+        """Every stored row with its version's place; ``without`` leaves one (writer, number) out."""
+        schema = StructType([*self.schema, StructField("version", LongType()), StructField("writer", StringType())])
+        out = self.spark.createDataFrame([], schema)
+        chosen = [v for v in self.versions() if (v.writer, v.number) != without]
+        if not chosen:
+            return out
+        # one scan of all folders; the few version entries join by folder name
+        rows = self.spark.read.schema(self.schema).parquet(*(f"{self.path}/rows/{v.attempt}" for v in chosen))
+        rows = rows.withColumn("__attempt", F.regexp_extract("_metadata.file_path", "/rows/([0-9a-f]+)/", 1))
+        places = self.spark.createDataFrame([(v.attempt, v.sequence, v.writer) for v in chosen], "__attempt string, version bigint, writer string")
+        return rows.join(F.broadcast(places), "__attempt").select(*[f.name for f in schema])
 
     def read(self) -> DataFrame:
         """Current labels: the last row per key."""
-        return keep_last(self.log(), ["record_key"], ["version", "seq"]).drop("version")
+        return keep_last(self.log(), ["record_key"], ["version", "seq"]).drop("version", "writer")
 
-    def keys(self) -> DataFrame:
+    def keys(self, without: tuple[str, int] | None = None) -> DataFrame:
         """Source and key of every stored row: enough for an anti-join, no ranking."""
-        return self.log().select("source", "record_key")
+        return self.log(without).select("source", "record_key")
 
     def compact_to(self, path: str) -> LabelStore:
         """Write the current labels as one version elsewhere and return that store."""

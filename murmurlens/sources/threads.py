@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from murmurlens.functions.keys import epoch_to_iso
@@ -69,12 +71,16 @@ def _children(node: Column, path: str) -> Column:
     return F.try_variant_get(node, path, "array<variant>")
 
 
+def unreadable_json(rows: DataFrame, json_col: str = "json") -> DataFrame:
+    """Rows whose JSON cannot be read, nested beyond the parser included: the reject table of the readers here."""
+    return rows.filter(F.col(json_col).isNotNull() & F.try_parse_json(json_col).isNull())
+
+
 def flatten_reply_trees(
     threads: DataFrame,
     json_col: str = "json",
     post_col: str = "post_id",
     accept=None,
-    max_depth: int = 100,
 ) -> DataFrame:
     """All live comments of nested reply trees, with their pre-order path.
 
@@ -82,7 +88,8 @@ def flatten_reply_trees(
     the comments accepted in the pass before, so a rejected comment takes its
     subtree with it.  Levels, with the replies still to open as variants, are
     written to the staging area: JSON is parsed once and the plan stays flat
-    however deep the deepest tree is.  ``accept(body)`` adds a
+    however deep the deepest tree is.  What cannot be read has no comments here
+    and is in ``unreadable_json``.  ``accept(body)`` adds a
     text rule, such as the language test.
     """
     root = F.try_parse_json(json_col)
@@ -90,7 +97,7 @@ def flatten_reply_trees(
         post_col, F.lit("").alias("prefix"), _children(root, "$[1].data.children").alias("children")
     )
     done = []
-    for depth in range(max_depth):
+    for depth in count():
         data = F.col("node")
         body = F.try_variant_get(data, "$.data.body", "string")
         author = F.coalesce(F.try_variant_get(data, "$.data.author", "string"), F.lit(""))
@@ -121,9 +128,6 @@ def flatten_reply_trees(
             break
         done.append(opened.drop("children"))
         level = opened.filter(F.size("children") > 0).select(post_col, F.col("path").alias("prefix"), "children")
-    else:
-        if not level.isEmpty():
-            raise RuntimeError(f"reply trees are deeper than {max_depth} levels")
     if not done:
         return opened.drop("children").withColumn("source", F.lit("reddit"))
     out = done[0]

@@ -9,7 +9,7 @@ from murmurlens.config import VIETNAMESE, TextConfig
 from murmurlens.functions.cleaning import clean_text
 from murmurlens.functions.common import computed_once
 from murmurlens.functions.keys import with_record_key
-from murmurlens.operators.dedup import keep_last
+from murmurlens.operators.dedup import anti_join_keys, keep_last
 from murmurlens.operators.labelling import lexicon_label, with_provenance
 from murmurlens.plans.labelling import LabelStep
 from murmurlens.sources.comments import with_row_order
@@ -42,15 +42,17 @@ def prepare(batch: DataFrame, min_length: int = 5, config: TextConfig = VIETNAME
 
 
 def start_ingest(comments: DataFrame, store: LabelStore, checkpoint: str, label: LabelStep,
-                 config: TextConfig = VIETNAMESE, min_length: int = 5) -> StreamingQuery:
+                 config: TextConfig = VIETNAMESE, min_length: int = 5, writer: str = "stream") -> StreamingQuery:
     """Process what has arrived and stop.
 
-    Each micro-batch becomes the store version of its batch id, so a replayed
-    batch replaces itself.  Keys are resolved by the store, hence no watermark.
+    Each micro-batch becomes the version of its batch id for this ``writer`` (one
+    name per stream), so a replayed batch replaces itself.  Comments that the
+    store holds already, from a review or another stream, keep their labels.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        store.append(label(prepare(batch, min_length, config)), batch_id)
+        fresh = anti_join_keys(prepare(batch, min_length, config), store.keys(without=(writer, batch_id)))
+        store.append(label(fresh), batch_id, writer)
 
     return (
         keyed_rows(comments)

@@ -104,8 +104,22 @@ def test_reply_tree_is_pre_order_and_skips_subtrees(spark):
     assert rows[0]["published_at"] == "2023-11-14T22:13:20+00:00" and rows[2]["depth"] == 2
     assert threads.flatten_reply_trees(df, accept=lambda t: t.startswith("A")).count() == 4
     assert threads.flatten_reply_trees(df, accept=looks_vietnamese).count() == 0
-    with pytest.raises(RuntimeError, match="deeper"):
-        threads.flatten_reply_trees(df, max_depth=2)
+    assert [r["post_id"] for r in threads.unreadable_json(df).collect()] == ["p3"]
+
+
+def test_reply_trees_have_no_depth_limit(spark):
+    def chain(levels):
+        tree = []
+        for k in reversed(range(levels)):
+            tree = [comment(f"c{k}", f"text {k}", tree)]
+        return json.dumps([{}, {"data": {"children": tree}}])
+
+    df = spark.createDataFrame([("deep", chain(110)), ("flat", chain(1)), ("beyond", chain(900))], "post_id string, json string")
+    counts = {r["post_id"]: r["count"] for r in threads.flatten_reply_trees(df).groupBy("post_id").count().collect()}
+    rejected = {r["post_id"] for r in threads.unreadable_json(df).collect()}
+    assert counts["flat"] == 1 and rejected <= {"deep", "beyond"}
+    for name, levels in (("deep", 110), ("beyond", 900)):
+        assert (name in rejected) != (counts.get(name) == levels)
 
 
 def test_post_listing(spark):

@@ -187,3 +187,19 @@ def test_common_subsequence(a, b):
         for j, y in enumerate(b, 1):
             prev, row[j] = row[j], prev + 1 if x == y else max(row[j], row[j - 1])
     assert _common_subsequence(a, b) == row[-1]
+
+
+def test_redirects_of_any_depth(spark):
+    from urllib.parse import quote
+
+    link = "https://www.facebook.com/groups/9/posts/123"
+    links = [link]
+    for _ in range(6):
+        links.append("https://l.facebook.com/l.php?u=" + quote(links[-1], safe=""))
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(links)], "i int, url string")
+    assert [r["id"] for r in df.select(K.post_id_of_url(F.col("url")).alias("id")).collect()] == ["123"] * 7
+
+
+def test_times_out_of_range_are_null(spark):
+    df = spark.createDataFrame([(1e15,), (1e20,), (float("nan"),), (None,), (0.0,), (1700000000.0,)], "t double")
+    assert [r["x"] for r in df.select(K.epoch_to_iso(F.col("t")).alias("x")).collect()] == [None] * 5 + ["2023-11-14T22:13:20+00:00"]

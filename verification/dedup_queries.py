@@ -140,8 +140,8 @@ def capped_per_conversation(spark, sf):
     return D.cap_per_group(table(spark, sf, "conversations"), ["conv_id"], 3, ["turn"]).select("conv_id", "turn", "role")
 
 
-@query("capped_per_user_in_shards", "SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events) WHERE r <= 1500")
-def capped_per_user_in_shards(spark, sf):
+@query("capped_per_event_type_in_shards", "SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events) WHERE r <= 1500")
+def capped_per_event_type_in_shards(spark, sf):
     return D.cap_per_group(table(spark, sf, "events"), ["event_type"], 1500, ["event_id"]).select("event_type", "event_id")
 
 
@@ -154,14 +154,35 @@ def batches_per_source(spark, sf):
 
 @query("batches", """
 SELECT event_id, (n - 1) // 25 AS batch_id, CAST((n - 1) % 25 AS INTEGER) AS pos FROM (
-  SELECT event_id, row_number() OVER (ORDER BY event_id) AS n FROM events WHERE event_type <> 'view')""")
+  SELECT event_id, row_number() OVER (ORDER BY event_id) AS n FROM events)""")
 def batches(spark, sf):
-    rows = table(spark, sf, "events").filter("event_type <> 'view'").select("event_id")
-    numbered = D.number_within(rows, [], "event_id", "n", width=512)
+    rows = table(spark, sf, "events").select("event_id")
+    numbered = D.number_within(rows, [], "event_id", "n")
     return numbered.select("event_id", F.floor((F.col("n") - 1) / 25).alias("batch_id"),
                            F.pmod(F.col("n") - 1, F.lit(25)).cast("int").alias("pos"))
 
 
-@query("seeded_sample")
+@query("seeded_sample", "SELECT doc_id AS seq, source FROM documents ORDER BY md5('42|' || doc_id), doc_id LIMIT 50")
 def seeded_sample(spark, sf):
     return D.stable_sample(docs(spark, sf), 50).select("seq", "source")
+
+
+@query("numbers_of_null_and_hashed_order", """
+SELECT event_id, n <= 3000 AS early FROM (
+  SELECT event_id, row_number() OVER (ORDER BY o NULLS FIRST) AS n FROM (
+    SELECT event_id, CASE WHEN event_id <> 7 THEN ('0x' || left(md5(event_id::VARCHAR), 15))::BIGINT END AS o FROM events))""")
+def numbers_of_null_and_hashed_order(spark, sf):
+    """Numbering by sparse values, one of them null."""
+    hashed = F.conv(F.left(F.md5(F.col("event_id").cast("string")), F.lit(15)), 16, 10).cast("long")
+    rows = table(spark, sf, "events").select("event_id", F.when(F.col("event_id") != 7, hashed).alias("o"))
+    return D.number_within(rows, [], "o", "n").select("event_id", (F.col("n") <= 3000).alias("early"))
+
+
+@query("first_rows_beyond_top_k", "SELECT event_id FROM events ORDER BY event_id LIMIT 10001")
+def first_rows_beyond_top_k(spark, sf):
+    return D.first_rows(table(spark, sf, "events").select("event_id"), 10_001, "event_id")
+
+
+@query("first_rows_as_top_k", "SELECT event_id FROM events ORDER BY event_id LIMIT 10000")
+def first_rows_as_top_k(spark, sf):
+    return D.first_rows(table(spark, sf, "events").select("event_id"), 10_000, "event_id")

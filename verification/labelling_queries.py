@@ -110,6 +110,60 @@ def committed_cycle(spark, sf):
     return labels.read().select("record_key", "label")
 
 
+@query("uncapped_cycle", sql(_CYCLE, "SELECT record_key, lex AS label FROM k WHERE label IS NULL"))
+def uncapped_cycle(spark, sf):
+    """One cycle over all pending rows."""
+    labels = LabelStore(spark, staging_path(spark, "cycle"))
+    P.run_cycle(with_record_key(comments(spark, sf)).filter("label IS NULL"), labels, ingest.lexicon_step(config=FIXTURE), 1)
+    return labels.read().select("record_key", "label")
+
+
+@query("replayed_cycle", sql(_CYCLE, "SELECT record_key, lex AS label, false AS pending FROM k WHERE label IS NULL"))
+def replayed_cycle(spark, sf):
+    """The same version run twice, as after a crash: same as once."""
+    pending = with_record_key(comments(spark, sf)).filter("label IS NULL")
+    labels = LabelStore(spark, staging_path(spark, "cycle"))
+    for _ in range(2):
+        left = P.run_cycle(pending, labels, ingest.lexicon_step(config=FIXTURE), 1)
+    still = left.select(F.col("record_key").alias("k")).distinct()
+    rows = labels.read()
+    return rows.join(still, rows["record_key"] == still["k"], "left").select("record_key", "label", F.col("k").isNotNull().alias("pending"))
+
+
+@query("stream_after_review", sql(f"{CLEANED}, j AS (SELECT c.seq, c.t AS text, d.source FROM cleaned c JOIN documents d ON d.doc_id = c.seq WHERE length(c.t) >= 5 AND c.seq % 7 <> 0), {sql_lexicon('j', 'text', 'x')}",
+                                  """SELECT source || '|comment|' || seq AS record_key, lex AS label, 'Lexicon' AS labeled_by FROM x
+UNION ALL SELECT source || '|comment|' || doc_id, 'HATE', 'Manual' FROM documents WHERE doc_id % 7 = 0"""))
+def stream_after_review(spark, sf):
+    """Manual labels of some comments, then all of them arrive on a stream: the manual ones stay."""
+    docs = table(spark, sf, "documents")
+    rows = docs.select(F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("comment_id"), "text", "source")
+    labels = LabelStore(spark, staging_path(spark, "stream-store"))
+    manual = with_record_key(rows.filter("seq % 7 = 0")).withColumns({"label": F.lit("HATE"), "labeled_by": F.lit("Manual")})
+    labels.append(manual, 0, "review")
+    stream = spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    arriving = stream.select(F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("comment_id"), "text", "source")
+    step = ingest.lexicon_step(config=FIXTURE)
+    ingest.start_ingest(arriving, labels, staging_path(spark, "stream-checkpoint"), step, FIXTURE).awaitTermination()
+    return labels.read().select("record_key", "label", "labeled_by")
+
+
+@query("labeller_out_of_quota", """
+SELECT doc_id AS seq, CASE WHEN doc_id < 50 THEN '' WHEN doc_id < 75 THEN 'Quota exceeded' ELSE 'quota_exhausted_not_called' END AS label_error
+FROM documents""")
+def labeller_out_of_quota(spark, sf):
+    """A service that refuses from the third batch on; the rest of its task is not sent."""
+    calls = []
+
+    def labeller(texts):
+        calls.append(len(texts))
+        if len(calls) > 2:
+            raise RuntimeError("Quota exceeded")
+        return "[" + ",".join(f'{{"id": {i}, "label": "CLEAN"}}' for i in range(len(texts))) + "]"
+
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), "text").coalesce(1).sortWithinPartitions("seq")
+    return L.apply_labeller(rows, labeller, "Service", 25).select("seq", "label_error")
+
+
 @query("final_labels", sql(LABELLED, """
 SELECT text, source, label FROM (SELECT text, source, CASE WHEN lang = 'en' THEN 'HATE' ELSE label END AS label,
   row_number() OVER (PARTITION BY text, source ORDER BY CASE WHEN lang = 'en' THEN 1 ELSE 0 END DESC, seq DESC) AS r FROM labelled) WHERE r = 1"""))
