@@ -19,7 +19,9 @@ import json
 import re
 import sys
 import unicodedata
+from bisect import bisect_right
 from functools import lru_cache
+from itertools import accumulate
 from pathlib import Path
 
 import ahocorasick
@@ -213,7 +215,26 @@ class PrefixCounter(dict):
 
     def longest_prefix(self, text: str, budget: int) -> int:
         """Code points of the longest prefix of at most ``budget`` tokens."""
-        return int(np.flatnonzero(self.prefix_counts(text, budget) <= budget)[-1])
+        return self.count_and_fit(text, budget)[1]
+
+    def count_and_fit(self, text: str, budget: int) -> tuple[int, int]:
+        """Tokens of the whole text, and code points of its longest prefix of at most ``budget`` tokens."""
+        if any(s in text for s in self._specials):
+            total = self.count(text)
+            return total, len(text) if total <= budget else int(np.flatnonzero(self.prefix_counts(text, budget) <= budget)[-1])
+        pieces = self._pieces.findall(text)
+        counts = list(map(self.__getitem__, pieces))
+        total = sum(counts)
+        if total <= budget:
+            return total, len(text)
+        # whole pieces as far as they fit, then prefixes of what follows; white space before it belongs to it
+        sums = list(accumulate(counts[:budget + 1]))
+        k = bisect_right(sums, budget)
+        while k and pieces[k - 1].isspace():
+            k -= 1
+        before, at = sums[k - 1] if k else 0, sum(map(len, pieces[:k]))
+        inside = self._plain_prefixes(text[at:], budget - before)
+        return total, at + int(np.flatnonzero(inside <= budget - before)[-1])
 
 
 @lru_cache(maxsize=2)
@@ -234,12 +255,13 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, prefixes: b
         counter = prefix_counter(vocabulary)
 
         def compute(texts: list[str]) -> dict:
-            counts = np.fromiter(map(counter.count, texts), dtype=np.int64, count=len(texts))
+            found = [counter.count_and_fit(t, limit) for t in texts]
+            counts = np.array([n for n, _ in found], dtype=np.int64)
             out = {
                 "n_bytes": np.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], dtype=np.int64),
                 "n_tokens": counts,
                 "over_limit": counts > limit,
-                "fit_chars": np.array([counter.longest_prefix(t, limit) if n > limit else len(t) for t, n in zip(texts, counts)], dtype=np.int64),
+                "fit_chars": np.array([n for _, n in found], dtype=np.int64),
             }
             if prefixes:
                 out["prefix_tokens"] = [counter.prefix_counts(t).tolist() for t in texts]
