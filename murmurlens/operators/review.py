@@ -54,11 +54,13 @@ def import_review(review: DataFrame, store: DataFrame, pending: DataFrame, label
                   platform: str = "reddit") -> ReviewImport:
     """Move filled labels into the store and out of the pending rows.
 
-    Nothing happens if one filled label is outside the domain.
+    Nothing happens if one filled label is outside the domain, or none is filled.
     """
     keyed = with_record_key(review, platform).withColumn("label", normalize_label(F.col("label")))
     validate_labels(keyed)
     filled = F.col("label").isin(*LABELS)
+    if keyed.filter(filled).isEmpty():
+        raise ValueError("no label is filled in")
     now = keyed.filter(filled).withColumn("labeled_by", F.lit(labelled_by))
     if "split" not in now.columns:
         now = now.withColumn("split", F.lit(COLLECTED_SPLIT))

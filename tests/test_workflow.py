@@ -200,6 +200,8 @@ def test_review_round_trip(spark, tmp_path):
     assert ("reddit|comment|777", "CLEAN") in values(R.import_review(bare, store, pending).store, "record_key", "label")
     with pytest.raises(ValueError, match="CLEAN, OFFENSIVE, HATE"):
         R.import_review(filled.withColumn("label", F.lit("NICE")), store, pending)
+    with pytest.raises(ValueError, match="no label"):
+        R.import_review(filled.withColumn("label", F.lit(" ")), store, pending)
 
 
 def test_stream_equals_batch(spark, tmp_path):

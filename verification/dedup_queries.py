@@ -6,7 +6,7 @@ from murmurlens.functions import cleaning as N, keys as K
 from murmurlens.operators import dedup as D, neardup as ND, terms as W
 from murmurlens.plans.cleaning import clean_comments, cleaning_audit
 from verification.registry import (
-    COMMENTS, FIXTURE, LABELLED, SCORED, comments, labelled_comments, query, sql, table,
+    COMMENTS, FIXTURE, LABELLED, SCORED_ALL, comments, labelled_comments, query, sql, table,
 )
 from verification.text_queries import CLEANED, NORMAL, docs
 
@@ -123,10 +123,17 @@ def pending_without_labelled(spark, sf):
     return D.anti_join_keys(keyed, keyed.filter(F.col("label").isNotNull())).select("seq", "record_key")
 
 
-@query("lexicon_join", sql(SCORED, "SELECT seq, len(w) AS hits, list_sum(w)::BIGINT AS weight FROM scored WHERE len(w) > 0"))
+@query("lexicon_join", sql(SCORED_ALL, "SELECT seq, len(w) AS hits, list_sum(w)::BIGINT AS weight FROM scored WHERE len(w) > 0"))
 def lexicon_join(spark, sf):
     lexicon = spark.createDataFrame(list(FIXTURE.lexicon.items()), "term string, weight int")
-    return W.lexicon_lookup(labelled_comments(spark, sf), lexicon, FIXTURE)
+    return W.lexicon_lookup(docs(spark, sf), lexicon, FIXTURE)
+
+
+@query("lexicon_join_salted", sql(SCORED_ALL, "SELECT seq, len(w) AS hits, list_sum(w)::BIGINT AS weight FROM scored WHERE len(w) > 0"))
+def lexicon_join_salted(spark, sf):
+    """The way of a lexicon too large to broadcast."""
+    lexicon = spark.createDataFrame(list(FIXTURE.lexicon.items()), "term string, weight int")
+    return W.lexicon_lookup(docs(spark, sf), lexicon, FIXTURE, broadcast_entries=0)
 
 
 # ---- limits, caps, numbering, samples --------------------------------------

@@ -122,6 +122,8 @@ scored AS (SELECT seq, source, text, label, published_at, tokens, w, toxic_score
    len(list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '')) AS n_words,
    len(list_filter(tokens, lambda t: t IN ({_WORD_KEYS}))) AS n_toxic_words
  FROM raw)"""
+#: The same over all documents, labelled or not.
+SCORED_ALL = SCORED.replace("AS tokens FROM labelled)", "AS tokens FROM comments)")
 
 
 def sql(ctes: str, body: str) -> str:

@@ -7,6 +7,7 @@ from murmurlens.functions import predicates as P
 from murmurlens.functions.cleaning import strip
 from murmurlens.operators import dedup
 from murmurlens.operators.review import review_columns
+from murmurlens.plans import ingest
 from murmurlens.session import staging_path
 from murmurlens.sources import comments as C, corpus, store, threads
 from verification.registry import (
@@ -111,8 +112,7 @@ WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
 SELECT CAST(doc_id AS VARCHAR) AS post_id, path, depth, text FROM seg"""
 
 
-@query("reply_trees", _TREE_SQL)
-def reply_trees(spark, sf):
+def _trees(spark, sf):
     """Lines as comments, sentences as replies, clauses as replies to those."""
 
     def node(body, author, replies):
@@ -127,11 +127,25 @@ def reply_trees(spark, sf):
     line = lambda t, i: node(t, F.when(i % 7 == 3, "AutoModerator").otherwise("cy"),
                              listing(F.transform(F.split(t, r"\. "), sentence)))
     top = F.to_json(listing(F.transform(F.split("text", "\n"), line)))
-    posts = table(spark, sf, "documents").select(
+    return table(spark, sf, "documents").select(
         F.col("doc_id").cast("string").alias("post_id"), F.concat(F.lit("[{},"), top, F.lit("]")).alias("json"))
-    return threads.flatten_reply_trees(posts).select("post_id", "path", "depth", "text")
 
 
+@query("reply_trees", _TREE_SQL)
+def reply_trees(spark, sf):
+    return threads.flatten_reply_trees(_trees(spark, sf)).select("post_id", "path", "depth", "text")
+
+
+@query("threads_ingest", f"""
+WITH t AS ({_TREE_SQL}), c AS (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY path) AS k FROM t),
+d AS (SELECT *, row_number() OVER (PARTITION BY post_id, text ORDER BY path) AS r FROM c WHERE k <= 20)
+SELECT post_id, path, d.text, left(documents.text, 80) AS post_title
+FROM d JOIN documents ON CAST(doc_id AS VARCHAR) = post_id WHERE r = 1 AND length(d.text) >= 5""")
+def threads_ingest(spark, sf):
+    posts = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("post_id"), F.left("text", F.lit(80)).alias("post_title"))
+    found = ingest.ingest_threads(_trees(spark, sf), posts, 20, accept=None)
+    return found.select("post_id", "path", "text", "post_title")
+
 def _listings(spark, sf):
     child = F.struct(
         F.when(F.col("page_id") % 5 == 0, "t5").otherwise("t3").alias("kind"),
@@ -249,6 +263,18 @@ def valid_comments(spark, sf):
     return lines.filter(P.is_valid_comment(F.col("t"), FIXTURE)).select("doc_id", "i")
 
 
+@query("posts_ingest", f"""
+WITH v AS (SELECT doc_id AS seq, lang AS g, source AS p, {sql_strip('text')} AS t FROM documents),
+u AS (SELECT g, p, t, min(seq) AS seq FROM v WHERE length(t) >= 5 AND NOT regexp_matches(replace(t, ' ', ''), '^[0-9]+$') AND {_UI} GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY g, p ORDER BY seq) AS k FROM u),
+f AS (SELECT *, row_number() OVER (PARTITION BY p, t ORDER BY seq DESC) AS r FROM n WHERE k <= 30)
+SELECT 'facebook_' || g || '_' || p || '_' || k AS comment_id, p AS post_id, seq, 'collected' AS split FROM f WHERE r = 1""")
+def posts_ingest(spark, sf):
+    rows = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("seq"), "text", F.col("lang").alias("facebook_group_id"), F.col("source").alias("post_id"))
+    return ingest.ingest_posts(rows, max_comments=30, config=FIXTURE).select("comment_id", "post_id", "seq", "split")
+
+
 @query("live_comments", "SELECT conv_id, turn, role FROM conversations WHERE text NOT IN ('[deleted]', '[removed]', '') AND role <> 'system'")
 def live_comments(spark, sf):
     chats = table(spark, sf, "conversations")

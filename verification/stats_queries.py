@@ -6,7 +6,7 @@ from murmurlens.operators import stats as S, terms as W
 from murmurlens.plans.analysis import score_comments
 from murmurlens.plans.report import summary_report
 from verification.registry import (
-    COMMENTS, FIXTURE, LABELLED, SCORED, comments, labelled_comments, query, sql, sql_terms, table,
+    COMMENTS, FIXTURE, LABELLED, SCORED, SCORED_ALL, comments, labelled_comments, query, sql, sql_terms, table,
 )
 
 TOXIC = "label IN ('OFFENSIVE', 'HATE')"
@@ -171,12 +171,12 @@ def length_score_correlation(spark, sf):
     return S.length_score_correlation(scored(spark, sf))
 
 
-@query("correlation_bands", sql(SCORED, """
+@query("correlation_bands", sql(SCORED_ALL, """
 SELECT seq, CASE WHEN abs(toxic_score / 100) < 0.3 THEN 'weak' WHEN abs(toxic_score / 100) < 0.7 THEN 'medium' ELSE 'strong' END AS strength FROM scored"""))
 def correlation_bands(spark, sf):
     from murmurlens.functions.scoring import correlation_band
 
-    return scored(spark, sf).select("seq", correlation_band(F.col("toxic_score") / 100).alias("strength"))
+    return score_comments(comments(spark, sf), FIXTURE).select("seq", correlation_band(F.col("toxic_score") / 100).alias("strength"))
 
 
 @query("metrics_by_label", sql(SCORED, """

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from murmurlens.functions import cleaning as N, keys as K, scoring as S, similarity as M, tokens as T
 from murmurlens.plans.analysis import score_comments
 from verification.registry import (
-    COMMENTS, FIXTURE, SCORED, comments, labelled_comments, query, quoted, sql, sql_pairs, sql_strip, sql_terms, table,
+    COMMENTS, FIXTURE, SCORED_ALL, comments, labelled_comments, query, quoted, sql, sql_pairs, sql_strip, sql_terms, table,
 )
 
 # ---- SQL for the cleaning chain --------------------------------------------
@@ -118,17 +118,17 @@ def ngrams(spark, sf):
     return tokens.select("seq", F.inline(F.array(gram(2), gram(3))))
 
 
-@query("lexicon_scores", sql(SCORED, "SELECT seq, len(w) AS hits, toxic_score, toxic_level FROM scored"))
+@query("lexicon_scores", sql(SCORED_ALL, "SELECT seq, len(w) AS hits, toxic_score, toxic_level FROM scored"))
 def lexicon_scores(spark, sf):
-    tokens = labelled_comments(spark, sf).select("seq", T.terms(F.col("text"), FIXTURE).alias("t"))
+    tokens = docs(spark, sf).select("seq", T.terms(F.col("text"), FIXTURE).alias("t"))
     hits = tokens.select("seq", S.lexicon_hits(F.col("t"), FIXTURE).alias("w"))
     scores = hits.select("seq", F.size("w").alias("hits"), S.score_of_hits(F.col("w")).alias("toxic_score"))
     return scores.withColumn("toxic_level", S.toxic_level(F.col("toxic_score")))
 
 
-@query("toxic_word_counts", sql(SCORED, "SELECT seq, n_toxic_words, n_chars, n_words FROM scored"))
+@query("toxic_word_counts", sql(SCORED_ALL, "SELECT seq, n_toxic_words, n_chars, n_words FROM scored"))
 def toxic_word_counts(spark, sf):
-    return score_comments(labelled_comments(spark, sf), FIXTURE).select("seq", "n_toxic_words", "n_chars", "n_words")
+    return score_comments(docs(spark, sf), FIXTURE).select("seq", "n_toxic_words", "n_chars", "n_words")
 
 
 @query("text_lengths", """SELECT doc_id AS seq, length(text) AS chars,
