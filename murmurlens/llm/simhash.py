@@ -35,7 +35,7 @@ from operator import xor
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from murmurlens.session import materialise
 
@@ -154,25 +154,38 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
             return current.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
 
 
-def near_duplicate_components(docs: DataFrame, radius: int = RADIUS, text: str = "text") -> DataFrame:
-    """doc_id, fp and component_id of every row."""
+def _classed(docs: DataFrame, radius: int, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, __hash of the text, fp), and (fp, root, component_id) of the distinct fingerprints."""
     spark = docs.sparkSession
-    rows = materialise(with_fingerprint(docs, text), "simhash")
+    hashed = docs.select("doc_id", F.col(text).alias("__raw"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__hash"))
+    rows = materialise(with_fingerprint(hashed, "__raw", ("doc_id", "__hash")), "simhash")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(spark, links(spark, distinct.select("fp"), radius))
     classed = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = classed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = classed.join(named, "root").select("fp", "component_id")
-    return rows.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    return rows, classed.join(named, "root").select("fp", "root", "component_id")
+
+
+def near_duplicate_components(docs: DataFrame, radius: int = RADIUS, text: str = "text") -> DataFrame:
+    """doc_id, fp and component_id of every row."""
+    rows, classes = _classed(docs, radius, text)
+    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, text: str = "text") -> DataFrame:
-    """One document of each component: the rows that carry its smallest doc_id, once if repeated.
+    """One document of each component, all columns as they were.
 
-    Among rows of that id the least by text, then by fingerprint order, stays;
-    rows of a component without any id count as one document as well.
+    It is the one of least id, nulls last, among equal ids the one of least text
+    hash; of rows that repeat it the least by a hash of the row.
     """
-    found = near_duplicate_components(docs, radius, text)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    rows, classes = _classed(docs, radius, text)
+    counted = rows.groupBy("fp", "doc_id", "__hash").agg(F.count(F.lit(1)).alias("n")).join(classes, "fp")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__hash", "n")
+    chosen = counted.groupBy("root").agg(F.min(place).alias("c"))
+    chosen = materialise(chosen.select(F.col("c.doc_id").alias("__id"), F.col("c.__hash").alias("__of"), F.col("c.n").alias("__n")), "simhash-kept")
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("__of"))
+    kept = docs.join(chosen, same, "left_semi")
+    if chosen.where("__n > 1").isEmpty():
+        return kept
+    order = Window.partitionBy("doc_id", text).orderBy(F.xxhash64(*docs.columns))
+    return kept.withColumn("__rank", F.row_number().over(order)).where("__rank = 1").drop("__rank")
