@@ -9,9 +9,10 @@ from murmurlens.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session("tests", "local[8]", **{
         "spark.sql.shuffle.partitions": "4",
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("staging")),
         "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",
     })
