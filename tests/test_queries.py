@@ -3,14 +3,16 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from verification import registry
 from verification.compare import canonical, oracle_rows
 
 SF = "/root/testdata/sf0.001"
 PYTHON = {
     "composed_text", "similarity_scores", "near_duplicates_removed", "near_duplicates_removed_per_source",
     "contained_duplicates_removed", "cleaned_and_deduplicated", "cleaning_audit_with_near_duplicates", "batch_labeller",
+    "labeller_out_of_quota",
 }
-QUERIES, ORACLES = queries(), oracle_sql()
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 
 
 def test_entry(spark):
@@ -19,7 +21,7 @@ def test_entry(spark):
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(oracle_sql()) <= set(queries()) and set(QUERIES) <= set(queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -27,7 +29,7 @@ def test_query(spark, name):
     df = QUERIES[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert "BatchEvalPython" not in plan
+    assert "BatchEvalPython" not in plan and "REPARTITION_BY" not in plan
     if name not in PYTHON:
         assert "ArrowEvalPython" not in plan and "InPandas" not in plan and "InArrow" not in plan
     result = canonical(df.columns, df.collect())
