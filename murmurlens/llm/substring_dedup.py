@@ -12,7 +12,7 @@ symbols among those that hang on words of the window alone.
    with its place.
 2. A window that holds a symbol of count one stands nowhere else.  The rest are
    candidates, a small share of all windows.
-3. Candidates are named by 128 bits of their words; the least place of each name is its
+3. Candidates are named by 96 bits of their words; the least place of each name is its
    first.  Candidates that are not their name's first stand earlier, and their words go.
 
 A text that is a copy of another is its own top symbol: only the copy of least id is
@@ -23,9 +23,9 @@ that stands everywhere costs each task one row.  What comes together for one row
 the list of a single text.  Texts are shuffled once, by id; all three steps read that.
 
 Null counts as the empty text: 0 words, none removed.  Words are what ASCII white space
-separates, unchanged.  A null id comes after all others.  Repeated rows are one place, so
-neither removes the other; rows of one id with different texts are told apart by the
-text's hash, and neither of them is earlier than the other by id.  Other columns
+separates, unchanged.  A null id comes after all others; the largest long stands for it.
+Repeated rows are one place, so neither removes the other; of rows of one id with
+different texts, any one counts as the first place of what they share.  Other columns
 are not looked at.
 """
 
@@ -36,7 +36,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from murmurlens.session import materialise
 
 from .common import LAST_ID, ship_package, slices, texts_of
 
@@ -124,7 +126,7 @@ def candidate_windows(sizes: np.ndarray, spans: list[np.ndarray], window: int) -
 
 
 def window_names(words: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits that name the windows starting at the given positions."""
+    """Two hashes that name the windows starting at the given positions."""
     a, b = np.zeros(len(at), dtype=np.uint64), np.full(len(at), 1, dtype=np.uint64)
     for i in range(window):
         w = words[at + i]
@@ -146,6 +148,12 @@ def _flat(words: list[list[bytes]]) -> np.ndarray:
     return word_hashes([w for ws in words for w in ws])
 
 
+def _keys(part: pa.RecordBatch, of: np.ndarray) -> list[pa.Array]:
+    """Id and variant of the texts with the given numbers."""
+    key = part.column("__key")
+    return [key.field(name).take(pa.array(of)) for name in ("id", "variant")]
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -155,18 +163,32 @@ def _lists(part: pa.RecordBatch, column: str) -> list[np.ndarray]:
     return [np.zeros(0, dtype=np.int64) if x is None else np.asarray(x, dtype=np.int64) for x in (v.values if v.is_valid else None for v in part.column(column))]
 
 
-def keyed_texts(docs: DataFrame, window: int, text: str) -> DataFrame:
-    """doc_id, __text, __id (never null), __variant (0 unless texts share an id) and __copy_of (the least id with that text)."""
+def _key(id_: Column | str, variant: Column | str) -> Column:
+    """Key of a document; never null in any part, so that all joins deal it out alike."""
+    none = F.lit(0)
+    return F.struct(F.coalesce(id_, none.cast("long")).alias("id"), F.coalesce(variant, none).alias("variant")).alias("__key")
+
+
+def keyed_texts(docs: DataFrame, text: str) -> DataFrame:
+    """__key (id and variant), __text and __copy (whether an earlier row has the same text) of every row.
+
+    The variant is 0 as long as no two texts share an id; else it is a part of
+    the text's hash.  Texts are dealt out by key, once, and whatever is found
+    out about a document comes to them by key.
+    """
     raw = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(
-        "doc_id", raw.alias("__text"), F.coalesce("doc_id", F.lit(LAST_ID)).cast("long").alias("__id"),
-        F.xxhash64(raw).alias("__h1"), F.xxhash64(F.lit(window), raw).alias("__h2"))
-    small = rows.select("__id", "__h1", "__h2").distinct()
-    ids = small.groupBy("__id").agg((F.min("__h1") != F.max("__h1")).alias("__shared"))
-    least = small.groupBy("__h1", "__h2").agg(F.min("__id").alias("__copy_of"))
-    keys = small.join(least, ["__h1", "__h2"]).join(ids, "__id")
-    keys = keys.select("__id", "__h1", "__copy_of", F.when(F.col("__shared"), F.shiftrightunsigned("__h1", 42)).otherwise(F.lit(0)).cast("int").alias("__variant"))
-    return rows.drop("__h2").join(keys.hint("shuffle_hash"), ["__id", "__h1"]).select("doc_id", "__text", "__id", "__variant", "__copy_of")
+    id_ = F.coalesce("doc_id", F.lit(LAST_ID)).cast("long")
+    hashes = docs.select(id_.alias("id"), F.xxhash64(raw).alias("h1"), F.xxhash64(F.lit(1), raw).alias("h2")).distinct()
+    hashes = materialise(hashes, "dedup-texts")
+    shared = not hashes.groupBy("id").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").isEmpty()
+
+    def key(id_: Column, h1: Column) -> Column:
+        return _key(id_, F.shiftrightunsigned(h1, 40).cast("int") if shared else F.lit(0))
+
+    least = hashes.groupBy("h1", "h2").agg(F.min("id").alias("least"))
+    copies = hashes.join(least, ["h1", "h2"]).where("id > least").select(key(F.col("id"), F.col("h1")), F.lit(True).alias("__copy"))
+    texts = docs.select(key(id_, F.xxhash64(raw)), raw.alias("__text"))
+    return texts.join(copies.hint("shuffle_hash"), "__key", "left")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
@@ -174,8 +196,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text") ->
     if not 2 <= window <= 256:
         raise ValueError("a window has 2 to 256 words")
     ship_package(docs.sparkSession)
-    texts = keyed_texts(docs, window, text)
-    parsed = texts.where(F.col("__id") == F.col("__copy_of")).select("__id", "__variant", "__text")
+    texts = keyed_texts(docs, text)
+    # the same columns and the same exchange of texts in all three steps
+    parsed = texts.where(F.col("__copy").isNull())
 
     def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,15 +209,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text") ->
                 doc = np.repeat(np.arange(len(sizes)), sizes)
                 name, first, last = usable_symbols(_flat(words), doc, starts, window)
                 of = doc[first]
-                ids, variants = (np.asarray(part.column(c), dtype=np.int64)[of] for c in ("__id", "__variant"))
-                span = (variants << 40) | ((first - starts[of]) << 8) | (last - first)
-                yield pa.RecordBatch.from_arrays([_signed(name), pa.array(ids), pa.array(span)], ["name", "id", "span"])
+                span = ((first - starts[of]) << 8) | (last - first)
+                yield pa.RecordBatch.from_arrays([_signed(name), *_keys(part, of), pa.array(span)], ["name", "id", "variant", "span"])
 
-    found = parsed.mapInArrow(symbols, "name bigint, id bigint, span bigint")
-    once = found.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.min("span").alias("span")).where("n = 1")
-    spans = once.groupBy(F.col("id").alias("__id"), F.shiftrightunsigned("span", 40).cast("int").alias("__variant")).agg(
-        F.collect_list(F.col("span").bitwiseAND((1 << 40) - 1)).alias("__spans"))
-    ruled = parsed.join(spans, ["__id", "__variant"], "left")
+    found = parsed.mapInArrow(symbols, "name bigint, id bigint, variant int, span bigint")
+    once = found.groupBy("name").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in ("id", "variant", "span")]).where("n = 1")
+    spans = once.select(_key("id", "variant"), "span").groupBy("__key").agg(F.collect_list("span").alias("__spans"))
+    ruled = texts.join(spans.hint("shuffle_hash"), "__key", "left")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,13 +225,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text") ->
                     continue
                 of = np.repeat(np.arange(len(sizes)), sizes)[at]
                 a, b = window_names(_flat(words), at, window)
-                ids = np.asarray(part.column("__id"), dtype=np.int64)[of]
-                yield pa.RecordBatch.from_arrays([_signed(a), _signed(b), pa.array(ids)], ["a", "b", "id"])
+                yield pa.RecordBatch.from_arrays([_signed(a), pa.array(b.astype(np.uint32).view(np.int32)), *_keys(part, of)], ["a", "b", "id", "variant"])
 
-    places = ruled.select("__id", "__text", "__spans").mapInArrow(candidates, "a bigint, b bigint, id bigint")
-    firsts = places.groupBy("a", "b").agg(F.min("id").alias("__id")).groupBy("__id").agg(F.collect_list("a").alias("__firsts"))
-    known = texts.join(spans, ["__id", "__variant"], "left").join(firsts, "__id", "left")
-    known = known.select("doc_id", "__text", "__spans", "__firsts", (F.col("__id") > F.col("__copy_of")).alias("__copy"))
+    places = ruled.where(F.col("__copy").isNull()).mapInArrow(candidates, "a bigint, b int, id bigint, variant int")
+    firsts = places.groupBy("a", "b").agg(F.min("id").alias("id"), F.min_by("variant", "id").alias("variant"))
+    firsts = firsts.select(_key("id", "variant"), "a").groupBy("__key").agg(F.collect_list("a").alias("__firsts"))
+    known = ruled.join(firsts.hint("shuffle_hash"), "__key", "left")
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,16 +242,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text") ->
                     out = gone[starts[i]:starts[i + 1]]
                     removed.append(int(out.sum()))
                     kept.append(b" ".join(ws if not removed[-1] else [w for w, g in zip(ws, out.tolist()) if not g]).decode("utf-8", "replace"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+                ids = part.column("__key").field("id")
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept"])
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return known.mapInArrow(rest, f"doc_id {id_type}, n_words bigint, n_removed bigint, kept string")
+    out = known.mapInArrow(rest, "id bigint, n_words bigint, n_removed bigint, kept string")
+    return out.select(F.nullif("id", F.lit(LAST_ID)).alias("doc_id"), "n_words", "n_removed", "kept")
 
 
 def _removed(words: list[list[bytes]], sizes: np.ndarray, part: pa.RecordBatch, window: int) -> np.ndarray:
     """Which words of the texts of a slice lie in a window that stands earlier."""
     starts, of = np.r_[0, np.cumsum(sizes)], np.repeat(np.arange(len(sizes)), sizes)
-    copy = np.asarray(part.column("__copy"), dtype=bool)
+    copy = np.asarray(part.column("__copy").is_valid(), dtype=bool)
     cover = np.zeros(starts[-1] + 1, dtype=np.int32)
     # a copy has no symbols of its own: all its windows stand earlier
     gone = copy[of] & (sizes[of] >= window)
