@@ -6,7 +6,7 @@ log-likelihood ratio per character.  Runs above ``threshold`` that overlap no
 pattern match become spans of kind ``markov``.  Both models are counted from
 labelled samples: strings the patterns mark in a bounded sample of documents
 and seeded draws from the usual secret alphabets are "random"; the other
-words of the sample are "ordinary".
+words of the sample are "ordinary", but for long ones with digits, which have no label.
 
 Spans are code point ranges, end exclusive.  Null counts as the empty text and
 has no spans.  Rows are independent: repeated rows and ids are scanned again, a
@@ -128,7 +128,9 @@ def fit_markov(docs: DataFrame, sample_docs: int = 2000, min_length: int = 20, t
                     for s, e, _ in spans:
                         rest.append(t[at:s])
                         at = max(at, e)
-                    sums[1] += transitions(" ".join([*rest, t[at:]]).split())
+                    words = " ".join([*rest, t[at:]]).split()
+                    # long words with digits carry no label: they are what is to be judged
+                    sums[1] += transitions([w for w in words if len(w) < min_length or not any(map(str.isdigit, w))])
         cells = np.argwhere(sums)
         yield pa.RecordBatch.from_arrays(
             [pa.array(cells[:, 0] * _SYMBOLS**2 + cells[:, 1] * _SYMBOLS + cells[:, 2]), pa.array(sums[tuple(cells.T)])], ["cell", "n"])

@@ -8,6 +8,7 @@ often nor a text of three words decides alone.  Embeddings and softmax learn tog
 misspelt word scores by the n-grams it shares with known ones.  Once trained,
 every stage is linear: a word has one number, a text the mean of them.
 
+Words of fewer than ``least`` training texts count in the means and teach nothing.
 Learning sees at most ``max_train`` labelled rows, half per class, chosen by a
 hash of their ids; rows weigh as much as their class has in the labels.  Null
 and empty texts have no words and get the score of the bias alone.  Without
@@ -80,11 +81,17 @@ class SubwordModel:
     bias: float
 
     @classmethod
-    def fit(cls, bags: list[tuple[list[str], list[int]]], y: np.ndarray, weight: np.ndarray, size: int = 2, epochs: int = 60, rate: float = 0.1, seed: int = 0) -> SubwordModel:
+    def fit(cls, bags: list[tuple[list[str], list[int]]], y: np.ndarray, weight: np.ndarray, size: int = 2, epochs: int = 60, rate: float = 0.1, least: int = 3, seed: int = 0) -> SubwordModel:
         """``bags`` are the distinct words of each text with their counts."""
         if not len(y) or len(set(y.tolist())) < 2:
             return cls(np.zeros(BUCKETS, dtype=np.float32), 0.0 if not len(y) else 30.0 if y[0] else -30.0)
+        totals = np.array([np.sqrt(c).sum() for _, c in bags])
+        # a word of a single text says nothing of others: it counts in the mean and teaches nothing
+        texts_with = Counter(w for words, _ in bags for w in words)
+        bags = [tuple(zip(*((w, n) for w, n in zip(*bag) if texts_with[w] >= least))) or ((), ()) for bag in bags]
         vocabulary = sorted({w for words, _ in bags for w in words})
+        if not vocabulary:
+            return cls(np.zeros(BUCKETS, dtype=np.float32), 0.0)
         index = {w: k for k, w in enumerate(vocabulary)}
         flat, n_grams = ngram_buckets(vocabulary)
         used, flat = np.unique(flat, return_inverse=True)
@@ -94,7 +101,7 @@ class SubwordModel:
         n_words = np.array([len(words) for words, _ in bags])
         doc = np.repeat(np.arange(len(bags)), n_words)
         count = np.sqrt(count)
-        share = count / (np.bincount(doc, count, len(bags)) + PRIOR)[doc]
+        share = count / (totals + PRIOR)[doc]
         of_gram = np.repeat(np.arange(len(vocabulary)), n_grams)
         per_gram = 1 / np.maximum(n_grams, 1)
         rng = np.random.default_rng(seed)
@@ -147,7 +154,7 @@ class Scorer(dict):
         return 1 / (1 + np.exp(-np.clip(logit + self._model.bias, -60, 60)))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 5000, text: str = "text") -> SubwordModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 8000, text: str = "text") -> SubwordModel:
     """A model fitted on at most ``max_train`` labelled rows outside the held-out fold."""
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -196,9 +196,10 @@ def test_fingerprints_recover_the_differences(spark):
 def labelled_rows(kind, n=400):
     rng = random.Random(7)
     rows, labels = [], []
+    ordinary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(150)]
     for i in range(n):
         bad = rng.random() < 0.3
-        body = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(10, 60))]
+        body = [rng.choice(ordinary) for _ in range(rng.randrange(10, 60))]
         if bad and kind == "toxic":
             for p in range(0, len(body), 8):
                 body[p] = rng.choice(["worthless", "wortless", "pathetic", "pathettic"])
@@ -225,11 +226,15 @@ def test_classifiers_hold_out_a_fold_and_are_right_on_it(spark, kind):
     assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.95 * len(held)
 
 
+def ordinary_word(rows):
+    return rows[0][1].split()[1]
+
+
 def test_misspelt_words_share_their_ngrams(spark):
     rows, labels = labelled_rows("toxic")
     docs = documents(spark, rows)
     model = Z.fit_toxicity(docs, spark.createDataFrame(labels, LABELS))
-    bad, odd, plain = model.word_logits(["worthless", "worthlesss", "abcde"])
+    bad, odd, plain = model.word_logits(["worthless", "worthlesss", ordinary_word(rows)])
     assert bad > plain and odd > plain
 
 
@@ -447,7 +452,7 @@ def test_sampled_pieces_round_trip_and_edges(spark):
     known = {**dict(rows[:9]), None: "no key"}
     for r in got:
         assert all(S.decode(list(s.pieces), MODEL) == (known[r.doc_id] or "") for s in r.samples)
-        assert len({tuple(s.pieces) for s in r.samples}) == len(r.samples) == (2 if len(known[r.doc_id] or "") > 1 else len(r.samples))
+        assert len({tuple(s.pieces) for s in r.samples}) == len(r.samples) == (1 if r.doc_id in (0, 1, 5) else 2)  # those have one segmentation only
         if not known[r.doc_id]:
             assert [tuple(s) for s in r.samples] == [([], 0.0, 0.0)]
     twice = [r.samples for r in got if r.doc_id == 2]
