@@ -8,7 +8,8 @@ cell by cell: what both have cancels.  A cell left with one digest whose check f
 that digest away; taking it out of its other cells gives away more, until nothing is
 left.  If something is, the attempt failed and is made again with more room: first the
 sketch of one block that is the fingerprint itself, then as many blocks as the digests
-might need, then twice as many each time, with other hashes.  Digests that differ are so
+might need, a failing block again with more cells, and if that is not enough twice as
+many blocks each time, always with other hashes.  Digests that differ are so
 recovered without either text, and the likeness of two texts is the Jaccard index of
 their digests.
 
@@ -32,8 +33,10 @@ from .common import LAST_ID
 #: Longest paragraph of texts under so many characters, and of all others.
 PIECES = ((128, 8), (1024, 32))
 LONGEST = 160
-#: Cells of each of the three parts of a sketch, and of a block of a larger one.
-CELLS, BLOCK_CELLS = 8, 6
+#: Cells of each of the three parts of the fingerprint's sketch.
+CELLS = 8
+#: And of a block of a larger sketch; a block that fails is made again with the next number.
+BLOCK_CELLS = (6, 12, 20)
 #: Digests of both versions for each block, when a single block did not do.
 BLOCK_LOAD = 5
 #: Attempts with twice the blocks each; one of them has room to spare for any text.
@@ -75,14 +78,25 @@ def _with_entries(cell: Column, number: Column, entries: Column, sign: int) -> C
             _cell(c["n"] + sign * e["n"], c["d"].bitwiseXOR(e["d"]), c["h"].bitwiseXOR(e["h"]))).otherwise(c))
 
 
-def sketch(values: Column, cells: int = CELLS, salt: Column | None = None) -> Column:
-    """The cells of digests, three parts of ``cells`` each."""
-    salt = F.lit(0) if salt is None else salt
+def _filled(entries: Column, cells: int) -> Column:
     zero = _cell(F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
-    entries = F.transform(values, lambda d: _entry(d, F.lit(1).cast("bigint"), cells, salt))
     return let(entries, lambda e: F.transform(F.sequence(F.lit(0), F.lit(3 * cells - 1)), lambda c: _with_entries(zero, c, e, 1)))
 
 
+def _signed(values: Column, sign: int, cells: int, salt: Column) -> Column:
+    return F.transform(values, lambda d: _entry(d, F.lit(sign).cast("bigint"), cells, salt))
+
+
+def sketch(values: Column, cells: int = CELLS, salt: Column | None = None) -> Column:
+    """The cells of digests, three parts of ``cells`` each."""
+    return _filled(_signed(values, 1, cells, F.lit(0) if salt is None else salt), cells)
+
+
+def difference_sketch(left: Column, right: Column, cells: int, salt: Column) -> Column:
+    """``subtract`` of two sketches, made in one go."""
+    return _filled(F.concat(_signed(left, 1, cells, salt), _signed(right, -1, cells, salt)), cells)
+
+
 def subtract(left: Column, right: Column) -> Column:
     return F.zip_with(left, right, lambda a, b: _cell(a["n"] - b["n"], a["d"].bitwiseXOR(b["d"]), a["h"].bitwiseXOR(b["h"])))
 
@@ -126,8 +140,14 @@ def _by_blocks(left: Column, right: Column, attempt: Column) -> Column:
             return F.array_sort(F.transform(x, lambda d: F.struct(F.shiftrightunsigned(d, 33).alias("k"), d.alias("d"))))
 
         pairs = F.array(*(let(ordered(x), lambda o: F.struct(F.transform(o, lambda e: e["d"]).alias("d"), F.transform(o, lambda e: block(e["d"])).alias("b"))) for x in (left, right)))
-        return let(pairs, lambda p: F.transform(F.sequence(F.lit(0), n - 1), lambda g: peel(
-            subtract(*(sketch(_part_of(p[k]["d"], p[k]["b"], g), BLOCK_CELLS, salt) for k in (0, 1))), BLOCK_CELLS, salt)))
+        def of_block(a: Column, b: Column) -> Column:
+            tries = [peel(difference_sketch(a, b, cells, salt + ATTEMPTS * k), cells, salt + ATTEMPTS * k) for k, cells in enumerate(BLOCK_CELLS)]
+            return F.coalesce(*tries)
+
+        def parts(p: Column, g: Column) -> Column:
+            return let(F.array(*(_part_of(p[k]["d"], p[k]["b"], g) for k in (0, 1))), lambda ab: of_block(ab[0], ab[1]))
+
+        return let(pairs, lambda p: F.transform(F.sequence(F.lit(0), n - 1), lambda g: parts(p, g)))
 
     found = let(blocks, sides)
     return let(found, lambda f: F.when(F.forall(f, lambda x: x.isNotNull()), F.flatten(f)))
@@ -145,7 +165,8 @@ def difference(left: Column, right: Column, left_sketch: Column, right_sketch: C
 def likeness(left: Column, right: Column, differing: Column) -> Column:
     """Jaccard index from the numbers of digests and of differing ones."""
     both = F.size(left) + F.size(right)
-    return F.when(both == 0, F.lit(1.0)).otherwise((both - F.size(differing)) / (both + F.size(differing)))
+    # bound once: finding the differing digests is the costly part
+    return F.when(both == 0, F.lit(1.0)).otherwise(let(F.size(differing), lambda d: (both - d) / (both + d)))
 
 
 def spelt(cells: Column) -> Column:

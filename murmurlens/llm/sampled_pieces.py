@@ -11,9 +11,9 @@ set it was split from.  The popped set yields one path by ancestral sampling
 and is split along it.  The next bound left over is the threshold ``kappa`` of
 the inclusion score ``log(1 - exp(-exp(log_prob - kappa)))``.
 
-Pieces never cross the start of a word, so the lattice is a chain of units (the
-white-space marks before a word, and the word), and the log-mass of a set is a sum
-over units.  Lattices of distinct units are kept in flat arrays; all texts of a
+Pieces never cross the start of a word, nor the place where certain signs follow
+a letter (no piece of the vocabulary has both), so the lattice is a chain of
+units, and the log-mass of a set is a sum over units.  Lattices of distinct units are kept in flat arrays; all texts of a
 slice walk through them together.  Random numbers are hashes of seed, row key, path,
 unit and step: a row gets the same segmentations wherever and however often
 it is computed.
@@ -31,6 +31,8 @@ from __future__ import annotations
 
 import math
 import re
+import string
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -43,10 +45,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import ship_package, slices, texts_of
 
 MARK = "▁"
-#: A word with the marks before it, or marks at the end of a text.
-_UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Units kept in a worker; when more are known the tables start anew.
-KEPT_UNITS = 400_000
+KEPT_UNITS = 200_000
 
 
 _GOLDEN, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -76,7 +76,7 @@ class _Grown:
 
     def add(self, values: np.ndarray) -> None:
         if self.size + len(values) > len(self._all):
-            self._all = np.concatenate([self._all[:self.size], np.zeros(self.size + len(values), dtype=self._all.dtype)])
+            self._all = np.concatenate([self._all[:self.size], np.zeros(self.size // 4 + len(values), dtype=self._all.dtype)])
         self._all[self.size:self.size + len(values)] = values
         self.size += len(values)
 
@@ -85,6 +85,16 @@ class _Grown:
         return self._all[:self.size]
 
 
+def _unit_pattern(pieces: list[str]) -> re.Pattern:
+    """Cuts text where no piece can go across: before marks, and between a letter and signs that follow none in any piece."""
+    other = "".join({c for p in pieces for c in p if re.match(r"[^\W\d_]", c) and not c.isalpha()})
+    letter = rf"[^\W\d_{re.escape(other)}]"
+    behind = {b for p in pieces for a, b in zip(p, p[1:]) if re.match(letter, a)}
+    if not (of := re.escape("".join(c for c in string.punctuation if c not in behind))):
+        return re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+    return re.compile(rf"(?:{MARK}+|[{of}]|[^{MARK}{of}])(?:[^{MARK}{of}]+|(?<!{letter})[{of}])*")
+
+
 class Lattices:
     """Lattices of units in flat arrays: nodes with their outgoing edges, the likeliest first."""
 
@@ -94,7 +104,7 @@ class Lattices:
         vocabulary = sentencepiece.SentencePieceProcessor(model_file=model)
         size = vocabulary.get_piece_size()
         self.bytes = {}
-        self._singles = set()
+        self._single = np.full(sys.maxunicode + 1, -1, dtype=np.int64)
         self._words = ahocorasick.Automaton()
         self._weight, self._length = np.zeros(size), np.zeros(size, dtype=np.int64)
         for k in range(size):
@@ -104,10 +114,12 @@ class Lattices:
             elif not (vocabulary.is_control(k) or vocabulary.is_unknown(k) or vocabulary.is_unused(k)):
                 self._weight[k] = -alpha * np.log(min(max(0.0, -vocabulary.get_score(k)), size - 1) + 1)
                 self._length[k] = len(piece)
-                self._words.add_word(piece, k)
                 if len(piece) == 1:
-                    self._singles.add(piece)
+                    self._single[ord(piece)] = k
+                else:
+                    self._words.add_word(piece, k)
         self._words.make_automaton()
+        self.units = _unit_pattern([vocabulary.id_to_piece(k) for k in range(size)])
         self._last = -alpha * np.log(size)
         self.clear()
 
@@ -132,15 +144,17 @@ class Lattices:
         joined = "\0".join(units)
         found = np.fromiter(chain.from_iterable(self._words.iter(joined)), dtype=np.int64).reshape(-1, 2)
         end, piece = found[:, 0] + 1, found[:, 1]
-        parts = [(end - self._length[piece], end, piece, self._weight[piece])]
-        if not self._singles.issuperset(joined.replace("\0", "")) or "\0" in "".join(units):
-            inside = np.ones(len(joined), dtype=bool)
-            inside[np.cumsum([len(u) + 1 for u in units])[:-1] - 1] = False
-            other = np.array([i for i, c in enumerate(joined) if c not in self._singles and inside[i]], dtype=np.int64)
-            codes = np.array([ord(joined[i]) for i in other], dtype=np.int64)
-            sizes = np.array([len(joined[i].encode("utf-8", "surrogatepass")) for i in other], dtype=np.float64)
-            parts.append((other, other + 1, -1 - codes, self._last * sizes))
-        return tuple(np.concatenate(x) for x in zip(*parts))
+        # and every character by itself, as a piece or as bytes
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        inside = np.ones(len(joined), dtype=bool)
+        inside[np.cumsum(np.fromiter(map(len, units), dtype=np.int64, count=len(units)) + 1)[:-1] - 1] = False
+        at = np.flatnonzero(inside)
+        codes = codes[at]
+        single = self._single[codes]
+        n_bytes = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
+        alone = np.where(single >= 0, single, -1 - codes)
+        weight = np.where(single >= 0, self._weight[single], self._last * n_bytes)
+        return np.r_[end - self._length[piece], at], np.r_[end, at + 1], np.r_[piece, alone], np.r_[self._weight[piece], weight]
 
     def _add(self, units: list[str]) -> None:
         lengths = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
@@ -161,11 +175,15 @@ class Lattices:
                 top = np.maximum.reduceat(value, heads)
                 mass[of[heads]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, np.diff(np.r_[heads, len(of)]))), heads))
         log_p = weight + mass[target] - mass[start]
-        order = np.lexsort((-log_p, start))
-        start, target, piece, log_p = start[order], target[order], piece[order], log_p[order]
         p = np.exp(log_p)
-        cum, first = np.cumsum(p), np.searchsorted(start, np.arange(n_nodes))
-        cum -= (cum - p)[first[start]]
+        order = np.argsort(start - 0.999 * np.minimum(p, 1.0))  # the likeliest edge of a node first
+        start, target, piece, log_p, p = start[order], target[order], piece[order], log_p[order], p[order]
+        # sums inside each node only, so that no number depends on what else is in the slice
+        cum, first = p.copy(), np.searchsorted(start, np.arange(n_nodes))
+        rank = np.arange(len(start)) - first[start]
+        for r in range(1, int(rank.max()) + 1):
+            at = np.flatnonzero(rank == r)
+            cum[at] += cum[at - 1]
         last = np.r_[start[1:] != start[:-1], True]
         cum[last] = 2.0  # the last edge takes what rounding leaves
         log_p[last & np.r_[True, start[1:] != start[:-1]]] = 0.0  # and an only edge is certain
@@ -232,9 +250,8 @@ class Lattices:
 
 
 def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    total = np.r_[0.0, np.cumsum(values)]
-    ends = np.cumsum(counts)
-    return total[ends] - total[ends - counts]
+    """Sums of consecutive ranges, none of them empty."""
+    return np.add.reduceat(values, np.cumsum(counts) - counts) if len(counts) else np.zeros(0)
 
 
 def _ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -260,9 +277,11 @@ class _Path:
 
     def __init__(self, start: np.ndarray, counts: np.ndarray, log_p: np.ndarray, heads: np.ndarray, sizes: np.ndarray):
         self.start, self.counts, self.log_p = start, counts, log_p
-        before = np.r_[0.0, np.cumsum(log_p)]
-        self.prefix = before[:-1] - np.repeat(before[heads], sizes)
-        self.total = before[heads + sizes] - before[heads]
+        self.prefix, self.total = np.zeros(len(log_p)), np.zeros(len(heads))
+        for i in np.flatnonzero(sizes).tolist():
+            lo, hi = heads[i], heads[i] + sizes[i]
+            sums = np.cumsum(log_p[lo:hi])
+            self.prefix[lo + 1:hi], self.total[i] = sums[:-1], sums[-1]
         self.bound: np.ndarray | None = None  # of the set split off at each unit
 
 
@@ -272,7 +291,7 @@ class Sampler:
 
     def sample(self, keys: list[int], texts: list[str]) -> list[list[tuple[np.ndarray, float, float]]]:
         """(pieces, log-probability, log-inclusion) of the paths of each text, the largest perturbed value first."""
-        units = [_UNITS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        units = [self.lattices.units.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         sizes = np.array([len(u) for u in units], dtype=np.int64)
         lattices = self.lattices
         ids = lattices.look_up(units, int(sizes.sum()))
