@@ -1,7 +1,8 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs, in DataFrame operations only.
 
-A text is cut into lines and these into pieces of bounded length, the paragraphs; their
-distinct hashes are the digests.  A sketch is a table of cells in three parts.  A digest
+A text of any length is cut by its content (``content_digests``): at line ends and after
+words whose hash meets a condition.  An edit so changes the paragraphs it touches and no
+others.  The distinct hashes of the paragraphs are the digests.  A sketch is a table of cells in three parts.  A digest
 goes into one cell of each part, a cell keeping the number of its digests and the
 exclusive or of digests and of check hashes.  Sketches of two versions are subtracted
 cell by cell: what both have cancels.  A cell left with one digest whose check fits gives
@@ -14,8 +15,7 @@ recovered without either text, and the likeness of two texts is the Jaccard inde
 their digests.
 
 Null counts as the empty text; it has no digests and is like another empty text (1).
-Equal texts have equal fingerprints; how long paragraphs may be depends on the length
-of the text (``PIECES``).  For neighbours, documents are ordered by id, nulls
+Equal texts have equal fingerprints.  For neighbours, documents are ordered by id, nulls
 last, then by the text's hash; repeated rows are one document and get equal rows.  The
 next of the last document is the first, also if there is only one.  Other columns are not
 looked at.
@@ -23,6 +23,8 @@ looked at.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from murmurlens.functions.common import computed_once, let
@@ -30,7 +32,11 @@ from murmurlens.session import materialise
 
 from .common import LAST_ID
 
-#: Longest paragraph of texts under so many characters, and of all others.
+#: One word in so many ends a paragraph.
+WORDS = 4
+#: In a word of more characters (text without spaces, say) one pair of characters in so many ends one, too.
+LONG_WORD, PAIRS = 32, 16
+#: For ``digests``: longest paragraph of texts under so many characters, and of all others.
 PIECES = ((128, 8), (1024, 32))
 LONGEST = 160
 #: Cells of each of the three parts of the fingerprint's sketch.
@@ -43,8 +49,32 @@ BLOCK_LOAD = 5
 ATTEMPTS = 16
 
 
+def content_digests(text: Column) -> Column:
+    """Distinct hashes of the paragraphs of a text, cut by content alone."""
+    # the text's own marks are told apart, so that "\x01\x03" is a cut and nothing else
+    kept = F.when(F.contains(text, F.lit("\x01")), F.replace(text, F.lit("\x01"), F.lit("\x01\x02"))).otherwise(text)
+
+    def ended(part: Column, ends: Column) -> Column:
+        return F.when(ends, F.concat(part, F.lit("\x01\x03"))).otherwise(part)
+
+    def by_pairs(word: Column) -> Column:
+        def one(chars: Column) -> Column:
+            return F.transform(chars, lambda c, i: ended(c, F.pmod(F.xxhash64(F.get(chars, i - 1), c), F.lit(PAIRS)) == 0))
+
+        return F.array_join(let(F.split(word, ""), one), "")
+
+    def word(w: Column) -> Column:
+        ends = (F.pmod(F.xxhash64(w), F.lit(WORDS)) == 0) | F.endswith(w, F.lit("\n"))
+        return ended(F.when(F.length(w) > LONG_WORD, by_pairs(w)).otherwise(w), ends)
+
+    # a word and what follows it up to the next; a line's leading marks are its own
+    words = F.regexp_extract_all(kept, F.lit("[^\\s\\p{P}\\p{Z}]+[[\\s\\p{P}\\p{Z}]&&[^\\n]]*\\n*|[\\s\\p{P}\\p{Z}]+"), F.lit(0))
+    cut = F.split(F.array_join(F.transform(words, word), ""), "\x01\x03")
+    return F.array_distinct(F.transform(F.filter(cut, lambda p: p != ""), lambda p: F.xxhash64(p)))
+
+
 def digests(text: Column) -> Column:
-    """Distinct hashes of the paragraphs of a text."""
+    """Distinct hashes of pieces of a length that depends on the text's; near-equal texts may share none."""
 
     def pieces(length: int) -> Column:
         return F.regexp_extract_all(text, F.lit(f"[^\\n]{{1,{length}}}\\n?|\\n"), F.lit(0))
@@ -196,7 +226,7 @@ def neighbours(texts: DataFrame) -> DataFrame:
     return with_next.select("__id", "__hash", "__n", following["__id"].alias("__next_id"), following["__hash"].alias("__next_hash"))
 
 
-def fingerprints_of_versions(docs: DataFrame, text: str = "text") -> DataFrame:
+def fingerprints_of_versions(docs: DataFrame, text: str = "text", digests: Callable[[Column], Column] = digests) -> DataFrame:
     """Fingerprints of each document and of its edited text, and the likeness of the first to the second and to the next document.
 
     The edited text has the last quarter of the characters replaced by the first

@@ -77,7 +77,7 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op4_fingerprints")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
-    return fingerprints.fingerprints_of_versions(table(spark, sf, "documents"))
+    return fingerprints.fingerprints_of_versions(table(spark, sf, "documents"), digests=fingerprints.content_digests)
 
 
 @query("op5_toxicity")
