@@ -165,15 +165,15 @@ def _lists(part: pa.RecordBatch, column: str) -> list[np.ndarray]:
 
 def _key(id_: Column | str, variant: Column | str) -> Column:
     """Key of a document; never null in any part, so that all joins deal it out alike."""
-    none = F.lit(0)
-    return F.struct(F.coalesce(id_, none.cast("long")).alias("id"), F.coalesce(variant, none).alias("variant")).alias("__key")
+    none = F.lit(0).cast("long")
+    return F.struct(F.coalesce(id_, none).alias("id"), F.coalesce(variant, none).alias("variant")).alias("__key")
 
 
 def keyed_texts(docs: DataFrame, text: str) -> DataFrame:
     """__key (id and variant), __text and __copy (whether an earlier row has the same text) of every row.
 
-    The variant is 0 as long as no two texts share an id; else it is a part of
-    the text's hash.  Texts are dealt out by key, once, and whatever is found
+    The variant is 0 as long as no two texts share an id; else it is the text's
+    hash, all 64 bits of it.  Texts are dealt out by key, once, and whatever is found
     out about a document comes to them by key.
     """
     raw = F.coalesce(F.col(text), F.lit(""))
@@ -183,7 +183,7 @@ def keyed_texts(docs: DataFrame, text: str) -> DataFrame:
     shared = not hashes.groupBy("id").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").isEmpty()
 
     def key(id_: Column, h1: Column) -> Column:
-        return _key(id_, F.shiftrightunsigned(h1, 40).cast("int") if shared else F.lit(0))
+        return _key(id_, h1 if shared else F.lit(0).cast("long"))
 
     least = hashes.groupBy("h1", "h2").agg(F.min("id").alias("least"))
     copies = hashes.join(least, ["h1", "h2"]).where("id > least").select(key(F.col("id"), F.col("h1")), F.lit(True).alias("__copy"))
@@ -212,7 +212,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text") ->
                 span = ((first - starts[of]) << 8) | (last - first)
                 yield pa.RecordBatch.from_arrays([_signed(name), *_keys(part, of), pa.array(span)], ["name", "id", "variant", "span"])
 
-    found = parsed.mapInArrow(symbols, "name bigint, id bigint, variant int, span bigint")
+    found = parsed.mapInArrow(symbols, "name bigint, id bigint, variant bigint, span bigint")
     once = found.groupBy("name").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in ("id", "variant", "span")]).where("n = 1")
     spans = once.select(_key("id", "variant"), "span").groupBy("__key").agg(F.collect_list("span").alias("__spans"))
     ruled = texts.join(spans.hint("shuffle_hash"), "__key", "left")
@@ -227,7 +227,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text") ->
                 a, b = window_names(_flat(words), at, window)
                 yield pa.RecordBatch.from_arrays([_signed(a), pa.array(b.astype(np.uint32).view(np.int32)), *_keys(part, of)], ["a", "b", "id", "variant"])
 
-    places = ruled.where(F.col("__copy").isNull()).mapInArrow(candidates, "a bigint, b int, id bigint, variant int")
+    places = ruled.where(F.col("__copy").isNull()).mapInArrow(candidates, "a bigint, b int, id bigint, variant bigint")
     firsts = places.groupBy("a", "b").agg(F.min("id").alias("id"), F.min_by("variant", "id").alias("variant"))
     firsts = firsts.select(_key("id", "variant"), "a").groupBy("__key").agg(F.collect_list("a").alias("__firsts"))
     known = ruled.join(firsts.hint("shuffle_hash"), "__key", "left")

@@ -3,11 +3,12 @@
 import random
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 
-from murmurlens.llm import fingerprints as P  # noqa: E402
+from murmurlens.llm import fingerprints as P, substring_dedup as W  # noqa: E402
 
 
 def documents(spark, rows):
@@ -60,3 +61,26 @@ def test_op4_takes_the_likeness_of_content_digests(spark):
         want[r.doc_id] = len(a & b) / len(a | b)
     got = QUERIES["op4_fingerprints"](spark, sf).collect()
     assert len(got) == len(want) and all(r.near_next == pytest.approx(want[r.doc_id]) for r in got)
+
+
+# ---- 1: substring dedup -------------------------------------------------------
+def texts_of_equal_hash_starts(n):
+    """Different texts of 21 to 40 words, some of which agree in the first 24 bits of Spark's hash."""
+    rng = random.Random(31)
+    texts = [" ".join(f"w{rng.getrandbits(40):x}" for _ in range(rng.randrange(21, 41))) for _ in range(n)]
+    by_start = {}
+    for t in texts:
+        by_start.setdefault(xxhash.xxh64_intdigest(t.encode(), seed=42) >> 40, []).append(t)
+    return texts, [ts for ts in by_start.values() if len(ts) > 1]
+
+
+def test_many_texts_under_a_null_id_stay_apart(spark):
+    texts, colliding = texts_of_equal_hash_starts(12000)
+    assert colliding
+    # a colliding text of which an id before it has a copy takes its partner along, if they share a key
+    copied, partner = colliding[0][:2]
+    rows = [(None, t) for t in texts] + [(1, copied)]
+    got = W.remove_repeats(documents(spark, rows)).collect()
+    want = sorted([(-1, len(t.split()), *((len(t.split()), "") if t == copied else (0, t))) for t in texts] + [(1, len(copied.split()), 0, copied)])
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == want
+    assert any(r.kept == partner for r in got)
