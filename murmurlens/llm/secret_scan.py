@@ -4,9 +4,8 @@ Two first-order Markov models over printable ASCII, one of random strings and
 one of ordinary identifiers, give each long run of token characters a
 log-likelihood ratio per character.  Runs above ``threshold`` that overlap no
 pattern match become spans of kind ``markov``.  Both models are counted from
-labelled samples: strings the patterns mark in a bounded sample of documents
-and seeded draws from the usual secret alphabets are "random"; the other
-words of the sample are "ordinary", but for long ones with digits, which have no label.
+all documents: strings the patterns mark and seeded draws from the usual
+secret alphabets are "random"; the other words are "ordinary", but for long ones with digits, which have no label.
 
 Spans are code point ranges, end exclusive.  Null counts as the empty text and
 has no spans.  Rows are independent: repeated rows and ids are scanned again, a
@@ -107,15 +106,14 @@ class MarkovPair:
         return found
 
 
-def fit_markov(docs: DataFrame, sample_docs: int = 2000, min_length: int = 20, threshold: float = 0.9, seed: int = 0, text: str = "text") -> MarkovPair:
-    """Fits both models on at most ``sample_docs`` documents, chosen by a hash of their ids.
+def fit_markov(docs: DataFrame, min_length: int = 20, threshold: float = 0.9, seed: int = 0, text: str = "text") -> MarkovPair:
+    """Fits both models on all documents.
 
-    The sample's texts stay on the executors; what comes to the driver are two
-    tables of 96 x 96 counts.
+    The texts stay on the executors; what comes to the driver are two tables of
+    96 x 96 counts.
     """
     ship_package(docs.sparkSession)
-    ids = docs.select(F.col("doc_id").alias("__id")).where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("__id"), "__id").limit(sample_docs)
-    sample = docs.join(F.broadcast(ids), docs["doc_id"] == F.col("__id"), "left_semi").select(F.col(text).alias("__text"))
+    texts = docs.select(F.col(text).alias("__text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, _SYMBOLS, _SYMBOLS), dtype=np.int64)
@@ -136,7 +134,7 @@ def fit_markov(docs: DataFrame, sample_docs: int = 2000, min_length: int = 20, t
             [pa.array(cells[:, 0] * _SYMBOLS**2 + cells[:, 1] * _SYMBOLS + cells[:, 2]), pa.array(sums[tuple(cells.T)])], ["cell", "n"])
 
     sums = np.zeros(2 * _SYMBOLS**2)
-    for cell, n in sample.mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n")).collect():
+    for cell, n in texts.mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n")).collect():
         sums[cell] = n
     random, ordinary = sums.reshape(2, _SYMBOLS, _SYMBOLS)
     return MarkovPair.fit(random + transitions(random_strings(seed)), ordinary, min_length, threshold)

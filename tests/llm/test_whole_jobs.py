@@ -2,13 +2,14 @@
 
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 
-from murmurlens.llm import fingerprints as P, substring_dedup as W  # noqa: E402
+from murmurlens.llm import fingerprints as P, secret_scan as X, substring_dedup as W  # noqa: E402
 
 
 def documents(spark, rows):
@@ -84,3 +85,16 @@ def test_many_texts_under_a_null_id_stay_apart(spark):
     want = sorted([(-1, len(t.split()), *((len(t.split()), "") if t == copied else (0, t))) for t in texts] + [(1, len(copied.split()), 0, copied)])
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == want
     assert any(r.kept == partner for r in got)
+
+
+# ---- 9: secret scans ------------------------------------------------------------------------
+def test_markov_models_count_all_documents(spark):
+    # a style that only documents without id use, and more documents than a sample had
+    rows = [(i, "alpha beta gamma") for i in range(2500)] + [(None, "zqxj9kvw7 " * 3)]
+    docs = documents(spark, rows)
+    model = X.fit_markov(docs)
+    words = ["alpha", "beta", "gamma"] * 2500 + ["zqxj9kvw7"] * 3
+    want = X.MarkovPair.fit(X.transitions(X.random_strings(0)), X.transitions(words), 20, 0.9)
+    # edges between slices count once more; inner transitions are the same
+    inner = slice(2, None)
+    assert np.allclose(model.ratio[inner, inner], want.ratio[inner, inner], atol=0.01)
