@@ -2,10 +2,11 @@
 
 Two first-order Markov models over printable ASCII, one of random strings and
 one of ordinary identifiers, give each long run of token characters a
-log-likelihood ratio per character.  Runs above ``threshold`` that overlap no
-pattern match become spans of kind ``markov``.  Both models are counted from
-all documents: strings the patterns mark and seeded draws from the usual
-secret alphabets are "random"; the other words are "ordinary", but for long ones with digits, which have no label.
+log-likelihood ratio per character.  Of each run, the parts outside pattern
+matches become spans of kind ``markov`` if they are above ``threshold``.  Both
+models are counted from all documents: strings the patterns mark and seeded draws
+from the usual secret alphabets are "random"; the other words are "ordinary", but
+for long ones, which have no label.
 
 Spans are code point ranges, end exclusive.  Null counts as the empty text and
 has no spans.  Rows are independent: repeated rows and ids are scanned again, a
@@ -16,6 +17,7 @@ falls back to its smoothing.  Other columns are not looked at.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,6 +40,7 @@ _ASSIGN = re.compile(ASSIGN, re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(ACCESS)
 # a run of fewer characters holds no longer one, so the least length may stand in the pattern
 _HEX = re.compile(HEX[:-1] + "{%d,}" % LEAST["hex"])
+_WORD = re.compile(r"\S+")
 _SYMBOLS = 96  # printable ASCII and the edge of a string
 _SECRET_ALPHABETS = (
     "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
@@ -75,6 +78,28 @@ def random_strings(seed: int, each: int = 400) -> list[str]:
     return ["".join(np.array(list(a))[rng.integers(0, len(a), rng.integers(20, 48))]) for a in _SECRET_ALPHABETS for _ in range(each)]
 
 
+def gaps(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The parts of a text that no span of ``taken``, which is in order of start, covers."""
+    parts, at = [], 0
+    for s, e, _ in taken:
+        if s > at:
+            parts.append((at, s))
+        at = max(at, e)
+    return parts + [(at, len(text))] if at < len(text) else parts
+
+
+def within(parts: list[tuple[int, int]], start: int, end: int) -> list[tuple[int, int]]:
+    """What lies of ``parts``, disjoint and in order, in a range."""
+    found = []
+    k = max(bisect_right(parts, (start, end)) - 1, 0)
+    while k < len(parts) and parts[k][0] < end:
+        a, b = max(parts[k][0], start), min(parts[k][1], end)
+        if a < b:
+            found.append((a, b))
+        k += 1
+    return found
+
+
 @dataclass(frozen=True)
 class MarkovPair:
     """Log-likelihood ratio of each transition, and what makes a run a secret."""
@@ -92,17 +117,23 @@ class MarkovPair:
 
         return cls(log_rates(random) - log_rates(ordinary), re.compile(f"[A-Za-z0-9+/_=-]{{{min_length},}}"), threshold)
 
-    def score(self, string: str) -> float:
-        """Mean log-likelihood ratio of the transitions inside a string of printable ASCII."""
+    def ratios(self, string: str) -> np.ndarray:
+        """Log-likelihood ratios of the transitions inside a string of printable ASCII."""
         codes = np.frombuffer(string.encode("ascii"), dtype=np.uint8).astype(np.int64) - 31
-        return float(self.ratio[codes[:-1], codes[1:]].mean())
+        return self.ratio[codes[:-1], codes[1:]]
 
     def spans(self, text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-        found = []
+        """The parts of long runs outside ``taken`` (by start) whose mean ratio is above the threshold.
+
+        A part's transitions are those inside it and to the characters of its run beside it.
+        """
+        found, free = [], gaps(text, taken)
         for m in self.run.finditer(text):
             start, end = m.span()
-            if any(c.isdigit() for c in m[0]) and all(e <= start or s >= end for s, e, _ in taken) and self.score(m[0]) > self.threshold:
-                found.append((start, end, "markov"))
+            ratios = self.ratios(m[0])
+            for a, b in within(free, start, end):
+                if ratios[max(a - start - 1, 0):b - start].mean() > self.threshold:
+                    found.append((a, b, "markov"))
         return found
 
 
@@ -119,16 +150,17 @@ def fit_markov(docs: DataFrame, min_length: int = 20, threshold: float = 0.9, se
         sums = np.zeros((2, _SYMBOLS, _SYMBOLS), dtype=np.int64)
         for batch in batches:
             for part in slices(batch, "__text"):
+                random, ordinary = [], []
                 for t in texts_of(part, "__text"):
                     spans = pattern_spans(t)
-                    sums[0] += transitions([t[s:e] for s, e, k in spans if k != "assign"])
-                    at, rest = 0, []
-                    for s, e, _ in spans:
-                        rest.append(t[at:s])
-                        at = max(at, e)
-                    words = " ".join([*rest, t[at:]]).split()
-                    # long words with digits carry no label: they are what is to be judged
-                    sums[1] += transitions([w for w in words if len(w) < min_length or not any(map(str.isdigit, w))])
+                    random += [t[s:e] for s, e, k in spans if k != "assign"]
+                    # long words, their parts beside a span included, carry no label: they are what is to be judged
+                    if spans:
+                        free = gaps(t, spans)
+                        ordinary += [t[a:b] for m in _WORD.finditer(t) if len(m[0]) < min_length for a, b in within(free, *m.span())]
+                    else:
+                        ordinary += [w for w in t.split() if len(w) < min_length]
+                sums += [transitions(random), transitions(ordinary)]
         cells = np.argwhere(sums)
         yield pa.RecordBatch.from_arrays(
             [pa.array(cells[:, 0] * _SYMBOLS**2 + cells[:, 1] * _SYMBOLS + cells[:, 2]), pa.array(sums[tuple(cells.T)])], ["cell", "n"])

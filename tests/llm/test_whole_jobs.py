@@ -98,3 +98,18 @@ def test_markov_models_count_all_documents(spark):
     # edges between slices count once more; inner transitions are the same
     inner = slice(2, None)
     assert np.allclose(model.ratio[inner, inner], want.ratio[inner, inner], atol=0.01)
+
+
+def test_letters_alone_and_parts_beside_patterns_are_scored(spark):
+    rng = random.Random(12)
+    ordinary = [(i, " ".join("".join(rng.choice(["ma", "to", "re", "li", "con", "ter"]) for _ in range(rng.randrange(1, 9))) for _ in range(60))) for i in range(60)]
+    letters, left, digits, right = "qXZbRvkLwJKtPfNcYVmGxsDW", "qX7bR2kLw9Z", "0123456789abcdef01234567", "P4vNZY8WJ1sD"
+    rows = ordinary + [(100, f"take {letters} home"), (101, f"take {left}{digits}{right} home"), (102, f"{'conter' * 4}/{digits}")]
+    docs = documents(spark, rows)
+    model = X.fit_markov(docs)
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in X.scan_secrets(docs, model).collect()}
+    assert got[100] == [(5, 29, "markov")]
+    assert got[101] == [(5, 16, "markov"), (16, 40, "hex"), (40, 52, "markov")]
+    assert got[102] == [(25, 49, "hex")] and not any(got[i] for i, _ in ordinary)
+    masked = {r.doc_id: r.text for r in X.mask_secrets(docs, model).where("doc_id in (100, 101)").collect()}
+    assert masked[100] == "take [SECRET] home" and left not in masked[101] and right not in masked[101]
