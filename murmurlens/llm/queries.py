@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from . import chat_threads, decontamination, fingerprints, quality, sampled_pieces, secret_scan, simhash, substring_dedup, token_counts, toxicity
+from . import chat_threads, decontamination, fingerprints, quality, sampled_pieces, secret_scan, simhash, substring_dedup, token_counts, toxicity, trie_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -155,3 +155,8 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     found = sampled_pieces.sampled_pieces(table(spark, sf, "documents"), tokenizer("piece_bpe_32k.model"))
     return found.select("doc_id", F.posexplode("samples").alias("sample", "s")).select("doc_id", "sample", "s.pieces", "s.log_prob", "s.log_inclusion")
+
+
+@query("op13_trie_bpe")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return trie_bpe.round_trip(table(spark, sf, "documents"), tokenizer("byte_bpe_50k.json"))
