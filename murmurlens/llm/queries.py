@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from . import chat_threads, decontamination, fingerprints, quality, sampled_pieces, secret_scan, simhash, substring_dedup, token_counts, toxicity, trie_bpe
+from . import chat_threads, decontamination, fingerprints, merkle_manifest, quality, sampled_pieces, secret_scan, simhash, substring_dedup, token_counts, toxicity, trie_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -157,6 +157,52 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.posexplode("samples").alias("sample", "s")).select("doc_id", "sample", "s.pieces", "s.log_prob", "s.log_inclusion")
 
 
+def _manifest_sql(tiers: int = 7) -> str:
+    """The tree level by level, for up to 8 ** tiers rows of a language and as many languages."""
+
+    def levels(tree: str, leaves: str, members: str, group: str) -> str:
+        # h: nodes by level; r: runs by level; f: what a member's altered leaf folds to, and its siblings so far
+        steps = [f"{tree}h0 AS ({leaves}), {tree}f0 AS ({members})"]
+        for k in range(tiers):
+            run = f"{group}, i // 8 AS i, n"
+            one = f"{tree}f{k}.i % 8 + 1"
+            steps.append(f"""
+{tree}r{k} AS (SELECT {run}, list(h ORDER BY i) AS hs FROM {tree}h{k} GROUP BY ALL),
+{tree}h{k + 1} AS (SELECT {group}, i, CASE WHEN n = 1 THEN 1 ELSE (n + 7) // 8 END AS n,
+  CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h FROM {tree}r{k}),
+{tree}f{k + 1} AS (SELECT doc_id, leaf, {tree}f{k}.lang, {tree}f{k}.g, {tree}f{k}.i // 8 AS i, CASE WHEN n = 1 THEN x ELSE sha256(array_to_string(hs[:{one} - 1] || [x] || hs[{one} + 1:], '')) END AS x,
+  CASE WHEN n = 1 THEN s ELSE s || array_to_string(hs[:{one} - 1] || hs[{one} + 1:], '') END AS s
+  FROM {tree}f{k} JOIN {tree}r{k} ON {tree}f{k}.{group} IS NOT DISTINCT FROM {tree}r{k}.{group} AND {tree}f{k}.i // 8 = {tree}r{k}.i)""")
+        return ",".join(steps)
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(f"coalesce(strlen(({f})::VARCHAR) || ':' || ({f}), '-')" for f in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    lower = "CASE WHEN crc(doc_id::VARCHAR) % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END"
+    crc_step = "list_reduce(range(8), lambda c, k: xor(c >> 1, (c & 1) * 3988292384), {})"
+    crc = f"""xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda z: ascii(z)::BIGINT),
+      lambda c, b: xor(c >> 8, {crc_step.format("xor(c, b) & 255")}), 4294967295), 4294967295)"""
+    return f"""
+WITH d AS (SELECT doc_id, lang, {leaf("text")} AS leaf, {leaf(lower.replace("crc(doc_id::VARCHAR)", crc))} AS x,
+  row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents),
+{levels("a", "SELECT lang, i, n, leaf AS h FROM d", "SELECT doc_id, leaf, lang, 0 AS g, i, x, '' AS s FROM d", "lang")},
+t AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n, 0 AS g FROM ah{tiers}),
+{levels("b", "SELECT g, i, n, h FROM t", f"SELECT doc_id, leaf, af{tiers}.lang, t.g, t.i, x, s FROM af{tiers} JOIN t ON af{tiers}.lang IS NOT DISTINCT FROM t.lang", "g")}
+SELECT doc_id, leaf, ah{tiers}.h AS subroot, bh{tiers}.h AS root, sha256(s) AS proof_sha256, x AS folded_root, x = bh{tiers}.h AS verified
+FROM bf{tiers} JOIN ah{tiers} ON bf{tiers}.lang IS NOT DISTINCT FROM ah{tiers}.lang, bh{tiers}
+"""
+
+
+@query("op12_merkle_manifest", _manifest_sql())
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third document or so is checked with its text's capitals lost."""
+    docs = table(spark, sf, "documents")
+    lost = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 0
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    found = merkle_manifest.manifest(docs, altered={"text": F.when(lost, lower).otherwise(F.col("text"))})
+    return merkle_manifest.verified(found).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 @query("op13_trie_bpe")
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     return trie_bpe.round_trip(table(spark, sf, "documents"), tokenizer("byte_bpe_50k.json"))
