@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from . import chat_threads, decontamination, fingerprints, merkle_manifest, quality, sampled_pieces, secret_scan, simhash, substring_dedup, token_counts, toxicity, trie_bpe
+from . import chat_threads, code_compression, decontamination, fingerprints, merkle_manifest, quality, sampled_pieces, secret_scan, simhash, substring_dedup, token_counts, toxicity, trie_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -157,6 +157,39 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.posexplode("samples").alias("sample", "s")).select("doc_id", "sample", "s.pieces", "s.log_prob", "s.log_inclusion")
 
 
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Full Lloyd rounds, one after the other."""
+    steps = [f"""
+v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, label, j, q[j * (len(q) // {parts}) + 1:(j + 1) * (len(q) // {parts})] AS x FROM v, range({parts}) r(j)),
+c0 AS MATERIALIZED (SELECT j, row_number() OVER (PARTITION BY j ORDER BY vec_id) - 1 AS k, x AS c FROM p QUALIFY k < {entries})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (SELECT vec_id, label, j, x, k, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+  FROM p JOIN c{r} USING (j) QUALIFY row_number() OVER (PARTITION BY vec_id, j ORDER BY d, k) = 1)""")
+        if r < rounds:
+            steps.append(f"""
+u{r} AS (SELECT j, k, unnest(x) AS y, generate_subscripts(x, 1) AS t FROM a{r}),
+m{r} AS (SELECT j, k, t, floor(sum(y) / count(*))::BIGINT AS y FROM u{r} GROUP BY ALL),
+n{r} AS (SELECT j, k, list(y ORDER BY t) AS c FROM m{r} GROUP BY ALL),
+c{r + 1} AS MATERIALIZED (SELECT j, k, coalesce(n{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN n{r} USING (j, k))""")
+    return f"""
+WITH {",".join(steps)},
+e AS (SELECT vec_id, label, array_to_string(list(printf('%02x', k) ORDER BY j), '') AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY ALL),
+s AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY j, k)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM e, s
+"""
+
+
+@query("op11_vector_codes", _codes_sql())
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    found = code_compression.compress(table(spark, sf, "embeddings"))
+    rows = code_compression.label_errors(found.rows)
+    books = F.lit(found.codebooks.sha256() if found.codebooks else None).cast("string")
+    return rows.select(F.col("id").alias("vec_id"), F.lower(F.hex("codes")).alias("code"), "error", "label_error", books.alias("codebooks_sha256"))
+
+
 def _manifest_sql(tiers: int = 7) -> str:
     """The tree level by level, for up to 8 ** tiers rows of a language and as many languages."""
 
