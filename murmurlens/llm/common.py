@@ -12,7 +12,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Text bytes a Python worker looks at together; bounds its memory, not its input.
 SLICE_BYTES = 2_000_000
@@ -85,21 +85,59 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds)) == fold, F.lit(False))
 
 
+def learnable(labels: DataFrame, label: str, folds: int, fold: int) -> DataFrame:
+    """(id, label) of the labels 0 and 1 that may be learnt from: those outside the held-out fold."""
+    named = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label"))
+    return named.where(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("id"), folds, fold))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, folds: int, fold: int, text: str = "text") -> DataFrame:
     """``text`` and ``label`` of at most ``bound`` labelled documents outside the held-out fold, half of ``bound`` per class.
 
     The choice follows a hash of the id, so it depends on the rows alone.  The
     ids chosen are at most ``bound`` whatever the table holds, hence the
-    broadcast.  Where an id has several labels the largest counts.
+    broadcast.  Where an id has several labels the largest counts; where it has
+    several texts, the one of least hash.
     """
     ship_package(docs.sparkSession)
-    chosen = None
-    usable = (
-        labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__label"))
-        .where(F.col("__id").isNotNull() & F.col("__label").isin(0, 1) & ~held_out(F.col("__id"), folds, fold))
-    )
+    usable, chosen = learnable(labels, label, folds, fold), None
     for value in (0, 1):
-        part = usable.where(F.col("__label") == value).orderBy(F.xxhash64("__id"), "__id").limit(bound // 2)
+        part = usable.where(F.col("label") == value).orderBy(F.xxhash64("id"), "id").limit(bound // 2)
         chosen = part if chosen is None else chosen.unionByName(part)
-    chosen = chosen.groupBy("__id").agg(F.max("__label").alias("__label"))
-    return docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("__id")).select(docs[text].alias("text"), F.col("__label").alias("label"))
+    chosen = chosen.groupBy("id").agg(F.max("label").alias("label"))
+    texts = docs.select(F.col("doc_id").alias("id"), F.col(text).alias("text"))
+    found = texts.join(F.broadcast(chosen), "id")
+    # one text for each id: what a task sends on is cut to one before the shuffle
+    of_id = Window.partitionBy("id").orderBy(F.xxhash64("text"), "text")
+    return found.withColumn("place", F.row_number().over(of_id)).where("place = 1").select("text", "label")
+
+
+def kept_rows(docs: DataFrame, make: Callable[[], Callable[[list[str | None]], pa.Array]], text: str = "text") -> DataFrame:
+    """The rows of ``docs`` for which ``make()(texts)`` is true, all columns as they were.
+
+    Rows go through Arrow in slices, so a task holds no more texts in Python
+    than one slice has.
+    """
+    return _through_slices(docs, make, text, lambda part, found: part.filter(found))
+
+
+def replaced_texts(docs: DataFrame, make: Callable[[], Callable[[list[str | None]], pa.Array]], text: str = "text") -> DataFrame:
+    """``docs`` with ``make()(texts)`` in place of its texts."""
+    def put(part: pa.RecordBatch, found: pa.Array) -> pa.RecordBatch:
+        at = part.schema.get_field_index(text)
+        return pa.RecordBatch.from_arrays([found if k == at else part.column(k) for k in range(part.num_columns)], part.schema.names)
+
+    return _through_slices(docs, make, text, put)
+
+
+def _through_slices(docs: DataFrame, make: Callable, text: str, put: Callable) -> DataFrame:
+    ship_package(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
+        for batch in batches:
+            for part in slices(batch, text):
+                yield put(part, compute(part.column(part.schema.get_field_index(text)).to_pylist()))
+        pa.default_memory_pool().release_unused()
+
+    return docs.mapInArrow(run, docs.schema)

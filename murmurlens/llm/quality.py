@@ -21,7 +21,7 @@ from operator import eq
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import held_out, labelled_sample, map_texts, ship_package, slices, texts_of
+from .common import held_out, kept_rows, labelled_sample, learnable, map_texts, slices, texts_of
 
 FOLDS, FOLD = 4, 2
 #: A document is kept from this score on.
@@ -139,7 +139,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, tex
             for part in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(list(statistics(texts_of(part))), pa.list_(pa.float64()))], ["label", "x"])
 
-    weights = class_weights(labels, "quality")
+    weights = class_weights(labels, "quality", FOLDS, FOLD)
     found = labelled_sample(docs, labels, "quality", max_train, FOLDS, FOLD, text).mapInArrow(rows, "label int, x array<double>").toArrow()
     y = np.asarray(found.column("label"), dtype=np.int64)
     x = np.array(found.column("x").to_pylist(), dtype=np.float64).reshape(len(y), STATISTICS)
@@ -149,9 +149,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, tex
     return Forest.fit(x, y, weight * len(y) / max(weight.sum(), 1e-9))
 
 
-def class_weights(labels: DataFrame, label: str) -> dict[int, float]:
-    """Rows of either class in the labels."""
-    counts = {int(v): float(n) for v, n in labels.where(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
+def class_weights(labels: DataFrame, label: str, folds: int, fold: int) -> dict[int, float]:
+    """Rows of either class among the labels that may be learnt from."""
+    counts = {int(r["label"]): float(r["count"]) for r in learnable(labels, label, folds, fold).groupBy("label").count().collect()}
     return {0: counts.get(0, 0.0), 1: counts.get(1, 0.0)}
 
 
@@ -172,19 +172,9 @@ def score_quality(docs: DataFrame, forest: Forest, text: str = "text") -> DataFr
 def keep_quality(docs: DataFrame, forest: Forest, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text the trees accept, all columns as they were."""
 
-    ship_package(docs.sparkSession)
-
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
+    def make():
+        import pyarrow as pa
 
-        out, start, size = [], 0, 0
-        filled = texts.fillna("").tolist()
-        for end in range(1, len(filled) + 1):
-            size += len(filled[end - 1])
-            if size > 1_000_000 or end == len(filled):
-                out.append(forest.scores(statistics(filled[start:end])))
-                start, size = end, 0
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+        return lambda texts: pa.array(forest.scores(statistics([t or "" for t in texts])) >= THRESHOLD)
 
-    return docs.where(score(F.col(text)) >= THRESHOLD)
+    return kept_rows(docs, make, text)

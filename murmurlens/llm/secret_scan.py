@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_texts, ship_package, slices, texts_of
+from .common import map_texts, replaced_texts, ship_package, slices, texts_of
 
 #: The patterns and the least lengths of what they mark.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -192,21 +192,15 @@ def scan_secrets(docs: DataFrame, model: MarkovPair, text: str = "text") -> Data
 def mask_secrets(docs: DataFrame, model: MarkovPair, mask: str = "[SECRET]", text: str = "text") -> DataFrame:
     """``docs`` with each secret (touching and overlapping spans as one) replaced by ``mask``; a null text stays null."""
 
-    ship_package(docs.sparkSession)
-
-    @F.pandas_udf("string")
-    def masked(texts):
-        def one(t: str | None) -> str | None:
-            if t is None:
-                return None
-            base = pattern_spans(t)
-            out, at = [], 0
-            for start, end, _ in sorted(base + model.spans(t, base), key=_order):
-                if start > at or not out:
-                    out += [t[at:start], mask]
-                at = max(at, end)
-            return "".join(out) + t[at:]
-
-        return texts.map(one)
-
-    return docs.withColumn(text, masked(F.col(text)))
+    def one(t: str | None) -> str | None:
+        if t is None:
+            return None
+        base = pattern_spans(t)
+        out, at = [], 0
+        for start, end, _ in sorted(base + model.spans(t, base), key=_order):
+            if start > at or not out:
+                out += [t[at:start], mask]
+            at = max(at, end)
+        return "".join(out) + t[at:]
+
+    return replaced_texts(docs, lambda: lambda texts: pa.array(map(one, texts), pa.string()), text)

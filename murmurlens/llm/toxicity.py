@@ -165,7 +165,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 8000, text
                     [part.column("label"), pa.array([list(c) for c in counted], pa.list_(pa.string())), pa.array([list(c.values()) for c in counted], pa.list_(pa.int32()))],
                     ["label", "words", "counts"])
 
-    weights = class_weights(labels, "toxic")
+    weights = class_weights(labels, "toxic", FOLDS, FOLD)
     sample = labelled_sample(docs, labels, "toxic", max_train, FOLDS, FOLD, text)
     found = sample.mapInArrow(bags, "label int, words array<string>, counts array<int>").toArrow()
     rows = sorted(zip(*(found.column(c).to_pylist() for c in ("label", "words", "counts"))))  # whatever order they came in
