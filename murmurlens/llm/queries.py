@@ -153,8 +153,7 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op10_sampled_pieces")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
-    found = sampled_pieces.sampled_pieces(table(spark, sf, "documents"), tokenizer("piece_bpe_32k.model"))
-    return found.select("doc_id", F.posexplode("samples").alias("sample", "s")).select("doc_id", "sample", "s.pieces", "s.log_prob", "s.log_inclusion")
+    return sampled_pieces.sample_rows(table(spark, sf, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:

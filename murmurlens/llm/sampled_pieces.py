@@ -23,7 +23,7 @@ weighs ``(r + 1) ** -alpha``; a character outside the vocabulary is its bytes, w
 weight of the last rank.  Null counts as the empty text, whose only segmentation
 is empty, with log-probability 0 and inclusion 0.  Texts with fewer than ``k``
 segmentations give all they have.  Rows with equal key and text get equal rows;
-a null key counts as -1.  Decoding gives the text back, but for the mark U+2581
+a null key counts as -1, so the key is an integer column.  Decoding gives the text back, but for the mark U+2581
 itself, which comes back as a space.
 """
 
@@ -34,12 +34,14 @@ import re
 import string
 import sys
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import ship_package, slices, texts_of
@@ -64,6 +66,14 @@ def _uniform(keys: np.ndarray, salt: int) -> np.ndarray:
     return ((_mixed(keys + np.uint64(salt * _GOLDEN & _ALL)) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
+def _one_uniform(key: int, salt: int) -> float:
+    """``_uniform`` of one key, without arrays."""
+    x = (key + salt * _GOLDEN) & _ALL
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & _ALL
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & _ALL
+    return (((x ^ (x >> 31)) >> 11) + 0.5) / (1 << 53)
+
+
 #: Salts of what is drawn for a key; up to the first, steps of a walk.
 _TOP, _SPLIT, _AGAIN, _OTHER = 1 << 40, (1 << 40) + 1, (1 << 40) + 2, 1 << 41
 
@@ -165,7 +175,7 @@ class Lattices:
         mass = np.full(n_nodes, -np.inf)
         mass[base + lengths] = 0
         left = np.repeat(lengths, lengths + 1) - (np.arange(n_nodes) - np.repeat(base, lengths + 1))
-        order = np.argsort(left[start] * n_nodes + start)
+        order = np.argsort(left[start] * n_nodes + start, kind="stable")  # the same whatever else is in the slice
         start, target, piece, weight = start[order], target[order], piece[order], weight[order]
         bounds = np.searchsorted(left[start], np.arange(1, lengths.max() + 2))
         for lo, hi in zip(bounds.tolist(), bounds[1:].tolist()):
@@ -176,7 +186,7 @@ class Lattices:
                 mass[of[heads]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, np.diff(np.r_[heads, len(of)]))), heads))
         log_p = weight + mass[target] - mass[start]
         p = np.exp(log_p)
-        order = np.argsort(start - 0.999 * np.minimum(p, 1.0))  # the likeliest edge of a node first
+        order = np.argsort(start - 0.999 * np.minimum(p, 1.0), kind="stable")  # the likeliest edge of a node first
         start, target, piece, log_p, p = start[order], target[order], piece[order], log_p[order], p[order]
         # sums inside each node only, so that no number depends on what else is in the slice
         cum, first = p.copy(), np.searchsorted(start, np.arange(n_nodes))
@@ -233,7 +243,7 @@ class Lattices:
             for path in same:  # what the drawn paths take of an edge's mass
                 p[path[len(edges)] - first] -= math.exp(sum(log_p[e] for e in path[len(edges):]))
             p = [max(x, 0.0) if x > 1e-15 else 0.0 for x in p]
-            u = float(_uniform(np.array([key], dtype=np.uint64), _OTHER + len(edges))[0]) * sum(p)
+            u = _one_uniform(key, _OTHER + len(edges)) * sum(p)
             pick, total = None, 0.0
             for k, x in enumerate(p):
                 total += x
@@ -285,12 +295,28 @@ class _Path:
         self.bound: np.ndarray | None = None  # of the set split off at each unit
 
 
+@dataclass(frozen=True)
+class _Drawn:
+    """The same path (the first, second, ...) of all texts that have it.
+
+    Pieces stand flat, of text ``i`` from ``first[i]`` to ``end[i]``; characters
+    outside the vocabulary are -1 - their code point.
+    """
+
+    texts: np.ndarray
+    pieces: np.ndarray
+    first: np.ndarray
+    end: np.ndarray
+    log_prob: np.ndarray
+    log_inclusion: np.ndarray
+
+
 class Sampler:
     def __init__(self, model: str, alpha: float, k: int, seed: int):
         self.lattices, self.k, self.seed = Lattices(model, alpha), k, seed
 
-    def sample(self, keys: list[int], texts: list[str]) -> list[list[tuple[np.ndarray, float, float]]]:
-        """(pieces, log-probability, log-inclusion) of the paths of each text, the largest perturbed value first."""
+    def draw(self, keys: list[int], texts: list[str]) -> list[_Drawn]:
+        """The paths of all texts, the largest perturbed values first."""
         units = [self.lattices.units.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         sizes = np.array([len(u) for u in units], dtype=np.int64)
         lattices = self.lattices
@@ -317,12 +343,18 @@ class Sampler:
                 break
             # the popped set of each text: its path, the unit it leaves the path at, and the rest drawn anew
             popped = np.flatnonzero(value > -np.inf)
-            from_path = np.repeat(source, sizes)
-            bound = np.choose(from_path, [p.bound for p in paths])
+            from_path = np.repeat(source, sizes) if len(paths) > 1 else None
+
+            def of_source(name: str) -> np.ndarray:
+                if from_path is None:  # there is one path to split yet
+                    return getattr(paths[0], name).copy()
+                return np.choose(from_path, [getattr(p, name) for p in paths])
+
+            bound = of_source("bound")
             hit = np.flatnonzero((bound == np.repeat(value, sizes)) & np.repeat(value > -np.inf, sizes))
             text_of = np.repeat(np.arange(len(texts)), sizes)
             hit = hit[np.r_[True, text_of[hit][1:] != text_of[hit][:-1]]]
-            start, count, log_p = (np.choose(from_path, [getattr(p, n) for p in paths]) for n in ("start", "counts", "log_p"))
+            start, count, log_p = of_source("start"), of_source("counts"), of_source("log_p")
             split = np.full(len(texts), len(ids))
             split[popped] = hit
             behind = np.flatnonzero(np.arange(len(ids)) > np.repeat(split, sizes))
@@ -363,17 +395,39 @@ class Sampler:
             paths.append(path)
             there.append(value > -np.inf)
         kappa = value if len(full) else np.full(len(texts), -np.inf)
-        pool = np.concatenate(pools)
-        out: list[list[tuple[np.ndarray, float, float]]] = [[] for _ in texts]
+        pool, out = np.concatenate(pools), []
         for path, has in zip(paths, there):
             pieces = lattices.piece.values[pool[_ragged(path.start, path.counts)]]
             ends = np.r_[0, np.cumsum(path.counts)]
             with np.errstate(divide="ignore", over="ignore"):
                 inclusion = np.log(-np.expm1(-np.exp(np.minimum(path.total - kappa, 700))))
-            for i in np.flatnonzero(has).tolist():
-                out[i].append((self._spelt(pieces[ends[heads[i]]:ends[heads[i] + sizes[i]]]), float(path.total[i]), float(inclusion[i])))
+            out.append(_Drawn(np.flatnonzero(has), pieces, ends[heads], ends[heads + sizes], path.total, inclusion))
         return out
 
+    def sample(self, keys: list[int], texts: list[str]) -> list[list[tuple[np.ndarray, float, float]]]:
+        """(pieces, log-probability, log-inclusion) of the paths of each text, the largest perturbed value first."""
+        out: list[list[tuple[np.ndarray, float, float]]] = [[] for _ in texts]
+        for drawn in self.draw(keys, texts):
+            for i in drawn.texts.tolist():
+                out[i].append((self._spelt(drawn.pieces[drawn.first[i]:drawn.end[i]]), float(drawn.log_prob[i]), float(drawn.log_inclusion[i])))
+        return out
+
+    def piece_lists(self, drawn: _Drawn) -> pa.ListArray:
+        """The pieces of the texts that have this path."""
+        first, end, pieces = drawn.first[drawn.texts], drawn.end[drawn.texts], drawn.pieces
+        if len(drawn.texts) < len(drawn.first):  # texts without this path go
+            pieces = pieces[_ragged(first, end - first)]
+        offsets = np.r_[0, np.cumsum(end - first)]
+        if len(foreign := np.flatnonzero(pieces < 0)):
+            as_bytes = [[self.lattices.bytes[b] for b in chr(-1 - p).encode("utf-8", "surrogatepass")] for p in pieces[foreign].tolist()]
+            room = np.ones(len(pieces), dtype=np.int64)
+            room[foreign] = [len(b) for b in as_bytes]
+            places = np.r_[0, np.cumsum(room)]
+            pieces = np.repeat(pieces, room)
+            pieces[_ragged(places[foreign], room[foreign])] = list(chain.from_iterable(as_bytes))
+            offsets = places[offsets]
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(pieces.astype(np.int32, copy=False), pa.int32()))
+
     def _spelt(self, ids: np.ndarray) -> np.ndarray:
         """Vocabulary ids; characters outside the vocabulary become byte pieces."""
         if not len(ids) or ids.min() >= 0:
@@ -419,6 +473,27 @@ def sampled_pieces(docs: DataFrame, model: str, k: int = 2, alpha: float = 0.5,
     return kept.mapInArrow(run, f"`{key}` {id_type}, samples array<struct<pieces:array<int>,log_prob:double,log_inclusion:double>>")
 
 
+def sample_rows(docs: DataFrame, model: str, k: int = 2, alpha: float = 0.5, seed: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """As ``sampled_pieces``, a row for each sample: key, sample (its number from 0), pieces, log_prob, log_inclusion."""
+    ship_package(docs.sparkSession)
+    kept = docs.select(F.col(key), F.col(text).alias("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = sampler(model, alpha, k, seed)
+        for batch in batches:
+            for part in slices(batch, "__text"):
+                ids = part.column(0)
+                for number, drawn in enumerate(made.draw(pc.fill_null(ids, -1).to_pylist(), texts_of(part, "__text"))):
+                    at = drawn.texts
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(pa.array(at)), pa.array(np.full(len(at), number, dtype=np.int32)), made.piece_lists(drawn),
+                         pa.array(drawn.log_prob[at]), pa.array(drawn.log_inclusion[at])],
+                        [key, "sample", "pieces", "log_prob", "log_inclusion"])
+
+    id_type = kept.schema[0].dataType.simpleString()
+    return kept.mapInArrow(run, f"`{key}` {id_type}, sample int, pieces array<int>, log_prob double, log_inclusion double")
+
+
 @lru_cache(maxsize=2)
 def _piece_bytes(model: str) -> list[bytes]:
     import sentencepiece
