@@ -42,8 +42,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two distinct segmentations of each text, a row each."""
-    found = sampled_pieces.sampled_pieces(docs, tokenizer("piece_bpe_32k.model"))
-    return found.select("doc_id", F.posexplode("samples").alias("sample", "s")).select("doc_id", "sample", "s.pieces", "s.log_prob", "s.log_inclusion")
+    return sampled_pieces.sample_rows(docs, tokenizer("piece_bpe_32k.model"))
 
 
 STAGES: list[tuple[str, Stage]] = [
