@@ -174,7 +174,8 @@ def manifest(docs: DataFrame, fields: Sequence[str] = FIELDS, group: str = "lang
     own = leaf_hash([F.col(f) for f in fields])
     other = leaf_hash([altered.get(f, F.col(f)) for f in fields])
     digests = docs.select(F.col(group).alias("group"), F.col(order).alias("id"), own.alias("digest"), other.alias("altered"))
-    numbered = number_within(digests, ["group"], "id", "number")
+    # written, since texts would be read and hashed again to find the ranges of the order
+    numbered = number_within(materialise(digests, "manifest-digests"), ["group"], "id", "number")
     leaves, extended = grown(numbered.select("group", (F.col("number") - 1).alias("place"), "id", "digest", "altered"), fan, levels, "manifest")
     extended = materialise(extended, "manifest-blocks")
     roots = extended.where(F.col("block") == 0).select(F.col("group").alias("of"), F.col("root").alias("digest"))
