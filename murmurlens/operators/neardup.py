@@ -12,12 +12,16 @@ nothing here compares all rows of a block:
    if they are few.  In a large window a node joins lists of rare tokens and
    rare trigrams instead, chosen so that any two similar nodes share a list
    (prefix filtering, see :func:`_fine_entries`).
-3. A small window is compared as a whole.  Of the finer lists, which overlap, each
+3. An entry of a finer list carries the length of its node's tokens and bitmaps
+   of its characters and tokens.  What two nodes of a list can at best have in
+   common is bounded by these (:func:`_possible`), so a pair that only shares a
+   rare token or trigram is dropped before either text is fetched.
+4. A small window is compared as a whole.  Of the finer lists, which overlap, each
    round takes the first few nodes and compares them with the rest.  A leader
    removes its near copies at once, so a cluster of ``n`` near copies costs a
    small multiple of ``n`` comparisons, not ``n²``.  The few double each round, so
    the number of rounds is the logarithm of the longest list.
-4. A node whose earlier list mates are all compared or gone is settled by
+5. A node whose earlier list mates are all compared or gone is settled by
    :func:`_settle`; rounds go on until every list is used up.
 """
 
@@ -50,6 +54,10 @@ _LIST_SHARD = 50_000
 #: Tokens and trigrams are hashed to this many codes; their frequency table is
 #: the only thing sent to all executors, and this is its size bound.
 _CODES = 1 << 16
+#: Longs of an entry's bitmaps.
+_CHAR_LONGS, _WORD_LONGS = 4, 2
+_BITMAPS = [f"chars_{i}" for i in range(_CHAR_LONGS)] + [f"words_{i}" for i in range(_WORD_LONGS)]
+_SKETCH_TYPE = "struct<d:int,least:int," + ",".join(f"{c}:bigint" for c in _BITMAPS) + ">"
 
 
 def _group_text(group: Sequence[str]) -> list[Column]:
@@ -139,25 +147,28 @@ def _fine_entries(nodes: DataFrame, threshold: float) -> DataFrame:
         F.transform(tokens, _code).alias("words"),
         F.transform(tokens, F.char_length).alias("sizes"),
         F.array_distinct(F.flatten(F.transform(tokens, _trigrams))).alias("grams"),
+        F.col("tokens").alias("text"),
     )
     spark = nodes.sparkSession
     rarity = spark.sparkContext.broadcast((_rarity(coded, "words"), _rarity(coded, "grams")))
 
     def choose(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         word_rank, gram_rank = rarity.value
-        for d, words, sizes, grams in batches:
-            heads, rare = [], []
-            for length, codes, lens, marks in zip(d, words, sizes, grams):
+        for d, words, sizes, grams, texts in batches:
+            heads, rare, packed = [], [], []
+            for length, codes, lens, marks, text in zip(d, words, sizes, grams, texts):
+                packed.append(_bitmaps(text, codes))
                 by_rank = np.argsort(word_rank[codes], kind="stable")
                 reach = np.cumsum(lens[by_rank] + 1) - 1
                 bound = (t * (2 * length - 1) - 1) / (1 + t)
                 heads.append(np.unique(codes[by_rank[: int(np.searchsorted(reach, bound + 1e-9, "right")) + 1]]))
                 edits = math.floor(2 * t * length / (1 - t) + 1e-9)
                 rare.append(marks[np.argsort(gram_rank[marks], kind="stable")[: 3 * edits + 1]])
-            yield pd.DataFrame({"heads": heads, "rare": rare})
+            columns = pd.DataFrame(packed, columns=_BITMAPS, dtype="int64")
+            yield pd.DataFrame({"heads": heads, "rare": rare}).join(columns)
 
-    pick = F.pandas_udf(choose, "heads array<int>, rare array<int>")
-    picked = coded.select("id", "block", "ws", "words", pick("d", "words", "sizes", "grams").alias("p"))
+    pick = F.pandas_udf(choose, "heads array<int>, rare array<int>, " + ", ".join(f"{c} bigint" for c in _BITMAPS))
+    picked = coded.select("id", "block", "ws", "words", "d", F.array_min("sizes").alias("least"), pick("d", "words", "sizes", "grams", "text").alias("p"))
 
     def entry(kind: int, lead: bool):
         return lambda c: F.struct(F.lit(kind).alias("kind"), c.alias("code"), F.lit(lead).alias("lead"))
@@ -167,15 +178,56 @@ def _fine_entries(nodes: DataFrame, threshold: float) -> DataFrame:
         F.transform("p.heads", entry(1, True)),
         F.transform(F.array_except("words", "p.heads"), entry(1, False)),
     )
+    sketch = F.struct("d", (F.col("least") + 1).alias("least"), *[F.col(f"p.{c}").alias(c) for c in _BITMAPS])
     return (
-        picked.select("id", "block", "ws", F.explode(entries).alias("e"))
-        .select("id", "block", "e.*", F.explode("ws").alias("w"))
-        .select(F.xxhash64("block", "w", "kind", "code").alias("k"), "id", "lead")
-        .groupBy("k", "id").agg(F.bool_or("lead").alias("lead"))
-        .withColumn("fine", F.lit(True))
+        picked.select("id", "block", "ws", sketch.alias("sketch"), F.explode(entries).alias("e"))
+        .select("id", "block", "sketch", "e.*", F.explode("ws").alias("w"))
+        .select(F.xxhash64("block", "w", "kind", "code").alias("k"), "id", "lead", "sketch")
+        .groupBy("k", "id").agg(F.bool_or("lead").alias("lead"), F.first("sketch").alias("sketch"))
+        .select("k", "id", "lead", F.lit(True).alias("fine"), "sketch")
     )
 
 
+def _bitmaps(text: str, codes: np.ndarray) -> list[int]:
+    """Bits of characters, turned over by each, and bits of tokens, set by each.
+
+    The second ``e`` of a text turns another bit than the first, so of two
+    texts' bits no more differ than one has characters the other has not.
+    """
+    points = np.sort(np.frombuffer(text.replace(" ", "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)).astype(np.uint64)
+    place = np.arange(len(points), dtype=np.uint64)
+    first = np.r_[True, points[1:] != points[:-1]][: len(points)]
+    place -= np.maximum.accumulate(np.where(first, place, 0))
+    mixed = (points * np.uint64(0x9E3779B97F4A7C15) + place) * np.uint64(0xD6E8FEB86659FD93)
+    chars = np.bincount((mixed >> np.uint64(32)).astype(np.int64) % (64 * _CHAR_LONGS), minlength=64 * _CHAR_LONGS) & 1
+    words = np.bincount(codes % (64 * _WORD_LONGS), minlength=64 * _WORD_LONGS) > 0
+    return [int(x) for bits in (chars, words) for x in np.packbits(bits.astype(np.uint8)).view("<i8")]
+
+
+def _possible(f: Column, i: Column, threshold: float) -> Column:
+    """Whether two nodes can reach the threshold, by their sketches alone.
+
+    Nodes that do satisfy one of two conditions (``d`` and ``t`` as in
+    :func:`_fine_entries`); tokens that both have change neither.
+
+    * The differing parts are close in edits.  Every differing bit of the
+      characters stands for an insert or a delete at least, so does every
+      character of difference in length, and ``t (d + d' + 1)`` are allowed.
+    * One set nearly contains the other.  Every bit of A's tokens that B has not
+      stands for a missing token.  With a space for each, missing tokens may have
+      length ``2td / (1 + t)``; none is shorter than A's shortest.
+    """
+    t = 1 - threshold / 100
+    edits = reduce(lambda a, b: a + b, [F.bit_count(f[c].bitwiseXOR(i[c])) for c in _BITMAPS[:_CHAR_LONGS]])
+    close = F.greatest(edits, F.abs(f["d"] - i["d"])) <= t * (f["d"] + i["d"] + 1) + 1e-6
+
+    def contained(a: Column, b: Column) -> Column:
+        missing = reduce(lambda x, y: x + y, [F.bit_count(a[c].bitwiseAND(F.bitwise_not(b[c]))) for c in _BITMAPS[_CHAR_LONGS:]])
+        return missing * a["least"] <= 2 * t * a["d"] / (1 + t) + 1e-6
+
+    return f.isNull() | i.isNull() | close | contained(f, i) | contained(i, f)
+
+
 def _entries(nodes: DataFrame, threshold: float, frontier: int) -> DataFrame:
     """Entries ``k, id, lead, fine`` of all lists that can hold a pair, with list size ``n``."""
     windows = _windows(nodes)
@@ -184,7 +236,8 @@ def _entries(nodes: DataFrame, threshold: float, frontier: int) -> DataFrame:
     )
     small, large = sizes.filter(F.col("size") <= frontier), sizes.filter(F.col("size") > frontier)
     entries = windows.join(small, ["block", "w"]).select(
-        F.xxhash64("block", "w").alias("k"), "id", F.lit(True).alias("lead"), F.lit(False).alias("fine")
+        F.xxhash64("block", "w").alias("k"), "id", F.lit(True).alias("lead"), F.lit(False).alias("fine"),
+        F.lit(None).cast(_SKETCH_TYPE).alias("sketch"),
     )
     if not large.isEmpty():
         ws = windows.join(large, ["block", "w"]).groupBy("id").agg(F.collect_set("w").alias("ws"))
@@ -194,14 +247,14 @@ def _entries(nodes: DataFrame, threshold: float, frontier: int) -> DataFrame:
     return entries.join(useful.filter((F.col("n") > 1) & F.col("led")).select("k", "n"), "k")
 
 
-def _pairs(front: DataFrame, entries: DataFrame) -> DataFrame:
-    """Distinct ``a < b`` of each frontier node with every mate in its lists."""
+def _pairs(front: DataFrame, entries: DataFrame, threshold: float) -> DataFrame:
+    """Distinct ``a < b`` of each frontier node with every mate in its lists that it can be similar to."""
     shards = F.ceil(F.col("n") / _LIST_SHARD)
-    left = front.select("k", F.col("id").alias("f"), F.explode(F.sequence(F.lit(0), shards - 1)).alias("shard"))
-    right = entries.select("k", "id", F.pmod(F.col("id"), shards).alias("shard"))
+    left = front.select("k", F.col("id").alias("f"), F.col("sketch").alias("of_f"), F.explode(F.sequence(F.lit(0), shards - 1)).alias("shard"))
+    right = entries.select("k", "id", "sketch", F.pmod(F.col("id"), shards).alias("shard"))
     return (
         left.join(right, ["k", "shard"])
-        .filter(F.col("f") != F.col("id"))
+        .filter((F.col("f") != F.col("id")) & _possible(F.col("of_f"), F.col("sketch"), threshold))
         .select(F.least("f", "id").alias("a"), F.greatest("f", "id").alias("b"))
         .distinct()
     )
@@ -263,7 +316,7 @@ def _dropped_nodes(nodes: DataFrame, threshold: float, frontier: int) -> DataFra
         ranked = head.withColumn("rank", F.row_number().over(first)).withColumn("taken", taken)
         ranked = materialise(ranked.filter(F.col("rank") <= F.col("taken") + 1), "frontier")
         front = ranked.filter(F.col("rank") <= F.col("taken"))
-        found = _edges(_pairs(front, todo), nodes, threshold)
+        found = _edges(_pairs(front, todo, threshold), nodes, threshold)
         live = materialise((found if live is None else live.unionByName(found)).distinct(), "edges")
         rest = ranked.filter(F.col("rank") > F.col("taken")).select("k", F.col("id").alias("from_id"))
         last_round = rest.isEmpty()

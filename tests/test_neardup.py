@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,3 +151,34 @@ def test_result_is_idempotent_and_a_subset(spark):
     first = {r["seq"] for r in once.collect()}
     assert first <= {r[0] for r in rows}
     assert first == {r["seq"] for r in twice.collect()}
+
+
+def test_sketches_leave_few_pairs_of_a_hot_opening_to_compare(spark, monkeypatch):
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnoprstu") for _ in range(rng.randrange(3, 9))) for _ in range(800)]
+    texts = ["breaking news " + " ".join(rng.choices(vocabulary, k=10)) for _ in range(900)]
+    texts += [t.replace("a", "o", 1) for t in texts[:60]] + [t + " ok" for t in texts[60:90]]
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "seq bigint, text string, source string")
+    compared, edges = [], ND._edges
+    monkeypatch.setattr(ND, "_edges", lambda pairs, nodes, threshold: compared.append(pairs.count()) or edges(pairs, nodes, threshold))
+    got = {r["seq"] for r in ND.drop_near_duplicates(df, 90, frontier=64).select("seq").collect()}
+    assert len(got) < len(texts) - 80
+    buckets = [len(normal(t)) // 20 for t in texts]
+    in_reach = sum(abs(a - b) <= 1 for i, a in enumerate(buckets) for b in buckets[:i])
+    assert sum(compared) < 0.02 * in_reach
+
+
+def test_bitmaps_bound_what_two_texts_differ_in():
+    rng = random.Random(5)
+    for _ in range(300):
+        a = "".join(rng.choice("abcdé ") for _ in range(rng.randrange(1, 60)))
+        b = list(a)
+        for _ in range(rng.randrange(0, 9)):
+            b.insert(rng.randrange(len(b) + 1), rng.choice("abcdé")) if rng.random() < 0.5 or not b else b.pop(rng.randrange(len(b)))
+        b = "".join(b)
+        longs = [ND._bitmaps(x, np.array([hash(w) % 4096 for w in x.split()], dtype=np.int64)) for x in (a, b)]
+        differing = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(longs[0][:4], longs[1][:4]))
+        assert differing <= len(a) + len(b) - 2 * lcs(a, b)
+        missing = sum(((x & ~y) & (1 << 64) - 1).bit_count() for x, y in zip(longs[0][4:], longs[1][4:]))
+        assert missing <= len(set(a.split()) - set(b.split()))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from murmurlens.functions import cleaning as N, keys as K
 from murmurlens.operators import dedup as D, neardup as ND, terms as W
 from murmurlens.plans.cleaning import clean_comments, cleaning_audit
+from verification.near_sql import sql_kept
 from verification.registry import (
     COMMENTS, FIXTURE, LABELLED, SCORED_ALL, comments, labelled_comments, query, sql, table,
 )
@@ -65,16 +66,35 @@ def near_duplicate_candidates(spark, sf):
     return ND.candidate_counts(docs(spark, sf)).select("prefix", "n_pairs")
 
 
-@query("near_duplicates_removed")
+def _rows(block):
+    return f"rows_of AS (SELECT doc_id AS id, {block} AS block, {NORMAL} AS t FROM documents),"
+
+
+@query("near_duplicates_removed", f"""
+WITH RECURSIVE {_rows("NULL")} {sql_kept("rows_of", 95)}
+SELECT seq, source, text FROM kept JOIN documents ON doc_id = seq""")
 def near_duplicates_removed(spark, sf):
     return ND.drop_near_duplicates(docs(spark, sf), 95).select("seq", "source", "text")
 
 
-@query("near_duplicates_removed_per_source")
+@query("near_duplicates_removed_per_source", f"""
+WITH RECURSIVE {_rows("source")} {sql_kept("rows_of", 90)}
+SELECT seq, source, text FROM kept JOIN documents ON doc_id = seq""")
 def near_duplicates_removed_per_source(spark, sf):
     return ND.drop_near_duplicates(docs(spark, sf), 90, ["source"]).select("seq", "source", "text")
 
 
+@query("near_duplicates_of_one_opening", f"""
+WITH RECURSIVE said AS (SELECT conv_id * 1000 + turn AS id, 'Breaking news: ' || coalesce(text, '') AS text FROM conversations),
+rows_of AS (SELECT id, NULL AS block, {NORMAL} AS t FROM said), {sql_kept("rows_of", 70)}
+SELECT seq FROM kept""")
+def near_duplicates_of_one_opening(spark, sf):
+    """All messages behind the same two words, so that all are one block and its large windows go by fine lists."""
+    said = table(spark, sf, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.concat(F.lit("Breaking news: "), F.coalesce("text", F.lit(""))).alias("text"))
+    return ND.drop_near_duplicates(said, 70, frontier=16).select("seq")
+
+
 # With threshold 100 a pair matches exactly when one token set holds the other,
 # which SQL can say; the greedy choice is a walk in row order per block.
 @query("contained_duplicates_removed", f"""
@@ -94,7 +114,14 @@ def contained_duplicates_removed(spark, sf):
     return ND.drop_near_duplicates(docs(spark, sf), 100).select("seq")
 
 
-@query("cleaned_and_deduplicated")
+_CLEAN_ROWS = f"""
+unique_rows AS MATERIALIZED (SELECT min(c.seq) AS id, c.t AS text, d.source AS block FROM cleaned c JOIN documents d ON d.doc_id = c.seq
+  WHERE length(c.t) >= 5 GROUP BY c.t, d.source),"""
+
+
+@query("cleaned_and_deduplicated", f"""
+WITH RECURSIVE {CLEANED}, {_CLEAN_ROWS} rows_of AS (SELECT id, block, {NORMAL} AS t FROM unique_rows), {sql_kept("rows_of", 95)}
+SELECT seq, block AS source, text FROM kept JOIN unique_rows ON id = seq""")
 def cleaned_and_deduplicated(spark, sf):
     return clean_comments(docs(spark, sf), config=FIXTURE).select("seq", "source", "text")
 
@@ -111,7 +138,12 @@ def audit(spark, sf):
     return cleaning_audit(rows, min_length=200, duplicate_subset=["text"], config=FIXTURE)
 
 
-@query("cleaning_audit_with_near_duplicates")
+@query("cleaning_audit_with_near_duplicates", f"""
+WITH RECURSIVE {CLEANED}, {_CLEAN_ROWS} rows_of AS (SELECT id, NULL AS block, {NORMAL} AS t FROM unique_rows), {sql_kept("rows_of", 95)},
+m AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM cleaned WHERE length(t) < 5) AS short,
+  (SELECT count(*) FROM unique_rows) AS uniq, (SELECT count(*) FROM kept) AS kept)
+SELECT unnest(['null_text', 'too_short', 'exact_duplicate', 'near_duplicate', 'kept']) AS outcome,
+  unnest([0, short, n - short - uniq, uniq - kept, kept])::BIGINT AS n FROM m""")
 def audit_near(spark, sf):
     return cleaning_audit(docs(spark, sf), 95, similarity_group=[], config=FIXTURE)
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from murmurlens.functions import cleaning as N, keys as K, scoring as S, similarity as M, tokens as T
 from murmurlens.plans.analysis import score_comments
+from verification.near_sql import sql_scores
 from verification.registry import (
     COMMENTS, FIXTURE, SCORED_ALL, comments, labelled_comments, query, quoted, sql, sql_pairs, sql_strip, sql_terms, table,
 )
@@ -231,6 +232,7 @@ def similarity_bounds(spark, sf):
     return bounded.select("id", "other", F.round("lower", 6).alias("lower_bound"), F.round("upper", 6).alias("upper_bound"))
 
 
-@query("similarity_scores")
+@query("similarity_scores", sql(_PAIRS + ",\nboth_sides AS (SELECT other AS a, id AS b, a AS ta, q.b AS tb FROM q WHERE other IS NOT NULL)," + sql_scores("both_sides"),
+           "SELECT b AS id, a AS other, round(score, 6) AS score FROM scored"))
 def similarity_scores(spark, sf):
     return M.score_pairs(_neighbours(spark, sf), "a", "b").select("id", "other", F.round("score", 6).alias("score"))
