@@ -90,11 +90,15 @@ class LabelStore:
         if not fs.rename(draft, target):
             raise RuntimeError(f"version {version} of {writer} could not be committed")
 
-    def log(self, without: tuple[str, int] | None = None) -> DataFrame:
-        """Every stored row with its version's place; ``without`` leaves one (writer, number) out."""
+    def last_sequence(self) -> int:
+        """The place of the newest version, -1 without any."""
+        return max((v.sequence for v in self.versions()), default=-1)
+
+    def log(self, without: tuple[str, int] | None = None, chosen: list[Version] | None = None) -> DataFrame:
+        """Every stored row with its version's place; ``without`` leaves one (writer, number) out, ``chosen`` reads those versions only."""
         schema = StructType([*self.schema, StructField("version", LongType()), StructField("writer", StringType())])
         out = self.spark.createDataFrame([], schema)
-        chosen = [v for v in self.versions() if (v.writer, v.number) != without]
+        chosen = [v for v in (self.versions() if chosen is None else chosen) if (v.writer, v.number) != without]
         if not chosen:
             return out
         # one scan of all folders; the few version entries join by folder name
@@ -111,6 +115,10 @@ class LabelStore:
         """Source and key of every stored row: enough for an anti-join, no ranking."""
         return self.log(without).select("source", "record_key")
 
+    def newer_versions(self, sequence: int, writer: str) -> list[Version]:
+        """Versions committed after a place by anybody but ``writer``; a folder listing."""
+        return [v for v in self.versions() if v.sequence > sequence and v.writer != writer]
+
     def compact_to(self, path: str) -> LabelStore:
         """Write the current labels as one version elsewhere and return that store."""
         target = LabelStore(self.spark, path, self.schema)

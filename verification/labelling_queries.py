@@ -3,12 +3,14 @@
 from pyspark.sql import functions as F
 
 from murmurlens.config import LABEL_INSTRUCTIONS
+from murmurlens.functions import cleaning as N
+from murmurlens.functions.common import computed_once
 from murmurlens.functions.keys import with_record_key
 from murmurlens.operators import labelling as L, review as R
 from murmurlens.plans import labelling as P
 from murmurlens.session import materialise, staging_path
 from murmurlens.sources.store import LabelStore
-from murmurlens.streaming import ingest
+from murmurlens.streaming import ingest, keyed
 from verification.registry import (
     COMMENTS, FIXTURE, LABELLED, comments, labelled_comments, query, sql, sql_terms, table, sql_pairs, _ALL_KEYS, _ALL_MAP,
 )
@@ -226,3 +228,33 @@ def streamed_labels(spark, sf):
     run = ingest.start_ingest(rows, labels, staging_path(spark, "stream-checkpoint"), ingest.lexicon_step(config=FIXTURE), FIXTURE)
     run.awaitTermination()
     return labels.read().select("record_key", "text", "label")
+
+
+# a text that was too short is labelled when it comes again, longer
+_STREAMED = f"""{CLEANED}, j AS (SELECT c.seq, CASE WHEN length(c.t) >= 5 THEN c.t ELSE trim('changed later ' || c.t) END AS text, d.source
+  FROM cleaned c JOIN documents d ON d.doc_id = c.seq WHERE length(c.t) >= 5 OR c.seq % 2 = 0), {sql_lexicon('j', 'text', 'x')}"""
+
+
+@query("streamed_labels_with_state", sql(_STREAMED, """
+SELECT source || '|comment|' || seq AS record_key, CASE WHEN reviewed THEN 'reviewed' ELSE text END AS text,
+  CASE WHEN reviewed THEN 'HATE' ELSE lex END AS label, CASE WHEN reviewed THEN 'review' ELSE 'stream' END AS writer
+FROM (SELECT *, seq % 10 = 0 AND text NOT LIKE 'changed later%' AS reviewed FROM x)"""))
+def streamed_labels_with_state(spark, sf):
+    """Four batches over two starts, the last of them repeats with another text; a tenth was reviewed before, each key is labelled once."""
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("comment_id"), "text", "source")
+    folder, store = staging_path(spark, "stream-in"), LabelStore(spark, staging_path(spark, "stream-store"))
+    cleaned = computed_once(rows, "cleaned", N.clean_text(F.col("text"), config=FIXTURE)).filter(F.char_length("cleaned") >= 5)
+    reviewed = cleaned.filter("seq % 10 = 0").select("seq", "source", F.lit("reviewed").alias("text"), F.lit("HATE").alias("label"), F.concat("source", F.lit("|comment|"), "comment_id").alias("record_key"))
+    store.append(reviewed, 0, "review")
+    checkpoint = staging_path(spark, "stream-checkpoint")
+
+    def start():
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        return keyed.start_keyed_ingest(stream, store, checkpoint, ingest.lexicon_step(config=FIXTURE), FIXTURE)
+
+    rows.repartitionByRange(3, "seq").write.parquet(folder)
+    start().awaitTermination()
+    changed = rows.filter("seq % 2 = 0").withColumn("text", F.concat(F.lit("changed later "), "text"))
+    changed.coalesce(1).write.mode("append").parquet(folder)
+    start().awaitTermination()
+    return store.log().select("record_key", "text", "label", "writer")
