@@ -55,9 +55,9 @@ def run_cycle(pending: DataFrame, store: LabelStore, label: LabelStep, version:
     running a version again labels the same rows again and replaces them.
     """
     keyed = with_record_key(pending)
-    open_rows = anti_join_keys(keyed, store.keys(without=(writer, version)))
+    open_rows = anti_join_keys(keyed, store.keys_of(keyed, without=(writer, version)))
     store.append(labelled(label(pending_batch(open_rows, max_rows))), version, writer)
-    return anti_join_keys(keyed, store.keys())
+    return anti_join_keys(keyed, store.keys_of(keyed))
 
 
 def final_labels(corpus: DataFrame, store: DataFrame, order: str = "seq") -> DataFrame:

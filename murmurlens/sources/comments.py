@@ -105,7 +105,8 @@ def select_sources(df: DataFrame, sources: Iterable[str]) -> DataFrame:
 
 
 def exclude_source(df: DataFrame, source: str) -> DataFrame:
-    return df.filter(F.col("source") != source)
+    """All rows but those of one source; rows without a source stay."""
+    return df.filter(~F.col("source").eqNullSafe(F.lit(source)))
 
 
 def labelled(df: DataFrame) -> DataFrame:

@@ -7,6 +7,9 @@ So a crash leaves the version as it was before, and writing a version again repl
 that version only.  A reader keeps the last row per ``record_key``, versions in the order
 of their first commit.  "Pending" is *ingested minus stored*: there is no second file
 that could disagree.
+
+Rows lie in folders by a hash of their key, so whoever asks for some keys reads the
+folders of those keys only (:meth:`LabelStore.keys_of`); Spark prunes them while the query runs.
 """
 
 from __future__ import annotations
@@ -15,14 +18,17 @@ import re
 import uuid
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from murmurlens.functions.keys import with_record_key
 from murmurlens.operators.dedup import keep_last
 from murmurlens.sources.comments import COMMENT_SCHEMA, labelled
 
 
+_ATTEMPT, _BUCKET = "attempt", "key_bucket"
+
+
 class Version(NamedTuple):
     """A committed version: place in the order, times committed, and where its rows are."""
 
@@ -38,9 +44,10 @@ class Version(NamedTuple):
 
 
 class LabelStore:
-    """Labelled comments at ``path``, keyed by ``record_key``."""
+    """Labelled comments at ``path``, keyed by ``record_key``; ``buckets`` is fixed with the first version."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType = COMMENT_SCHEMA):
+    def __init__(self, spark: SparkSession, path: str, schema: StructType = COMMENT_SCHEMA, buckets: int = 64):
+        self.buckets = buckets
         self.spark = spark
         self.path = path.rstrip("/")
         self.schema = schema
@@ -76,7 +83,9 @@ class LabelStore:
             *[F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema if f.name not in rows.columns],
         )
         attempt = uuid.uuid4().hex
-        labelled(projected).write.parquet(f"{self.path}/rows/{attempt}")
+        # one file for each folder and task; a large folder is split, small ones share a task
+        dealt = labelled(projected).withColumn(_BUCKET, self._bucket_of(F.col("record_key"))).hint("rebalance", _BUCKET)
+        dealt.write.partitionBy(_BUCKET).parquet(f"{self.path}/rows/{_ATTEMPT}={attempt}")
         before = self.versions()
         same = [v for v in before if (v.writer, v.number) == (writer, int(version))]
         if same:
@@ -94,18 +103,26 @@ class LabelStore:
         """The place of the newest version, -1 without any."""
         return max((v.sequence for v in self.versions()), default=-1)
 
+    def _bucket_of(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
     def log(self, without: tuple[str, int] | None = None, chosen: list[Version] | None = None) -> DataFrame:
         """Every stored row with its version's place; ``without`` leaves one (writer, number) out, ``chosen`` reads those versions only."""
-        schema = StructType([*self.schema, StructField("version", LongType()), StructField("writer", StringType())])
+        return self._log(without, chosen).drop(_BUCKET)
+
+    def _log(self, without: tuple[str, int] | None = None, chosen: list[Version] | None = None) -> DataFrame:
+        added = [StructField("version", LongType()), StructField("writer", StringType()), StructField(_BUCKET, IntegerType())]
+        schema = StructType([*self.schema, *added])
         out = self.spark.createDataFrame([], schema)
         chosen = [v for v in (self.versions() if chosen is None else chosen) if (v.writer, v.number) != without]
         if not chosen:
             return out
         # one scan of all folders; the few version entries join by folder name
-        rows = self.spark.read.schema(self.schema).parquet(*(f"{self.path}/rows/{v.attempt}" for v in chosen))
-        rows = rows.withColumn("__attempt", F.regexp_extract("_metadata.file_path", "/rows/([0-9a-f]+)/", 1))
-        places = self.spark.createDataFrame([(v.attempt, v.sequence, v.writer) for v in chosen], "__attempt string, version bigint, writer string")
-        return rows.join(F.broadcast(places), "__attempt").select(*[f.name for f in schema])
+        in_folders = StructType([*self.schema, StructField(_ATTEMPT, StringType()), StructField(_BUCKET, IntegerType())])
+        folders = (f"{self.path}/rows/{_ATTEMPT}={v.attempt}" for v in chosen)
+        rows = self.spark.read.option("basePath", f"{self.path}/rows").schema(in_folders).parquet(*folders)
+        places = self.spark.createDataFrame([(v.attempt, v.sequence, v.writer) for v in chosen], f"{_ATTEMPT} string, version bigint, writer string")
+        return rows.join(F.broadcast(places), _ATTEMPT).select(*[f.name for f in schema])
 
     def read(self) -> DataFrame:
         """Current labels: the last row per key."""
@@ -115,6 +132,17 @@ class LabelStore:
         """Source and key of every stored row: enough for an anti-join, no ranking."""
         return self.log(without).select("source", "record_key")
 
+    def keys_of(self, rows: DataFrame, without: tuple[str, int] | None = None, chosen: list[Version] | None = None) -> DataFrame:
+        """Source and key of the stored rows that can have a key of ``rows``: those in the same folders.
+
+        The folders of ``rows`` are ``buckets`` numbers at most, whatever their count; Spark
+        finds them first and prunes the scan by them.
+        """
+        # the comparison tells the planner that the numbers are a selection worth waiting for
+        asked = rows.select(self._bucket_of(F.col("record_key")).alias("asked")).where("asked >= 0").distinct()
+        log = self._log(without, chosen)
+        return log.join(F.broadcast(asked), log[_BUCKET] == asked["asked"], "left_semi").select("source", "record_key")
+
     def newer_versions(self, sequence: int, writer: str) -> list[Version]:
         """Versions committed after a place by anybody but ``writer``; a folder listing."""
         return [v for v in self.versions() if v.sequence > sequence and v.writer != writer]

@@ -51,7 +51,9 @@ def start_ingest(comments: DataFrame, store: LabelStore, checkpoint: str, label:
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = anti_join_keys(prepare(batch, min_length, config), store.keys(without=(writer, batch_id)))
+        # only the store's folders that the batch's keys fall into are read
+        prepared = prepare(batch, min_length, config)
+        fresh = anti_join_keys(prepared, store.keys_of(prepared, without=(writer, batch_id)))
         store.append(label(fresh), batch_id, writer)
 
     return (

@@ -97,7 +97,7 @@ def start_keyed_ingest(comments: DataFrame, store: LabelStore, checkpoint: str,
         def write(batch: DataFrame, batch_id: int) -> None:
             newer = store.newer_versions(base, writer)
             if newer:
-                batch = anti_join_keys(batch, store.log(chosen=newer).select("source", "record_key"))
+                batch = anti_join_keys(batch, store.keys_of(batch, chosen=newer))
             store.append(label(batch), batch_id, writer)
 
         return fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

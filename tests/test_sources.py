@@ -163,3 +163,29 @@ def test_results_and_report(spark, tmp_path):
 def test_distribution_of_empty_input(spark):
     rows = label_distribution(spark.createDataFrame([], "label string")).collect()
     assert [(r["label"], r["count"], r["pct"]) for r in rows] == [("CLEAN", 0, 0.0), ("OFFENSIVE", 0, 0.0), ("HATE", 0, 0.0)]
+
+
+def test_store_reads_the_folders_of_the_keys_asked_for(spark, tmp_path):
+    from pathlib import Path
+
+    path = str(tmp_path / "store")
+    labels = store.LabelStore(spark, path)
+    rows = spark.range(400).selectExpr("id as seq", "'s' as source", "concat('k', id) as record_key", "'CLEAN' as label", "concat('text ', id) as text")
+    for version in range(3):
+        labels.append(rows.where(f"seq % 3 = {version}"), version)
+    asked = spark.createDataFrame([("s", "k7"), ("s", "k8"), ("s", "new")], "source string, record_key string")
+    found = labels.keys_of(asked)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower()
+    buckets = {r.b for r in asked.select(labels._bucket_of(F.col("record_key")).alias("b")).collect()}
+    # what is not asked for cannot be read any more, and the answer is the same
+    files = list(Path(path, "rows").rglob("part-*"))
+    others = [f for f in files if int(f.parent.name.split("=")[1]) not in buckets]
+    assert len(others) > 0.8 * len(files)
+    for f in others:
+        f.write_bytes(b"")
+    got = {r.record_key for r in labels.keys_of(asked).collect()}
+    assert {"k7", "k8"} <= got and len(got) < 40
+    from murmurlens.operators.dedup import anti_join_keys
+    assert [r.record_key for r in anti_join_keys(asked, labels.keys_of(asked)).collect()] == ["new"]

@@ -234,9 +234,11 @@ def selected_sources(spark, sf):
     return C.select_sources(table(spark, sf, "documents"), names).select("doc_id", "source")
 
 
-@query("other_sources", "SELECT doc_id, source FROM documents WHERE source <> 'src3'")
+@query("other_sources", "SELECT doc_id, nullif(source, 'src5') AS source FROM documents WHERE source <> 'src3'")
 def other_sources(spark, sf):
-    return C.exclude_source(table(spark, sf, "documents"), "src3").select("doc_id", "source")
+    """Without one source; rows that have none stay."""
+    rows = table(spark, sf, "documents").withColumn("source", F.nullif("source", F.lit("src5")))
+    return C.exclude_source(rows, "src3").select("doc_id", "source")
 
 
 @query("long_enough", "SELECT doc_id, length(text) AS n FROM documents WHERE text IS NOT NULL AND length(text) >= 5")
