@@ -36,9 +36,6 @@ from .common import LAST_ID
 WORDS = 4
 #: In a word of more characters (text without spaces, say) one pair of characters in so many ends one, too.
 LONG_WORD, PAIRS = 32, 16
-#: For ``digests``: longest paragraph of texts under so many characters, and of all others.
-PIECES = ((128, 8), (1024, 32))
-LONGEST = 160
 #: Cells of each of the three parts of the fingerprint's sketch.
 CELLS = 8
 #: And of a block of a larger sketch; a block that fails is made again with the next number.
@@ -73,17 +70,6 @@ def content_digests(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(cut, lambda p: p != ""), lambda p: F.xxhash64(p)))
 
 
-def digests(text: Column) -> Column:
-    """Distinct hashes of pieces of a length that depends on the text's; near-equal texts may share none."""
-
-    def pieces(length: int) -> Column:
-        return F.regexp_extract_all(text, F.lit(f"[^\\n]{{1,{length}}}\\n?|\\n"), F.lit(0))
-
-    (tiny, tiny_piece), (short, short_piece) = PIECES
-    cut = F.when(F.length(text) < tiny, pieces(tiny_piece)).when(F.length(text) < short, pieces(short_piece)).otherwise(pieces(LONGEST))
-    return F.array_distinct(F.transform(cut, lambda p: F.xxhash64(p)))
-
-
 def _bit(number: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), number)
 
@@ -226,7 +212,7 @@ def neighbours(texts: DataFrame) -> DataFrame:
     return with_next.select("__id", "__hash", "__n", following["__id"].alias("__next_id"), following["__hash"].alias("__next_hash"))
 
 
-def fingerprints_of_versions(docs: DataFrame, text: str = "text", digests: Callable[[Column], Column] = digests) -> DataFrame:
+def fingerprints_of_versions(docs: DataFrame, text: str = "text", digests: Callable[[Column], Column] = content_digests) -> DataFrame:
     """Fingerprints of each document and of its edited text, and the likeness of the first to the second and to the next document.
 
     The edited text has the last quarter of the characters replaced by the first

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -162,15 +163,34 @@ def test_token_counts_at_the_edges(spark):
 
 
 # ---- 4: fingerprints --------------------------------------------------------------
+_GAP = r"[ \t\n\x0b\f\r\p{P}\p{Z}]"
+
+
+def cuts(value, *before):
+    h = 42
+    for x in (*before, value):
+        h = h if x is None else xxhash.xxh64_intdigest(x.encode(), seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def pieces_by_force(text):
-    longest = 8 if len(text) < 128 else 32 if len(text) < 1024 else 160
-    return set(re.findall(r"[^\n]{1,%d}\n?|\n" % longest, text))
+    """Paragraphs: cut at line ends, after one word in so many, and in long words after one pair of characters in so many."""
+    done, open_part = set(), ""
+    for w in regex.findall(rf"(?:(?!{_GAP}).)+(?:(?!\n){_GAP})*\n*|{_GAP}+", text, regex.S):
+        chars = list(w) if len(w) > P.LONG_WORD else [w]
+        for k, c in enumerate(chars):
+            open_part += c
+            whole = k == len(chars) - 1 and (cuts(w) % P.WORDS == 0 or w.endswith("\n"))
+            if whole or len(chars) > 1 and cuts(c, chars[k - 1] if k else None) % P.PAIRS == 0:
+                done.add(open_part)
+                open_part = ""
+    return done | ({open_part} if open_part else set())
 
 
 def test_fingerprints_recover_the_differences(spark):
     rng = random.Random(4)
     rows = [(3 * i, "\n".join(" ".join(words(rng, rng.randrange(1, 30), 900)) for _ in range(rng.randrange(1, 30)))) for i in range(25)]
-    rows += [(200, None), (201, ""), (202, "a"), (203, "é☃🙂" * 40), (204, rows[3][1]), (6, rows[2][1]), (None, "last of all")]
+    rows += [(200, None), (201, ""), (202, "a"), (203, "é☃本" * 40), (204, rows[3][1]), (6, rows[2][1]), (None, "last of all")]
     order = sorted({(math.inf if i is None else i, t or "") for i, t in rows})
 
     def jaccard(a, b):
