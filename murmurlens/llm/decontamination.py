@@ -6,8 +6,9 @@ texts, and around each hit the two word sequences are laid over each other.  A
 text is contaminated by an item if some ``WINDOW`` consecutive words of the item,
 so laid, agree in at least ``SIMILARITY`` of the positions.  The masks are chosen such
 that any two differing positions of a window leave some masked span untouched, so
-no such window is missed.  An item shorter than a window must agree as a whole and
-without a difference; one shorter than the longest mask is too short to tell.
+no such window is missed.  An item shorter than a window must agree as a whole, in as
+large a share of its words.  It has masks of its own: cut into one piece more than
+words may differ, one of its pieces is left untouched.
 
 Words are what ASCII white space separates, lower-cased.  Null counts as the empty
 text: no words, never contaminated, and as an item never found.  Rows are told apart
@@ -31,7 +32,9 @@ SIMILARITY = 0.8
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
 #: Test sides of up to so many seeds are broadcast (16 bytes each and the hash table's room); larger ones are shuffled.
 BROADCAST_SEEDS = 500_000
-_SPANS = tuple(m[-1] + 1 for m in MASKS)
+_LONG = tuple(enumerate(MASKS))
+#: Shorter masks, for pieces of items of fewer words than a window: a number that no other has, and positions.
+_SHORT = {q: (len(MASKS) + q, tuple(range(q))) for q in range(1, 5)}
 
 
 def word_hashes(text: Column) -> Column:
@@ -40,28 +43,44 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(hashes: Column, number: int) -> Column:
-    """Hashes of all spans of a mask, by start."""
-    mask, span = MASKS[number], _SPANS[number]
+def _seed(hashes: Column, number: int, mask: tuple[int, ...], start: Column) -> Column:
+    return F.xxhash64(F.lit(number), *(F.get(hashes, start + p) for p in mask))
 
-    def seed(start: Column) -> Column:
-        return F.xxhash64(F.lit(number), *(F.get(hashes, start + p) for p in mask))
 
-    return F.when(F.size(hashes) >= span, F.transform(F.sequence(F.lit(0), F.size(hashes) - span), seed)).otherwise(F.array().cast("array<bigint>"))
+def _seeds(hashes: Column, number: int, mask: tuple[int, ...]) -> Column:
+    """Hashes of all spans of a mask, by start."""
+    seeds = F.transform(F.sequence(F.lit(0), F.size(hashes) - mask[-1] - 1), lambda start: _seed(hashes, number, mask, start))
+    return F.when(F.size(hashes) > mask[-1], seeds).otherwise(F.array().cast("array<bigint>"))
 
 
-def _exploded_seeds(rows: DataFrame, *keys: str) -> DataFrame:
+def _exploded_seeds(rows: DataFrame, masks: tuple, *keys: str) -> DataFrame:
     """keys, start and seed of all masked spans; ``rows`` has ``__words``, the word hashes."""
     both = computed_once(rows, "__words", F.col("__words")).withColumn("__n", F.size("__words"))
-    arrays = F.concat(*(_seeds(F.col("__words"), k) for k in range(len(MASKS))))
+    arrays = F.concat(*(_seeds(F.col("__words"), *m) for m in masks))
     at = both.select(*keys, "__n", F.posexplode(arrays).alias("__at", "__seed"))
     start, before = F.col("__at"), F.lit(0)
-    for span in _SPANS[:-1]:
-        before = before + F.greatest(F.col("__n") - span + 1, F.lit(0))
+    for _, mask in masks[:-1]:
+        before = before + F.greatest(F.col("__n") - mask[-1], F.lit(0))
         start = F.when(F.col("__at") >= before, F.col("__at") - before).otherwise(start)
     return at.select(*keys, start.alias("__start"), "__seed")
 
 
+def _needed(n: Column) -> Column:
+    """Agreeing words that a window, or a whole shorter item, of ``n`` words must have."""
+    return F.ceil(F.lit(SIMILARITY) * F.least(F.lit(WINDOW), n)).cast("int")
+
+
+def _short_seeds(items: DataFrame) -> DataFrame:
+    """__item, __start and seed of the pieces of items shorter than a window, and ``q``, the words of a piece."""
+    n = F.size("__item_words")
+    pieces = n - _needed(n) + 1
+    cut = items.where(n < WINDOW).select("__item", "__item_words", pieces.alias("pieces"), F.floor(n / pieces).cast("int").alias("q"))
+    starts = cut.select("__item", "__item_words", "q", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("k"))
+    starts = starts.withColumn("__start", F.col("k") * F.col("q"))
+    seed = F.coalesce(*(F.when(F.col("q") == q, _seed(F.col("__item_words"), *m, F.col("__start"))) for q, m in _SHORT.items()))
+    return starts.select("__item", "__start", seed.alias("__seed"), "q")
+
+
 def _agreement(words: Column, item: Column, shift: Column) -> Column:
     """The most agreeing positions of a window, the item's word ``t`` laid over the text's ``shift + t``."""
     n = F.size(item)
@@ -75,15 +94,20 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
     """(__id, __hash, __item, item_id): texts, by id and hash of the text, with the items that contaminate them."""
     spark = docs.sparkSession
     items = materialise(
-        benchmark.select(F.col("item_id"), word_hashes(F.col("text")).alias("__item_words")).where(F.size("__item_words") >= max(_SPANS))
+        benchmark.select(F.col("item_id"), word_hashes(F.col("text")).alias("__item_words")).where(F.size("__item_words") > 0)
         .select("item_id", "__item_words", F.xxhash64("item_id", "__item_words").alias("__item")).dropDuplicates(["__item"]),
         "decontamination-items")
-    item_seeds = _exploded_seeds(items.select("__item", F.col("__item_words").alias("__words")), "__item").select("__item", F.col("__start").alias("__item_start"), "__seed")
-    item_seeds = materialise(item_seeds, "decontamination-seeds")
+    whole = items.where(F.size("__item_words") >= WINDOW).select("__item", F.col("__item_words").alias("__words"))
+    item_seeds = _exploded_seeds(whole, _LONG, "__item").withColumn("q", F.lit(None).cast("int")).unionByName(_short_seeds(items))
+    item_seeds = materialise(item_seeds.withColumnRenamed("__start", "__item_start"), "decontamination-seeds")
     small = item_seeds.count() <= BROADCAST_SEEDS
+    # texts are hashed with the shorter masks only if some item has them: four at most
+    lengths = sorted(r["q"] for r in item_seeds.where("q is not null").select("q").distinct().collect())
+    masks = _LONG + tuple(_SHORT[q] for q in lengths)
+    item_seeds = item_seeds.drop("q")
     texts = docs.select(F.col("doc_id").alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     texts = texts.select("__id", "__text", F.xxhash64("__text").alias("__hash"))
-    seeds = _exploded_seeds(texts.select("__id", "__hash", word_hashes(F.col("__text")).alias("__words")), "__id", "__hash")
+    seeds = _exploded_seeds(texts.select("__id", "__hash", word_hashes(F.col("__text")).alias("__words")), masks, "__id", "__hash")
     hits = seeds.join(F.broadcast(item_seeds) if small else item_seeds, "__seed")
     hits = hits.select("__id", "__hash", "__item", (F.col("__start") - F.col("__item_start")).alias("__shift")).distinct()
     # lay the sequences over each other, texts with hits only
@@ -96,9 +120,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
     placed = F.transform("__hits", lambda h: F.struct(h["__item"].alias("__item"), h["__shift"].alias("__shift")))
     placed = found.select("__id", "__hash", "__words", F.explode(placed).alias("h"))
     judged = placed.select("__id", "__hash", "__words", "h.__item", "h.__shift").join(F.broadcast(items) if small else items, "__item")
-    width = F.least(F.lit(WINDOW), F.size("__item_words"))
-    needed = F.when(width < WINDOW, width).otherwise(F.ceil(F.lit(SIMILARITY) * WINDOW))
-    judged = judged.where(_agreement(F.col("__words"), F.col("__item_words"), F.col("__shift")) >= needed)
+    judged = judged.where(_agreement(F.col("__words"), F.col("__item_words"), F.col("__shift")) >= _needed(F.size("__item_words")))
     return judged.select("__id", "__hash", "__item", "item_id").distinct()
 
 

@@ -58,10 +58,10 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x09-\x0D ]+'), lambda w: w <> '') AS w FROM documents),
 b AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x09-\x0D ]+'), lambda w: w <> '') AS w FROM benchmark),
 dw AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
-bw AS (SELECT item_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS t FROM b WHERE len(w) >= 9),
+bw AS (SELECT item_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS t FROM b),
 m AS (SELECT doc_id, item_id, n, i - t AS shift, t FROM dw JOIN bw USING (word)),
 c AS (SELECT doc_id, item_id, n, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY t RANGE BETWEEN 12 PRECEDING AND CURRENT ROW) AS k FROM m),
-f AS (SELECT DISTINCT doc_id, item_id FROM c WHERE k >= CASE WHEN n < 13 THEN n ELSE 11 END),
+f AS (SELECT DISTINCT doc_id, item_id FROM c WHERE k >= ceil(0.8 * least(n, 13))),
 g AS (SELECT doc_id, count(*) AS n_items, list_sort(list(item_id)) AS item_ids FROM f GROUP BY doc_id)
 SELECT documents.doc_id, g.doc_id IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(item_ids, []::BIGINT[]) AS item_ids
 FROM documents LEFT JOIN g ON documents.doc_id = g.doc_id
