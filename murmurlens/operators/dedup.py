@@ -11,15 +11,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ByteType, DateType, IntegerType, LongType, ShortType, TimestampType
 
 from murmurlens.functions.cleaning import strip
+from murmurlens.operators.selection import smallest
 from murmurlens.session import materialise
 
 #: Largest ``k`` for which Spark plans the group limit
 #: (``spark.sql.optimizer.windowGroupLimitThreshold``).
 _GROUP_LIMIT = 1000
-#: Rows a plain ordered limit may bring into one task.
-_ORDERED_LIMIT = 10_000
 _RANK = "__rank"
 
 
@@ -91,14 +91,18 @@ def number_within(df: DataFrame, group: Sequence[str], order: str = "seq", colum
 def first_rows(df: DataFrame, n: int, order: str = "seq") -> DataFrame:
     """The first ``n`` rows in ``order``, null first, ties by a hash of the row; 0 means all.
 
-    A small limit is a top-k; a large one is cut by number, so that its rows
-    never meet in one task.  Both follow the same order and give the same rows;
-    ``_ORDERED_LIMIT`` is about cost only.
+    Integers, dates and times are found by counting (:func:`smallest`), whatever ``n``; other
+    orders by number.
     """
     if n <= 0:
         return df
-    if n <= _ORDERED_LIMIT:
-        return df.orderBy(*_places(df, order)).limit(n)
+    kind = df.schema[order].dataType
+    if isinstance(kind, (ByteType, ShortType, IntegerType, LongType)):
+        return smallest(df, n, [F.col(order).cast("bigint"), F.xxhash64(*df.columns)])
+    if isinstance(kind, DateType):
+        return smallest(df, n, [F.unix_date(order).cast("bigint"), F.xxhash64(*df.columns)])
+    if isinstance(kind, TimestampType):
+        return smallest(df, n, [F.unix_micros(order), F.xxhash64(*df.columns)])
     return number_within(df, [], order, "__number").filter(F.col("__number") <= n).drop("__number")
 
 
@@ -126,8 +130,17 @@ def number_batches(df: DataFrame, size: int, group: Sequence[str] = (), order: s
 
 
 def stable_sample(df: DataFrame, k: int, seed: int = 42, order: str = "seq") -> DataFrame:
-    """``k`` rows picked by a hash of seed and row order: same rows on any layout and in any engine."""
-    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(order).cast("string"), F.lit("")))), order).limit(k)
+    """``k`` rows picked by a hash of seed and row order: same rows on any layout and in any engine.
+
+    The hash's least values win, found by counting its leading digits, so the
+    rows picked stay where they are, however many.
+    """
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(order).cast("string"), F.lit(""))))
+
+    def digits(first: int, n: int) -> Column:
+        return F.conv(F.substring(digest, first, n), 16, 10).cast("bigint")
+
+    return smallest(df, k, [digits(1, 15), digits(16, 15), digits(31, 2), F.xxhash64(*df.columns)])
 
 
 def synthetic_ids(df: DataFrame, group: Sequence[str] = ("facebook_group_id", "post_id"),

@@ -29,7 +29,9 @@ class Cycle(NamedTuple):
 def pending_batch(pending: DataFrame, max_rows: int = 0, order: str = "seq") -> DataFrame:
     """Keyed pending rows, last per key, cut to the cost cap."""
     unique = keep_last(with_record_key(pending), ["record_key"], [order])
-    return first_rows(unique, max_rows, order)
+    if max_rows <= 0:
+        return unique
+    return first_rows(materialise(unique, "pending"), max_rows, order)  # counted a few times
 
 
 def label_cycle(pending: DataFrame, store: DataFrame, label: LabelStep, max_rows: int = 0) -> Cycle:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from murmurlens.functions.keys import with_record_key
-from murmurlens.operators import dedup as D, labelling as L, review as R, stats, terms
+from murmurlens.operators import selection, dedup as D, labelling as L, review as R, stats, terms
 from murmurlens.plans import labelling as P
 from murmurlens.plans.analysis import analyse
 from murmurlens.plans.cleaning import clean_comments, cleaning_audit
@@ -60,7 +60,7 @@ def test_limits(spark, monkeypatch):
     df = frame(spark, [(i, "t", "s", None) for i in range(50)])
     assert D.first_rows(df, 0).count() == 50
     assert values(D.first_rows(df, 3), "seq") == [(0,), (1,), (2,)]
-    monkeypatch.setattr(D, "_ORDERED_LIMIT", 2)
+    monkeypatch.setattr(selection, "FEW", 2)
     monkeypatch.setattr(D, "_GROUP_LIMIT", 2)
     assert values(D.first_rows(df, 3), "seq") == [(0,), (1,), (2,)]
     assert values(D.cap_per_group(df, ["source"], 4), "seq") == [(0,), (1,), (2,), (3,)]
@@ -177,7 +177,7 @@ def test_null_orders_are_numbered_and_limits_agree(spark, monkeypatch):
     rows = spark.createDataFrame([(i, None if i % 2 else i) for i in range(40)], "k long, seq long")
     assert sorted(r["n"] for r in D.number_within(rows, [], column="n").collect()) == list(range(1, 41))
     small = values(D.first_rows(rows, 25), "k")
-    monkeypatch.setattr(D, "_ORDERED_LIMIT", 0)
+    monkeypatch.setattr(selection, "FEW", 0)
     assert values(D.first_rows(rows, 25), "k") == small and len(small) == 25
 
 

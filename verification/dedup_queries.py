@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from murmurlens.functions import cleaning as N, keys as K
 from murmurlens.operators import dedup as D, neardup as ND, terms as W
+from murmurlens.operators.selection import smallest
 from murmurlens.plans.cleaning import clean_comments, cleaning_audit
 from verification.near_sql import sql_kept
 from verification.registry import (
@@ -206,6 +207,20 @@ def seeded_sample(spark, sf):
     return D.stable_sample(docs(spark, sf), 50).select("seq", "source")
 
 
+@query("seeded_sample_of_a_third", "SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY md5('7|' || (l_orderkey * 10 + l_linenumber)), 1, 2 LIMIT 20000")
+def seeded_sample_of_a_third(spark, sf):
+    """More rows than one task should put in order."""
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    return D.stable_sample(rows, 20_000, 7).select("l_orderkey", "l_linenumber")
+
+
+@query("first_rows_by_time", "SELECT event_id FROM events ORDER BY ts, event_id LIMIT 2500")
+def first_rows_by_time(spark, sf):
+    """By a time that events share, then by their id."""
+    rows = table(spark, sf, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    return smallest(rows, 2500, [F.col("t"), F.col("event_id")]).select("event_id")
+
+
 @query("numbers_of_null_and_hashed_order", """
 SELECT event_id, n <= 3000 AS early FROM (
   SELECT event_id, row_number() OVER (ORDER BY o NULLS FIRST) AS n FROM (
