@@ -24,3 +24,12 @@ def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     keep = [c for c in df.columns if c != name]
     named = df.select(*keep, F.explode(F.array(value)).alias(name))
     return named.select(*df.columns) if name in df.columns else named
+
+
+def dealt(df: DataFrame, partitions: int | None, by: str = "seq") -> DataFrame:
+    """``df`` in that many partitions, by a hash of a column; None leaves it as it lies.
+
+    A file of one row group is one task.  Who knows that the input is such and the
+    work on a row dear, says so; nothing here decides it by size.
+    """
+    return df if partitions is None else df.repartition(partitions, by)

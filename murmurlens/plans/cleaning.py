@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from murmurlens.config import VIETNAMESE, TextConfig
 from murmurlens.functions.cleaning import clean_text, nfc
-from murmurlens.functions.common import computed_once
+from murmurlens.functions.common import computed_once, dealt
 from murmurlens.operators.dedup import drop_exact_duplicates
 from murmurlens.operators.neardup import drop_near_duplicates, kept_ids
 from murmurlens.session import materialise
@@ -26,9 +26,10 @@ def clean_comments(
     similarity_group: Sequence[str] = ("source",),
     config: TextConfig = VIETNAMESE,
     compose: bool = False,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Cleaned comments.  ``compose=True`` brings text to NFC first."""
-    out = df.filter(F.col("text").isNotNull())
+    """Cleaned comments.  ``compose=True`` brings text to NFC first, ``partitions`` deals rows out first (:func:`dealt`)."""
+    out = dealt(df.filter(F.col("text").isNotNull()), partitions)
     text = nfc(F.col("text")) if compose else F.col("text")
     out = computed_once(out, "text", clean_text(text, keep_emoji, config))
     out = out.filter(F.char_length("text") >= min_length)

@@ -8,16 +8,16 @@ from murmurlens.operators.selection import smallest
 from murmurlens.plans.cleaning import clean_comments, cleaning_audit
 from verification.near_sql import sql_kept
 from verification.registry import (
-    COMMENTS, FIXTURE, LABELLED, SCORED_ALL, comments, labelled_comments, query, sql, table,
+    COMMENTS, FIXTURE, LABELLED, SCORED_ALL, comments, cores, labelled_comments, query, sql, table,
 )
-from verification.text_queries import CLEANED, NORMAL, docs
+from verification.text_queries import CLEANED, NORMAL, dealt_docs, docs
 
 
 @query("exact_duplicates_removed", sql(CLEANED, """
 SELECT min(c.seq) AS seq, c.t AS text, d.source FROM cleaned c JOIN documents d ON d.doc_id = c.seq
 WHERE length(c.t) >= 5 GROUP BY c.t, d.source"""))
 def exact_duplicates_removed(spark, sf):
-    return clean_comments(docs(spark, sf), similarity_threshold=0, config=FIXTURE).select("seq", "text", "source")
+    return clean_comments(docs(spark, sf), similarity_threshold=0, config=FIXTURE, partitions=cores(spark)).select("seq", "text", "source")
 
 
 @query("first_per_text", "SELECT min(doc_id) AS seq, text FROM documents GROUP BY text")
@@ -159,7 +159,7 @@ def pending_without_labelled(spark, sf):
 @query("lexicon_join", sql(SCORED_ALL, "SELECT seq, len(w) AS hits, list_sum(w)::BIGINT AS weight FROM scored WHERE len(w) > 0"))
 def lexicon_join(spark, sf):
     lexicon = spark.createDataFrame(list(FIXTURE.lexicon.items()), "term string, weight int")
-    return W.lexicon_lookup(docs(spark, sf), lexicon, FIXTURE)
+    return W.lexicon_lookup(dealt_docs(spark, sf), lexicon, FIXTURE)
 
 
 @query("lexicon_join_salted", sql(SCORED_ALL, "SELECT seq, len(w) AS hits, list_sum(w)::BIGINT AS weight FROM scored WHERE len(w) > 0"))

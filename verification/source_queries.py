@@ -5,13 +5,14 @@ from pyspark.sql import functions as F
 from murmurlens.config import LABELS
 from murmurlens.functions import predicates as P
 from murmurlens.functions.cleaning import strip
+from murmurlens.functions.common import dealt
 from murmurlens.operators import dedup
 from murmurlens.operators.review import review_columns
 from murmurlens.plans import ingest
 from murmurlens.session import staging_path
 from murmurlens.sources import comments as C, corpus, store, threads
 from verification.registry import (
-    COMMENTS, FIXTURE, LABELLED, comments, labelled_comments, query, quoted, sql, sql_strip, table,
+    COMMENTS, FIXTURE, LABELLED, comments, cores, labelled_comments, query, quoted, sql, sql_strip, table,
 )
 
 
@@ -261,7 +262,8 @@ SELECT doc_id, i FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t,
     unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents)
 WHERE length({sql_strip('t')}) >= 5 AND NOT regexp_matches(replace(t, ' ', ''), '^[0-9]+$') AND {_UI}""")
 def valid_comments(spark, sf):
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "t"))
+    rows = dealt(table(spark, sf, "documents").select("doc_id", "text"), cores(spark), "doc_id")
+    lines = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "t"))
     return lines.filter(P.is_valid_comment(F.col("t"), FIXTURE)).select("doc_id", "i")
 
 
@@ -292,7 +294,8 @@ WITH t AS (SELECT doc_id, i, lower({sql_strip('line')}) AS t FROM (
  y AS (SELECT *, len(w) AS n, len(list_filter(w, lambda v: v IN ({quoted(FIXTURE.hint_words)}))) AS h FROM x)
 SELECT doc_id, i FROM y WHERE n > 0 AND ((d AND (h >= 1 OR n <= 4)) OR h >= 2 OR (h >= 1 AND h * 1.0 / n >= 0.25))""")
 def vietnamese_like(spark, sf):
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "t"))
+    rows = dealt(table(spark, sf, "documents").select("doc_id", "text"), cores(spark), "doc_id")
+    lines = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "t"))
     return lines.filter(P.looks_vietnamese(F.col("t"), FIXTURE)).select("doc_id", "i")
 
 

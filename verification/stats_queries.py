@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from murmurlens.functions.common import dealt
 from murmurlens.operators import stats as S, terms as W
 from murmurlens.plans.analysis import score_comments
 from murmurlens.plans.report import summary_report
 from verification.registry import (
-    COMMENTS, FIXTURE, LABELLED, SCORED, SCORED_ALL, comments, labelled_comments, query, sql, sql_terms, table,
+    COMMENTS, FIXTURE, LABELLED, SCORED, SCORED_ALL, comments, cores, labelled_comments, query, sql, sql_terms, table,
 )
 
 TOXIC = "label IN ('OFFENSIVE', 'HATE')"
@@ -19,11 +20,11 @@ counted AS (SELECT n, ngram, count(*) AS count FROM grams GROUP BY ALL)"""
 
 
 def scored(spark, sf):
-    return score_comments(labelled_comments(spark, sf), FIXTURE)
+    return score_comments(dealt(labelled_comments(spark, sf), cores(spark)), FIXTURE)
 
 
 def word_counts(spark, sf):
-    return W.word_counts(labelled_comments(spark, sf), FIXTURE)
+    return W.word_counts(dealt(labelled_comments(spark, sf), cores(spark)), FIXTURE)
 
 
 def gram_counts(spark, sf):

@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from murmurlens.functions import cleaning as N, keys as K, scoring as S, similarity as M, tokens as T
+from murmurlens.functions.common import dealt
 from murmurlens.plans.analysis import score_comments
 from verification.near_sql import sql_scores
 from verification.registry import (
-    COMMENTS, FIXTURE, SCORED_ALL, comments, labelled_comments, query, quoted, sql, sql_pairs, sql_strip, sql_terms, table,
+    COMMENTS, FIXTURE, SCORED_ALL, comments, cores, labelled_comments, query, quoted, sql, sql_pairs, sql_strip, sql_terms, table,
 )
 
 # ---- SQL for the cleaning chain --------------------------------------------
@@ -61,15 +62,20 @@ def docs(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), "text", "source")
 
 
-def text_query(name, fn, expression, source="documents", key="doc_id", col="text"):
+def dealt_docs(spark, sf):
+    return dealt(docs(spark, sf), cores(spark))
+
+
+def text_query(name, fn, expression, source="documents", key="doc_id", col="text", dear=False):
     @query(name, f"SELECT {key} AS seq, {expression} AS text FROM {source}")
     def run(spark, sf):
-        return table(spark, sf, source).select(F.col(key).alias("seq"), fn(F.col(col)).alias("text"))
+        rows = table(spark, sf, source).select(F.col(key).alias("seq"), F.col(col).alias("text"))
+        return dealt(rows, cores(spark) if dear else None).select("seq", fn(F.col("text")).alias("text"))
 
     return run
 
 
-text_query("expanded_abbreviations", lambda c: N.expand_abbreviations(c, FIXTURE), sql_expand("text"))
+text_query("expanded_abbreviations", lambda c: N.expand_abbreviations(c, FIXTURE), sql_expand("text"), dear=True)
 text_query("without_urls", N.drop_urls, sub("html", r"(?i)https?://\S+|www\.\S+"), "pages", "page_id", "html")
 text_query("without_emails", N.drop_emails, sub("text", r"\S+@\S+\.\S+"))
 text_query("without_phones", N.drop_phones, sub("text", r"(\+84|0)\p{Nd}{9,10}"))
@@ -89,7 +95,7 @@ def collapsed_repeats(spark, sf):
 
 @query("clean_text", sql(CLEANED, "SELECT seq, t AS text FROM cleaned"))
 def clean_text(spark, sf):
-    return docs(spark, sf).select("seq", N.clean_text(F.col("text"), config=FIXTURE).alias("text"))
+    return dealt_docs(spark, sf).select("seq", N.clean_text(F.col("text"), config=FIXTURE).alias("text"))
 
 
 NORMAL = sql_spaces(sub(f"lower({sub('text', _WIDE)})", r"[^\p{L}\p{N}_\s]"))
@@ -105,7 +111,7 @@ def block_keys(spark, sf):
 
 @query("terms", sql(COMMENTS, f"SELECT seq, array_to_string({sql_terms('text')}, ' ') AS terms, len({sql_terms('text')}) AS n FROM comments"))
 def terms(spark, sf):
-    tokens = docs(spark, sf).select("seq", T.terms(F.col("text"), FIXTURE).alias("t"))
+    tokens = dealt_docs(spark, sf).select("seq", T.terms(F.col("text"), FIXTURE).alias("t"))
     return tokens.select("seq", F.array_join("t", " ").alias("terms"), F.size("t").alias("n"))
 
 
@@ -121,7 +127,7 @@ def ngrams(spark, sf):
 
 @query("lexicon_scores", sql(SCORED_ALL, "SELECT seq, len(w) AS hits, toxic_score, toxic_level FROM scored"))
 def lexicon_scores(spark, sf):
-    tokens = docs(spark, sf).select("seq", T.terms(F.col("text"), FIXTURE).alias("t"))
+    tokens = dealt_docs(spark, sf).select("seq", T.terms(F.col("text"), FIXTURE).alias("t"))
     hits = tokens.select("seq", S.lexicon_hits(F.col("t"), FIXTURE).alias("w"))
     scores = hits.select("seq", F.size("w").alias("hits"), S.score_of_hits(F.col("w")).alias("toxic_score"))
     return scores.withColumn("toxic_level", S.toxic_level(F.col("toxic_score")))
