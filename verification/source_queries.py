@@ -10,7 +10,7 @@ from murmurlens.operators import dedup
 from murmurlens.operators.review import review_columns
 from murmurlens.plans import ingest
 from murmurlens.session import staging_path
-from murmurlens.sources import comments as C, corpus, store, threads
+from murmurlens.sources import comments as C, corpus, split_csv, store, threads
 from verification.registry import (
     COMMENTS, FIXTURE, LABELLED, comments, cores, labelled_comments, query, quoted, sql, sql_strip, table,
 )
@@ -39,6 +39,20 @@ def csv_source(spark, sf):
     return C.scan_platform(spark, path, "youtube").select("comment_id", "text", "source", "split")
 
 
+_SAID = """'say "yes, ' || text"""
+
+
+@query("csv_read_in_ranges", f"""
+SELECT CAST(doc_id AS VARCHAR) AS comment_id, {sql_strip(_SAID)} AS text, source, 'collected' AS split FROM documents""")
+def csv_read_in_ranges(spark, sf):
+    """One file with quotes, commas and line breaks in its fields, read by as many tasks as it has ranges."""
+    path = staging_path(spark, "csv")
+    said = F.concat(F.lit('say "yes, '), F.col("text"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("comment_id"), said.alias("text"), "source")
+    C.csv_options(docs.coalesce(1).write).csv(path)
+    return C.normalise_platform(split_csv.read_split_csv(spark, path), "youtube").select("comment_id", "text", "source", "split")
+
+
 @query("source_union", """
 SELECT doc_id AS seq, text, lang, source, CAST(NULL AS VARCHAR) AS role FROM documents
 UNION ALL BY NAME
