@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 PYTHON = {
     "composed_text", "similarity_scores", "near_duplicates_removed", "near_duplicates_removed_per_source",
     "contained_duplicates_removed", "cleaned_and_deduplicated", "cleaning_audit_with_near_duplicates", "batch_labeller",
-    "labeller_out_of_quota",
+    "labeller_out_of_quota", "near_duplicates_of_one_opening",
 }
 QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 

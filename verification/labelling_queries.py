@@ -160,7 +160,7 @@ def labeller_out_of_quota(spark, sf):
             raise RuntimeError("Quota exceeded")
         return "[" + ",".join(f'{{"id": {i}, "label": "CLEAN"}}' for i in range(len(texts))) + "]"
 
-    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), "text").repartition(6, "seq").sortWithinPartitions("seq")
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), "text").sortWithinPartitions("seq")
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # of a row in its task
     answered = L.apply_labeller(rows.withColumn("place", place), labeller, "Service", 25)
     expected = F.when(F.col("place") < 50, "").when(F.col("place") < 75, "Quota exceeded").otherwise("quota_exhausted_not_called")

@@ -67,11 +67,6 @@ def labelled_comments(spark: SparkSession, sf: str, time: bool = False) -> DataF
     return comments(spark, sf, time).filter(F.col("label").isNotNull())
 
 
-def cores(spark: SparkSession) -> int:
-    """Partitions for text work on the test tables, which are files of one row group."""
-    return spark.sparkContext.defaultParallelism
-
-
 def quoted(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
