@@ -182,3 +182,16 @@ def test_bitmaps_bound_what_two_texts_differ_in():
         assert differing <= len(a) + len(b) - 2 * lcs(a, b)
         missing = sum(((x & ~y) & (1 << 64) - 1).bit_count() for x, y in zip(longs[0][4:], longs[1][4:]))
         assert missing <= len(set(a.split()) - set(b.split()))
+
+
+def test_tiles_of_a_loose_threshold_equal_the_scores(monkeypatch):
+    """With a low threshold rare tokens and trigrams choose nothing; pairs meet by tiles, by arrays or one by one."""
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choice("abcdefghijé") for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    texts = sorted({" ".join(sorted(set(t.split()))) for t in near_texts(rng, 60, ["hi all"], vocabulary)})
+    for threshold, few in ((70, 1), (70, 1000), (95, 1), (50, 24)):
+        monkeypatch.setattr(ND, "_FEW", few)
+        tile = ND.Tile(np.arange(len(texts)), texts, threshold)
+        for i, t in enumerate(texts[:-1]):
+            found, unsure = tile.similar_to(t, np.arange(i + 1, len(texts)))
+            assert set(found) == {j for j in range(i + 1, len(texts)) if token_set_score(t, texts[j]) >= threshold} and not len(unsure)
