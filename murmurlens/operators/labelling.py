@@ -12,9 +12,11 @@ from pyspark.sql.types import ArrayType, StructField, StructType
 
 from murmurlens.config import LABEL_ERROR, LABEL_INSTRUCTIONS, LABELS, QUOTA_MARKERS, VIETNAMESE, TextConfig
 from murmurlens.functions.common import computed_once, let
+from murmurlens.functions.predicates import is_quota_error
 from murmurlens.functions.scoring import toxic_score
 from murmurlens.functions.tokens import terms
 from murmurlens.operators.dedup import number_batches
+from murmurlens.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -134,6 +136,32 @@ def apply_labeller(df: DataFrame, labeller: Labeller, labelled_by: str, size: in
     return with_provenance(labelled, labelled_by, F.col("__error")).drop("__error")
 
 
+def apply_labeller_in_order(df: DataFrame, labeller: Labeller, labelled_by: str, size: int = 25, text_col: str = "text",
+                            order: str = "seq", first: int = 40) -> DataFrame:
+    """As :func:`apply_labeller`, for a service with one quota for the whole table.
+
+    Batches of ``size`` rows go out in ``order``, in waves: ``first`` batches in one
+    task, then twice as many in two tasks, and so on.  Once a wave meets the quota
+    no later one is sent; its rows are marked ``NOT_CALLED``.
+    """
+    numbered = number_batches(df, size, (), order)
+    last = numbered.agg(F.max("batch_id").alias("b")).first()["b"]
+    waves, start, stop = [], 0, first
+    while True:
+        wave = numbered.filter((F.col("batch_id") >= start) & (F.col("batch_id") < stop))
+        wave = wave.repartitionByRange((stop - start) // first, "batch_id").sortWithinPartitions("batch_id", "pos")
+        waves.append(materialise(apply_labeller(wave.drop("batch_id", "pos"), labeller, labelled_by, size, text_col), "wave"))
+        if last is None or stop > last or not waves[-1].filter(is_quota_error(F.col("label_error"))).isEmpty():
+            break
+        start, stop = stop, stop + 2 * (stop - start)
+    unsent = numbered.filter(F.col("batch_id") >= stop).drop("batch_id", "pos", "label_error", "labeled_by")
+    unsent = with_provenance(unsent.withColumn("label", F.lit(LABEL_ERROR)), labelled_by, F.lit(NOT_CALLED))
+    out = waves[0]
+    for rows in [*waves[1:], unsent]:
+        out = out.unionByName(rows)
+    return out
+
+
 def validate_labels(df: DataFrame, show: int = 10) -> None:
     """Raise if a filled label is not in the domain; the first few are shown."""
     bad = df.filter((F.col("label") != "") & ~F.col("label").isin(*LABELS))

@@ -233,3 +233,17 @@ def test_analysis_bundle(spark):
     assert terms.word_counts(df, tokenizer=tokenizer).count() == 5
     constant = spark.createDataFrame([(1, 2.0), (1, 3.0)], "n_chars int, toxic_score double")
     assert stats.length_score_correlation(constant).first()["correlation"] is None
+
+
+def test_one_quota_for_all_tasks(spark):
+    def labeller(texts):
+        if any(t == "t50" for t in texts):
+            raise RuntimeError("Quota exceeded")
+        return "[" + ",".join(f'{{"id": {i}, "label": "CLEAN"}}' for i in range(len(texts))) + "]"
+
+    rows = spark.range(0, 300, 1, 6).select(F.col("id").alias("seq"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    got = {r["seq"]: r["label_error"] for r in L.apply_labeller_in_order(rows, labeller, "Service", 10, first=2).collect()}
+    # waves of batches 0-1, 2-5 and, not sent, the rest
+    assert {i for i, e in got.items() if e == ""} >= set(range(50))
+    assert {i for i, e in got.items() if e == "Quota exceeded"} == set(range(50, 60))
+    assert {i for i, e in got.items() if e == "quota_exhausted_not_called"} == set(range(60, 300)) and len(got) == 300
