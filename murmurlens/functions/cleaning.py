@@ -84,8 +84,8 @@ def drop_urls(text: Column) -> Column:
 
 
 def drop_emails(text: Column) -> Column:
-    """The rule always takes a whole run of non-blanks, so it is tried once per run."""
-    return F.regexp_replace(text, EMAIL, " ")
+    """The rule always takes a whole run of non-blanks, so it is tried once per run, and only in texts with an ``@``."""
+    return _where(text, lambda t: t.contains("@"), lambda t: F.regexp_replace(t, EMAIL, " "))
 
 
 def drop_phones(text: Column) -> Column:
@@ -99,8 +99,7 @@ def _where(text: Column, possible: Callable[[Column], Column], change: Callable[
 def _drop_contacts(lowered: Column) -> Column:
     """URLs, e-mails, phones; a substring test spares most texts each pattern."""
     out = _where(lowered, lambda t: t.contains("http") | t.contains("www."), drop_urls)
-    out = _where(out, lambda t: t.contains("@"), drop_emails)
-    return _where(out, lambda t: t.contains("0") | t.contains("+84"), drop_phones)
+    return _where(drop_emails(out), lambda t: t.contains("0") | t.contains("+84"), drop_phones)
 
 
 def drop_emoji(text: Column) -> Column:
