@@ -42,3 +42,15 @@ def test_as_read_whole_with_small_ranges(spark, tmp_path):
 def test_header_only(spark, tmp_path):
     written(tmp_path / "none.csv", [])
     assert read_split_csv(spark, str(tmp_path / "none.csv")).count() == 0
+
+
+def test_query_writes_by_as_many_tasks_as_read(spark, tmp_path, monkeypatch):
+    from verification import source_queries
+
+    written = str(tmp_path / "csv")
+    monkeypatch.setattr(source_queries, "staging_path", lambda *_: written)
+    docs = spark.range(0, 40, 1, 4).selectExpr("id AS doc_id", "concat('a, \"b\"\\n', id) AS text", "'src' AS source")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = source_queries.csv_read_in_ranges(spark, str(tmp_path)).collect()
+    assert {r["comment_id"]: r["text"] for r in got} == {str(i): f'say "yes, a, "b"\n{i}' for i in range(40)} and len(got) == 40
+    assert len(list((tmp_path / "csv").glob("*.csv"))) > 1

@@ -44,11 +44,11 @@ _SAID = """'say "yes, ' || text"""
 @query("csv_read_in_ranges", f"""
 SELECT CAST(doc_id AS VARCHAR) AS comment_id, {sql_strip(_SAID)} AS text, source, 'collected' AS split FROM documents""")
 def csv_read_in_ranges(spark, sf):
-    """One file with quotes, commas and line breaks in its fields, read by as many tasks as it has ranges."""
+    """Files with quotes, commas and line breaks in their fields, each read by as many tasks as it has ranges."""
     path = staging_path(spark, "csv")
     said = F.concat(F.lit('say "yes, '), F.col("text"))
     docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("comment_id"), said.alias("text"), "source")
-    C.csv_options(docs.coalesce(1).write).csv(path)
+    C.csv_options(docs.write).csv(path)
     return C.normalise_platform(split_csv.read_split_csv(spark, path), "youtube").select("comment_id", "text", "source", "split")
 
 
