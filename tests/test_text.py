@@ -205,3 +205,11 @@ def test_redirects_of_any_depth(spark):
 def test_times_out_of_range_are_null(spark):
     df = spark.createDataFrame([(1e15,), (1e20,), (float("nan"),), (None,), (0.0,), (1700000000.0,)], "t double")
     assert [r["x"] for r in df.select(K.epoch_to_iso(F.col("t")).alias("x")).collect()] == [None] * 5 + ["2023-11-14T22:13:20+00:00"]
+
+
+def test_email_rule_runs_only_on_texts_with_an_at(spark):
+    texts = ["mail me a.b@c.de now", "no mail here", "@", None, "a@b x@y.z"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    cleaned = df.select(N.drop_emails(F.col("t")).alias("t"))
+    assert [r["t"] for r in cleaned.collect()] == ["mail me   now", "no mail here", "@", None, "a@b  "]
+    assert "contains(" in cleaned._jdf.queryExecution().optimizedPlan().toString().lower()
