@@ -1,4 +1,4 @@
-"""Document fingerprints: invertible Bloom lookup sketches of paragraphs, in DataFrame operations only.
+"""Document fingerprints: invertible Bloom lookup sketches of paragraphs.
 
 A text of any length is cut by its content (``content_digests``): at line ends and after
 words whose hash meets a condition.  An edit so changes the paragraphs it touches and no
@@ -14,6 +14,10 @@ many blocks each time, always with other hashes.  Digests that differ are so
 recovered without either text, and the likeness of two texts is the Jaccard index of
 their digests.
 
+Texts are cut, hashed and brought together by DataFrame operations.  Sketches of many
+documents are filled and peeled at once on arrays (``_Sketches``, in Arrow batches); the functions of
+columns (``sketch``, ``subtract``, ``peel``, ``difference``) give the same of single values.
+
 Null counts as the empty text; it has no digests and is like another empty text (1).
 Equal texts have equal fingerprints.  For neighbours, documents are ordered by id, nulls
 last, then by the text's hash; repeated rows are one document and get equal rows.  The
@@ -23,14 +27,16 @@ looked at.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from murmurlens.functions.common import computed_once, let
 from murmurlens.session import materialise
 
-from .common import LAST_ID
+from .common import LAST_ID, ship_package
 
 #: One word in so many ends a paragraph.
 WORDS = 4
@@ -44,6 +50,8 @@ BLOCK_CELLS = (6, 12, 20)
 BLOCK_LOAD = 5
 #: Attempts with twice the blocks each; one of them has room to spare for any text.
 ATTEMPTS = 16
+#: Digests whose sketches are worked on at once.
+SLICE = 200_000
 
 
 def content_digests(text: Column) -> Column:
@@ -190,6 +198,142 @@ def spelt(cells: Column) -> Column:
     return F.lower(F.array_join(F.transform(cells, lambda c: F.concat_ws(".", F.hex(c["n"]), F.hex(c["d"]), F.hex(c["h"]))), ","))
 
 
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (
+    0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * _P2
+    x = (x ^ (x >> np.uint64(29))) * _P3
+    return x ^ (x >> np.uint64(32))
+
+
+def _hashed(digests: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """``xxhash64(digest, salt)``, signed, and ``xxhash64(digest, salt, 1)``."""
+    with np.errstate(over="ignore"):
+        def int_more(number: int, h: np.ndarray) -> np.ndarray:
+            return _mixed(_turned((h + _P5 + np.uint64(4)) ^ (np.uint64(number) * _P1), 23) * _P2 + _P3)
+
+        d = digests.view(np.uint64)
+        first = _mixed(_turned((np.uint64(42) + _P5 + np.uint64(8)) ^ (_turned(d * _P2, 31) * _P1), 27) * _P1 + _P4)
+        h = int_more(salt, first)
+        return h.view(np.int64), int_more(1, h).view(np.int64)
+
+
+class _Sketches:
+    """Sketches of ``n`` sets of digests: counts, digests and checks of cells, ``3 * cells`` for each."""
+
+    def __init__(self, n: int, cells: int, salt: int):
+        self.n, self.cells, self.salt = n, cells, salt
+        self.count, self.digest, self.check = (np.zeros(n * 3 * cells, dtype=np.int64) for _ in range(3))
+
+    def add(self, of: np.ndarray, digests: np.ndarray, signs: np.ndarray) -> None:
+        h, check = _hashed(digests, self.salt)
+        for part in range(3):
+            at = of * (3 * self.cells) + (h >> np.int64(20 * part)) % self.cells + part * self.cells
+            np.add.at(self.count, at, signs)
+            np.bitwise_xor.at(self.digest, at, digests)
+            np.bitwise_xor.at(self.check, at, check)
+
+    def less(self, other: _Sketches) -> _Sketches:
+        out = _Sketches(self.n, self.cells, self.salt)
+        out.count, out.digest, out.check = self.count - other.count, self.digest ^ other.digest, self.check ^ other.check
+        return out
+
+    def peel(self) -> np.ndarray:
+        """How many digests each difference gives, -1 where some cells can't be resolved; the sketches are used up."""
+        found = np.zeros(self.n, dtype=np.int64)
+        for _ in range(self.cells):
+            at = np.flatnonzero(np.abs(self.count) == 1)
+            at = at[self.check[at] == _hashed(self.digest[at], self.salt)[1]]
+            if not len(at):
+                break
+            # a digest may stand alone in several of its cells
+            of, digests, signs = at // (3 * self.cells), self.digest[at], self.count[at]
+            order = np.lexsort((signs, digests, of))
+            of, digests, signs = of[order], digests[order], signs[order]
+            new = np.r_[True, (of[1:] != of[:-1]) | (digests[1:] != digests[:-1]) | (signs[1:] != signs[:-1])]
+            of, digests, signs = of[new], digests[new], signs[new]
+            self.add(of, digests, -signs)
+            found += np.bincount(of, minlength=self.n)
+        left = ((self.count != 0) | (self.digest != 0) | (self.check != 0)).reshape(self.n, 3 * self.cells).any(axis=1)
+        return np.where(left, -1, found)
+
+
+class _Sets:
+    """Digests of consecutive documents: flat, with the document of each."""
+
+    def __init__(self, column: pa.ListArray):
+        self.digests = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+        offsets = column.offsets.to_numpy()
+        self.sizes = np.diff(offsets)
+        self.of = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.sketches = _Sketches(len(self.sizes), CELLS, 0)
+        self.sketches.add(self.of, self.digests, np.ones(len(self.digests), dtype=np.int64))
+
+    def spelt(self) -> list[str]:
+        cells = np.stack([x.view(np.uint64) for x in (self.sketches.count, self.sketches.digest, self.sketches.check)], axis=1)
+        form = ",".join(["%x.%x.%x"] * (3 * CELLS))
+        return [form % tuple(row) for row in cells.reshape(len(self.sizes), -1).tolist()]
+
+
+def _differing(left: _Sets, right: _Sets) -> np.ndarray:
+    """Numbers of digests that only one of two versions has, as ``difference`` recovers them; -1 if it can't."""
+    found = left.sketches.less(right.sketches).peel()
+    of = np.concatenate([left.of, right.of])
+    digests = np.concatenate([left.digests, right.digests])
+    signs = np.repeat([1, -1], [len(left.of), len(right.of)])
+    for attempt in range(ATTEMPTS):
+        pending = np.flatnonzero(found < 0)
+        if not len(pending):
+            break
+        blocks = np.zeros(len(found), dtype=np.int64)
+        blocks[pending] = -(-(left.sizes + right.sizes)[pending] // BLOCK_LOAD) << attempt
+        first = np.cumsum(blocks) - blocks
+        mine = found[of] < 0
+        of, digests, signs = of[mine], digests[mine], signs[mine]
+        key = (digests.view(np.uint64) >> np.uint64(33)).astype(np.int64)
+        block = first[of] + np.floor((key * blocks[of]) / (1 << 31)).astype(np.int64)
+        given = np.full(int(blocks.sum()), -1, dtype=np.int64)
+        for k, cells in enumerate(BLOCK_CELLS):
+            open_ = np.flatnonzero(given < 0)
+            place = np.full(len(given), -1, dtype=np.int64)
+            place[open_] = np.arange(len(open_))
+            inside = place[block] >= 0
+            sketches = _Sketches(len(open_), cells, attempt + 1 + ATTEMPTS * k)
+            sketches.add(place[block[inside]], digests[inside], signs[inside])
+            given[open_] = sketches.peel()
+        failed = np.bincount(np.repeat(np.arange(len(found)), blocks), weights=given < 0, minlength=len(found)) > 0
+        total = np.bincount(np.repeat(np.arange(len(found)), blocks), weights=given, minlength=len(found)).astype(np.int64)
+        done = pending[~failed[pending]]
+        found[done] = total[done]
+    return found
+
+
+def _likeness(left: _Sets, right: _Sets) -> pa.Array:
+    both, differing = left.sizes + right.sizes, _differing(left, right)
+    return pa.array(np.where(both == 0, 1.0, (both - differing) / np.maximum(both + differing, 1)), mask=(differing < 0) & (both > 0))
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints and likenesses of rows with the digests ``own, edited, next``."""
+    for batch in batches:
+        ends = sum(np.cumsum(np.diff(batch.column(n).offsets.to_numpy())) for n in ("own", "edited", "next"))
+        cuts = np.flatnonzero(np.diff(ends // SLICE, prepend=0)) if len(ends) else []
+        bounds = np.unique(np.r_[0, cuts, batch.num_rows]).tolist()
+        for lo, hi in zip(bounds, bounds[1:]):
+            part = batch.slice(lo, hi - lo)
+            own, edited, following = (_Sets(part.column(n)) for n in ("own", "edited", "next"))
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(n) for n in ("doc_id", "n_chars", "edited_sha256")), pa.array(own.spelt(), pa.string()),
+                 pa.array(edited.spelt(), pa.string()), _likeness(own, edited), _likeness(own, following)],
+                ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+
+
 def neighbours(texts: DataFrame) -> DataFrame:
     """(__id, __hash, __n, __next_id, __next_hash) of distinct documents: each with its successor, the last with the first.
 
@@ -233,13 +377,10 @@ def fingerprints_of_versions(docs: DataFrame, text: str = "text", digests: Calla
     n = F.length("__text")
     edited = F.concat(F.substring("__text", F.lit(1), n - F.col("__quarter")), F.col("__head"))
     rows = computed_once(rows.withColumn("__edited", edited), "__edited", edited)
-    values = F.struct(digests(F.col("__text")).alias("own"), digests(F.col("__edited")).alias("edited"), F.col("__next").alias("next"))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("__edited").cast("binary"), 256).alias("edited_sha256"), values.alias("__d"))
-    rows = computed_once(rows, "__d", F.col("__d"))
-    rows = rows.withColumn("__s", F.transform(F.array("__d.own", "__d.edited", "__d.next"), lambda d: sketch(d)))
-    rows = computed_once(rows, "__s", F.col("__s"))
-    own = F.col("__d.own")
-    near = [likeness(own, F.col(f"__d.{v}"), difference(own, F.col(f"__d.{v}"), F.col("__s")[0], F.col("__s")[k])) for k, v in ((1, "edited"), (2, "next"))]
-    return rows.select(
-        "doc_id", "n_chars", "edited_sha256", spelt(F.col("__s")[0]).alias("fingerprint"), spelt(F.col("__s")[1]).alias("edited_fingerprint"),
-        near[0].alias("near_edited"), near[1].alias("near_next"))
+    rows = rows.select(
+        "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("__edited").cast("binary"), 256).alias("edited_sha256"),
+        digests(F.col("__text")).alias("own"), digests(F.col("__edited")).alias("edited"), F.col("__next").alias("next"))
+    ship_package(docs.sparkSession)
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(
+        _compared, f"doc_id {id_type}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
