@@ -84,7 +84,11 @@ class LabelStore:
         )
         attempt = uuid.uuid4().hex
         # one file for each folder and task; a large folder is split, small ones share a task
-        dealt = labelled(projected).withColumn(_BUCKET, self._bucket_of(F.col("record_key"))).hint("rebalance", _BUCKET)
+        dealt = labelled(projected).withColumn(_BUCKET, self._bucket_of(F.col("record_key")))
+        if rows.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
+            dealt = dealt.hint("rebalance", _BUCKET)
+        else:  # as in a stream's batches, where the hint does nothing and each task would write to each folder
+            dealt = dealt.repartition(_BUCKET)
         dealt.write.partitionBy(_BUCKET).parquet(f"{self.path}/rows/{_ATTEMPT}={attempt}")
         before = self.versions()
         same = [v for v in before if (v.writer, v.number) == (writer, int(version))]

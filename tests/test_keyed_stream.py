@@ -78,3 +78,15 @@ def test_nothing_arrives(spark, paths):
     spark.createDataFrame([], SCHEMA).write.parquet(paths["in"])
     run(spark, paths, store)
     assert stored(store) == []
+
+
+def test_version_written_without_adaptive_planning_has_one_file_for_each_folder(spark, paths):
+    """As in a stream's batches, where the rebalance hint does nothing."""
+    store = LabelStore(spark, paths["store"], buckets=4)
+    session = spark.newSession()
+    session.conf.set("spark.sql.adaptive.enabled", "false")
+    rows = session.range(400).repartition(8).select(
+        F.col("id").alias("seq"), F.lit("CLEAN").alias("label"), F.col("id").cast("string").alias("record_key"))
+    store.append(rows, 0, "stream")
+    assert len(list(Path(paths["store"]).rglob("*.parquet"))) == 4
+    assert store.read().count() == 400
