@@ -6,6 +6,7 @@ from itertools import count
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from murmurlens.functions.common import computed_once
 from murmurlens.functions.keys import epoch_to_iso
 from murmurlens.functions.predicates import is_live_comment
 from murmurlens.session import materialise
@@ -19,6 +20,11 @@ LISTING_SCHEMA = (
     "data struct<children:array<struct<kind:string, data:struct<id:string, title:string, "
     "num_comments:bigint>>>>"
 )
+#: A node of a reply tree; what has another type is null, ``replies`` can be ``""``.
+NODE_SCHEMA = (
+    "struct<kind:string, data:struct<body:string, author:string, id:string, score:bigint, "
+    "created_utc:double, replies:variant>>"
+)
 
 
 def flatten_comment_pages(pages: DataFrame, json_col: str = "json", video_col: str = "video_id") -> DataFrame:
@@ -86,21 +92,21 @@ def flatten_reply_trees(
 
     Works level by level over the whole table: each pass opens the replies of
     the comments accepted in the pass before, so a rejected comment takes its
-    subtree with it.  Levels, with the replies still to open as variants, are
+    subtree with it; a comment's fields are taken out of it in one go.  Levels, with the replies still to open as variants, are
     written to the staging area: JSON is parsed once and the plan stays flat
     however deep the deepest tree is.  What cannot be read has no comments here
     and is in ``unreadable_json``.  ``accept(body)`` adds a
     text rule, such as the language test.
     """
     root = F.try_parse_json(json_col)
-    level = threads.select(
-        post_col, F.lit("").alias("prefix"), _children(root, "$[1].data.children").alias("children")
-    )
+    # once: Spark tests an exploded array's size first, and would parse a second time for that
+    level = computed_once(threads, "children", _children(root, "$[1].data.children")).select(
+        post_col, F.lit("").alias("prefix"), "children")
     done = []
     for depth in count():
-        data = F.col("node")
-        body = F.try_variant_get(data, "$.data.body", "string")
-        author = F.coalesce(F.try_variant_get(data, "$.data.author", "string"), F.lit(""))
+        data = F.col("node.data")
+        body = data["body"]
+        author = F.coalesce(data["author"], F.lit(""))
         live = is_live_comment(body, author)
         if accept is not None:
             live = live & accept(body)
@@ -109,18 +115,20 @@ def flatten_reply_trees(
         digits = F.col("pos").cast("string")
         segment = F.concat(F.chr(F.lit(96) + F.length(digits)), digits)
         opened = (
-            level.select(post_col, "prefix", F.posexplode("children").alias("pos", "node"))
-            .filter((F.try_variant_get(data, "$.kind", "string") == "t1") & live)
+            computed_once(
+                level.select(post_col, "prefix", F.posexplode("children").alias("pos", "node")),
+                "node", F.try_variant_get("node", "$", NODE_SCHEMA))
+            .filter((F.col("node.kind") == "t1") & live)
             .select(
                 post_col,
                 F.concat("prefix", segment).alias("path"),
                 F.lit(depth).alias("depth"),
-                F.coalesce(F.try_variant_get(data, "$.data.id", "string"), F.lit("")).alias("comment_id"),
+                F.coalesce(data["id"], F.lit("")).alias("comment_id"),
                 body.alias("text"),
                 author.alias("author"),
-                F.coalesce(F.try_variant_get(data, "$.data.score", "bigint"), F.lit(0)).alias("score"),
-                epoch_to_iso(F.try_variant_get(data, "$.data.created_utc", "double")).alias("published_at"),
-                _children(data, "$.data.replies.data.children").alias("children"),
+                F.coalesce(data["score"], F.lit(0)).alias("score"),
+                epoch_to_iso(data["created_utc"]).alias("published_at"),
+                _children(data["replies"], "$.data.children").alias("children"),
             )
         )
         opened = materialise(opened, f"replies-{depth}")

@@ -189,3 +189,14 @@ def test_store_reads_the_folders_of_the_keys_asked_for(spark, tmp_path):
     assert {"k7", "k8"} <= got and len(got) < 40
     from murmurlens.operators.dedup import anti_join_keys
     assert [r.record_key for r in anti_join_keys(asked, labels.keys_of(asked)).collect()] == ["new"]
+
+
+def test_reply_trees_are_parsed_once(spark, monkeypatch):
+    plans = []
+    kept = threads.materialise
+    monkeypatch.setattr(threads, "materialise", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df, name))
+    leaf = '{"kind": "t1", "data": {"id": "b", "body": "yes", "author": 7, "score": "many", "created_utc": 0, "replies": ""}}'
+    tree = '[{}, {"data": {"children": [{"kind": "t1", "data": {"id": "a", "body": "so", "replies": {"data": {"children": [%s]}}}}, {"kind": 1}, 5]}}]' % leaf
+    rows = threads.flatten_reply_trees(spark.createDataFrame([("p", tree), ("q", None), ("r", "no json")], "post_id string, json string")).collect()
+    assert [(r.comment_id, r.depth, r.author, r.score, r.text) for r in sorted(rows, key=lambda r: r.path)] == [("a", 0, "", 0, "so"), ("b", 1, "7", 0, "yes")]
+    assert plans[0].lower().count("parsejson") == 1
