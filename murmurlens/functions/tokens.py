@@ -57,8 +57,8 @@ def ngrams(tokens: Column, n: int) -> Column:
     if n == 2:
         return bigrams(tokens)
     grams = F.transform(
-        F.sequence(F.lit(1), F.size(tokens) - (n - 1)),
-        lambda i: F.array_join(F.slice(tokens, i, n), " "),
+        F.slice(tokens, F.lit(1), F.size(tokens) - (n - 1)),
+        lambda t, i: F.concat_ws(" ", t, *[F.get(tokens, i + k) for k in range(1, n)]),
     )
     return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
 

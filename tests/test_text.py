@@ -213,3 +213,10 @@ def test_email_rule_runs_only_on_texts_with_an_at(spark):
     cleaned = df.select(N.drop_emails(F.col("t")).alias("t"))
     assert [r["t"] for r in cleaned.collect()] == ["mail me   now", "no mail here", "@", None, "a@b  "]
     assert "contains(" in cleaned._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_long_ngrams_build_no_array_for_each_place(spark):
+    rows = spark.createDataFrame([(["a", "b", "c", "d"],), (["a", "b"],), ([],)], "t array<string>")
+    found = rows.select(T.ngrams(F.col("t"), 3).alias("g"), T.ngrams(F.col("t"), 4).alias("h"))
+    assert [tuple(r) for r in found.collect()] == [(["a b c", "b c d"], ["a b c d"]), ([], []), ([], [])]
+    assert "array_join" not in found._jdf.queryExecution().optimizedPlan().toString()
