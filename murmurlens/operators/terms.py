@@ -7,9 +7,10 @@ one row per task, and the top-k cuts never sort the vocabulary.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from murmurlens.config import LABELS, VIETNAMESE, TextConfig
 from murmurlens.functions.cleaning import split_spaces
@@ -85,6 +86,8 @@ def distinct_ngrams(counts: DataFrame) -> DataFrame:
 BROADCAST_ENTRIES = 100_000
 #: Copies of a larger lexicon that a term's rows are dealt out to.
 _SALTS = 16
+#: Hashes of a table at most, as a power of two (a byte each), and bits of one of Spark's bitmaps.
+_MOST_HASHES, _BITMAP = 20, 32768
 
 
 def lexicon_lookup(df: DataFrame, lexicon: DataFrame, config: TextConfig = VIETNAMESE,
@@ -93,17 +96,40 @@ def lexicon_lookup(df: DataFrame, lexicon: DataFrame, config: TextConfig = VIETN
 
     For lexicons too large for a literal map.  Terms meet the lexicon first and
     only hits are added up.  A lexicon of at most ``broadcast_entries`` is sent to all
-    executors, so no text is shuffled; a larger one is joined by term, each term's
-    rows dealt out to several copies of its entry, as a frequent term may be a
-    large part of all rows.
+    executors, so no text is shuffled.  Of a larger one a table of hashes is sent
+    (:func:`_hash_table`), which leaves the hits and few other terms; these are joined by
+    term, each term's rows dealt out to several copies of its entry, as a frequent
+    term may be a large part of all rows.
     """
     tokens = df.select(order, terms(F.col("text"), config).alias("tokens"))
-    candidates = tokens.select(
-        order, F.explode(F.concat("tokens", ngrams(F.col("tokens"), 2))).alias("term")
-    )
     if lexicon.limit(broadcast_entries + 1).count() <= broadcast_entries:
+        candidates = tokens.select(order, F.explode(F.concat("tokens", ngrams(F.col("tokens"), 2))).alias("term"))
         hits = candidates.join(F.broadcast(lexicon), "term")
     else:
+        known = _hash_table(lexicon, F.col("term"))
+        opens = _hash_table(lexicon.filter(F.col("term").contains(" ")), F.substring_index("term", " ", 1))
+        pairs = F.zip_with(
+            "tokens", F.slice("tokens", F.lit(2), F.greatest(F.size("tokens"), F.lit(1))),
+            lambda a, b: F.when(opens(a), F.concat(a, F.lit(" "), b)))
+        candidates = tokens.select(order, F.explode(F.concat("tokens", F.filter(pairs, lambda p: p.isNotNull()))).alias("term"))
         salted = lexicon.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-        hits = candidates.withColumn("__salt", F.pmod(F.xxhash64(order), F.lit(_SALTS)).cast("int")).join(salted, ["term", "__salt"])
+        salt = F.pmod(F.xxhash64(order), F.lit(_SALTS)).cast("int")
+        hits = candidates.filter(known(F.col("term"))).withColumn("__salt", salt).join(salted, ["term", "__salt"])
     return hits.groupBy(order).agg(F.count(F.lit(1)).alias("hits"), F.sum("weight").alias("weight"))
+
+
+def _hash_table(entries: DataFrame, value: Column) -> Callable[[Column], Column]:
+    """A test that every value of ``entries`` passes, and of other values the fewer the larger the table is for them.
+
+    A byte for each hash; the entries' hashes are gathered as bitmaps by executors.
+    """
+    # 64 hashes for an entry, within limits
+    size = 1 << min(max((64 * entries.count()).bit_length(), 16), _MOST_HASHES)
+    place = lambda v: F.pmod(F.xxhash64(v), F.lit(size))
+    places = entries.select(place(value).alias("at"))
+    parts = places.groupBy(F.floor(F.col("at") / _BITMAP).alias("part")).agg(F.bitmap_construct_agg(F.col("at") % _BITMAP).alias("bits")).collect()
+    table = np.zeros(size, dtype=np.uint8)
+    for part, bits in parts:
+        table[part * _BITMAP:(part + 1) * _BITMAP] = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), bitorder="little")
+    known = F.lit(table.tobytes())
+    return lambda v: F.substring(known, place(v).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")

@@ -247,3 +247,13 @@ def test_one_quota_for_all_tasks(spark):
     assert {i for i, e in got.items() if e == ""} >= set(range(50))
     assert {i for i, e in got.items() if e == "Quota exceeded"} == set(range(50, 60))
     assert {i for i, e in got.items() if e == "quota_exhausted_not_called"} == set(range(60, 300)) and len(got) == 300
+
+
+def test_terms_that_cannot_hit_are_not_joined_to_a_large_lexicon(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "good trash of trash " + " ".join(f"w{i}" for i in range(500))), (2, "nothing here")], "seq long, text string")
+    lexicon = spark.createDataFrame([("trash", 4), ("good trash", 7), ("trash", 1)], "term string, weight int")
+    found = terms.lexicon_lookup(rows, lexicon, broadcast_entries=0)
+    assert [tuple(r) for r in found.collect()] == [(1, 5, 17)]
+    known = terms._hash_table(lexicon, F.col("term"))
+    passing = rows.select(F.explode(F.split("text", " ")).alias("t")).filter(known(F.col("t"))).distinct().collect()
+    assert ("trash",) in [tuple(r) for r in passing] and len(passing) < 20
