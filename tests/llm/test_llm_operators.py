@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
@@ -499,13 +500,12 @@ def test_empty_tables(spark):
 
 
 def test_sketches_on_arrays_equal_those_of_columns(spark):
-    import pyarrow as pa
     rng = np.random.default_rng(4)
     shared = rng.integers(-(1 << 62), 1 << 62, 300)
     sides = [(shared[:n].tolist(), shared[m:n + 40].tolist()) for n, m in ((0, 0), (1, 0), (5, 2), (60, 3), (250, 200), (0, 30))]
     rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(sides)], "i int, a array<bigint>, b array<bigint>").coalesce(1)
-    left, right = fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b"))
-    wanted = rows.select("i", fingerprints.spelt(left).alias("s"), F.size(fingerprints.difference(F.col("a"), F.col("b"), left, right)).alias("n")).orderBy("i").collect()
-    a, b = (fingerprints._Sets(pa.array(x, pa.list_(pa.int64()))) for x in zip(*sides))
+    left, right = P.sketch(F.col("a")), P.sketch(F.col("b"))
+    wanted = rows.select("i", P.spelt(left).alias("s"), F.size(P.difference(F.col("a"), F.col("b"), left, right)).alias("n")).orderBy("i").collect()
+    a, b = (P._Sets(pa.array(x, pa.list_(pa.int64()))) for x in zip(*sides))
     assert a.spelt() == [r.s for r in wanted]
-    assert fingerprints._differing(a, b).tolist() == [r.n for r in wanted] == [len(set(x) ^ set(y)) for x, y in sides]
+    assert P._differing(a, b).tolist() == [r.n for r in wanted] == [len(set(x) ^ set(y)) for x, y in sides]
