@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from murmurlens.functions.common import computed_once, let
 from murmurlens.session import materialise
 
-from .common import LAST_ID, ship_package
+from .common import ship_package
 
 #: One word in so many ends a paragraph.
 WORDS = 4
@@ -320,7 +320,7 @@ def _likeness(left: _Sets, right: _Sets) -> pa.Array:
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fingerprints and likenesses of rows with the digests ``own, edited, next``."""
+    """Fingerprints and likenesses of rows with the digests ``own, edited, next``; ``copies`` stay."""
     for batch in batches:
         ends = sum(np.cumsum(np.diff(batch.column(n).offsets.to_numpy())) for n in ("own", "edited", "next"))
         cuts = np.flatnonzero(np.diff(ends // SLICE, prepend=0)) if len(ends) else []
@@ -330,30 +330,33 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, edited, following = (_Sets(part.column(n)) for n in ("own", "edited", "next"))
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(n) for n in ("doc_id", "n_chars", "edited_sha256")), pa.array(own.spelt(), pa.string()),
-                 pa.array(edited.spelt(), pa.string()), _likeness(own, edited), _likeness(own, following)],
-                ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+                 pa.array(edited.spelt(), pa.string()), _likeness(own, edited), _likeness(own, following), part.column("copies")],
+                ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "copies"])
 
 
-def neighbours(texts: DataFrame) -> DataFrame:
-    """(__id, __hash, __n, __next_id, __next_hash) of distinct documents: each with its successor, the last with the first.
+#: A document: whether it has no id, its id, its text's hash.
+KEY = ("__none", "__id", "__hash")
+
+
+def neighbours(rows: DataFrame) -> DataFrame:
+    """Distinct documents (``KEY``) with ``__n`` characters and how often they come (``__copies``): each with its successor (``next__*``), the last with the first.
 
     Rows are ordered by ranges; within a range the successor is the next row, at
     its end the first row of the next range.  Only the ranges' first rows, as
     many as there are partitions, meet in one task.
     """
-    spark = texts.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = texts.select("__id", "__hash", F.length("__text").alias("__n")).distinct()
-    ranged = materialise(rows.repartitionByRange(parts, "__id", "__hash").withColumn("__part", F.spark_partition_id()), "fingerprint-order")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.groupBy(*KEY).agg(F.min(F.length("__text")).alias("__n"), F.count(F.lit(1)).alias("__copies"))
+    ranged = materialise(rows.repartitionByRange(parts, *KEY).withColumn("__part", F.spark_partition_id()), "fingerprint-order")
     # few rows, whose order decides where a range goes on
-    heads = ranged.groupBy("__part").agg(F.min(F.struct("__id", "__hash")).alias("head"))
+    heads = ranged.groupBy("__part").agg(F.min(F.struct(*KEY)).alias("head"))
     order = Window.orderBy("__part")
     heads = heads.select("__part", F.coalesce(F.lead("head").over(order), F.first("head").over(order)).alias("head"))
-    inside = Window.partitionBy("__part").orderBy("__id", "__hash")
-    following = F.lead(F.struct("__id", "__hash")).over(inside)
+    inside = Window.partitionBy("__part").orderBy(*KEY)
+    following = F.lead(F.struct(*KEY)).over(inside)
     with_next = ranged.select("*", following.alias("__following")).join(F.broadcast(heads), "__part")
     following = F.coalesce("__following", "head")
-    return with_next.select("__id", "__hash", "__n", following["__id"].alias("__next_id"), following["__hash"].alias("__next_hash"))
+    return with_next.select(*KEY, "__n", "__copies", *(following[k].alias(f"next{k}") for k in KEY))
 
 
 def fingerprints_of_versions(docs: DataFrame, text: str = "text", digests: Callable[[Column], Column] = content_digests) -> DataFrame:
@@ -363,24 +366,26 @@ def fingerprints_of_versions(docs: DataFrame, text: str = "text", digests: Calla
     as many (or all) of the next document.  doc_id, n_chars, edited_sha256,
     fingerprint, edited_fingerprint, near_edited, near_next.
     """
+    id_type = docs.schema["doc_id"].dataType
     raw = F.coalesce(F.col(text), F.lit(""))
-    texts = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).cast("long").alias("__id"), raw.alias("__text"), F.xxhash64(raw).alias("__hash"))
-    chain = materialise(neighbours(texts), "fingerprint-neighbours")
+    rows = docs.select(F.col("doc_id").isNull().alias("__none"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("__id"), F.xxhash64(raw).alias("__hash"), raw.alias("__text"))
+    chain = materialise(neighbours(rows), "fingerprint-neighbours")
+    # every text is shuffled once: all that follows is dealt out by the same key
+    texts = rows.dropDuplicates(list(KEY))
     # what a document needs of the next one: the start of its text and its digests
-    wanted = chain.select(F.col("__next_id").alias("__id"), F.col("__next_hash").alias("__hash"), F.col("__id").alias("__to_id"), F.col("__hash").alias("__to_hash"), "__n")
-    one = texts.select("__id", "__hash", "__text").join(wanted.hint("shuffle_hash"), ["__id", "__hash"])
-    sent = one.select(
-        F.col("__to_id").alias("__id"), F.col("__to_hash").alias("__hash"), F.floor(F.col("__n") / 4).cast("int").alias("__quarter"),
-        F.substring("__text", F.lit(1), F.floor(F.col("__n") / 4).cast("int")).alias("__head"), digests(F.col("__text")).alias("__next"))
-    sent = sent.dropDuplicates(["__id", "__hash"])
-    rows = texts.join(sent.hint("shuffle_hash"), ["__id", "__hash"])
+    wanted = chain.select(*(F.col(f"next{k}").alias(k) for k in KEY), *(F.col(k).alias(f"to{k}") for k in KEY), "__n", "__copies")
+    quarter = F.floor(F.col("__n") / 4).cast("int")
+    sent = texts.join(wanted.hint("shuffle_hash"), list(KEY)).select(
+        *(F.col(f"to{k}").alias(k) for k in KEY), "__copies", quarter.alias("__quarter"),
+        F.substring("__text", F.lit(1), quarter).alias("__head"), digests(F.col("__text")).alias("__next"))
+    both = texts.join(sent.hint("shuffle_hash"), list(KEY))
     n = F.length("__text")
     edited = F.concat(F.substring("__text", F.lit(1), n - F.col("__quarter")), F.col("__head"))
-    rows = computed_once(rows.withColumn("__edited", edited), "__edited", edited)
-    rows = rows.select(
-        "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("__edited").cast("binary"), 256).alias("edited_sha256"),
-        digests(F.col("__text")).alias("own"), digests(F.col("__edited")).alias("edited"), F.col("__next").alias("next"))
+    both = computed_once(both.withColumn("__edited", edited), "__edited", edited)
+    both = both.select(
+        F.when(~F.col("__none"), F.col("__id")).cast(id_type).alias("doc_id"), n.cast("long").alias("n_chars"), F.sha2(F.col("__edited").cast("binary"), 256).alias("edited_sha256"),
+        digests(F.col("__text")).alias("own"), digests(F.col("__edited")).alias("edited"), F.col("__next").alias("next"), F.col("__copies").alias("copies"))
     ship_package(docs.sparkSession)
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(
-        _compared, f"doc_id {id_type}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    found = both.mapInArrow(
+        _compared, f"doc_id {id_type.simpleString()}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, copies bigint")
+    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).drop("copies", "__copy")

@@ -64,6 +64,15 @@ def test_op4_takes_the_likeness_of_content_digests(spark):
     assert len(got) == len(want) and all(r.near_next == pytest.approx(want[r.doc_id]) for r in got)
 
 
+def test_op4_shuffles_the_texts_once(spark):
+    docs = documents(spark, [(i, f"text {i} of many words, and again {i}") for i in range(60)] + [(None, "no id"), (5, "text 5 of many words, and again 5")])
+    df = P.fingerprints_of_versions(docs)
+    assert len(df.collect()) == 62
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    # one reading of the texts is the other's exchange
+    assert "ReusedExchange" in plan
+
+
 # ---- 1: substring dedup -------------------------------------------------------
 def texts_of_equal_hash_starts(n):
     """Different texts of 21 to 40 words, some of which agree in the first 24 bits of Spark's hash."""
