@@ -195,3 +195,41 @@ def test_tiles_of_a_loose_threshold_equal_the_scores(monkeypatch):
         for i, t in enumerate(texts[:-1]):
             found, unsure = tile.similar_to(t, np.arange(i + 1, len(texts)))
             assert set(found) == {j for j in range(i + 1, len(texts)) if token_set_score(t, texts[j]) >= threshold} and not len(unsure)
+
+
+def chained_texts():
+    """One opening over many buckets: texts that grow by a word, so that each is contained in the next, and unlike ones."""
+    rng = random.Random(12)
+    texts, grown = [], "same start"
+    for i in range(60):
+        grown += f" w{i}" if i % 3 else f" longerword{i}"
+        texts.append(grown)
+    texts += ["same start " + " ".join(f"x{rng.randrange(400)}" for _ in range(rng.randrange(2, 60))) for _ in range(60)]
+    texts += [t + " more" for t in texts[:20]] + ["other start " + t for t in texts[:30]]
+    rng.shuffle(texts)
+    return [(i, t, f"s{i % 2}") for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("threshold, cell, tile", [(100, 1, 4096), (90, 3000, 4096), (100, 3000, 8)])
+def test_cells_of_any_size_equal_the_sequential_pass(spark, monkeypatch, threshold, cell, tile):
+    monkeypatch.setattr(ND, "_CELL_CHARS", cell)
+    monkeypatch.setattr(ND, "_TILE", tile)
+    rows = chained_texts()
+    df = spark.createDataFrame(rows, "seq long, text string, source string")
+    kept = ND.drop_near_duplicates(df, threshold, frontier=4096 if tile > 8 else 60).collect()
+    assert {r.seq for r in kept} == sequential(rows, threshold)
+
+
+def test_a_text_is_shipped_once_to_its_cell(spark):
+    rows = [(i, "one opening " + " ".join(f"w{i}x{k}" for k in range(3 + i % 40)), "s") for i in range(200)]
+    nodes = ND._nodes(spark.createDataFrame(rows, "seq long, text string, source string"), "text", "seq", ())
+    sent = []
+
+    def counted(left, right, meetings, by_cells=ND._by_cells):
+        sent.append(by_cells(left, right, meetings))
+        return sent[-1]
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ND, "_by_cells", counted)
+        ND._pairs(nodes, nodes, 95, False).collect()
+    assert sent[0].count() == nodes.count() == 200
