@@ -357,7 +357,10 @@ def _edges(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     sure = pairs.filter("sure").select("a", "b")
     if unsure.isEmpty():
         return sure
-    side = lambda n: nodes.select(F.col("id").alias(n), F.split("tokens", " ").alias(f"tokens_{n}"))
+    # few texts are asked for; the others stay where they are
+    ends = materialise(unsure.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
+    texts = materialise(nodes.select("id", "tokens").join(ends, "id", "left_semi"), "texts")
+    side = lambda n: texts.select(F.col("id").alias(n), F.split("tokens", " ").alias(f"tokens_{n}"))
     reach = unsure.join(side("a"), "a").join(side("b"), "b")
     return sure.unionByName(similar_pairs(reach, "tokens_a", "tokens_b", threshold).select("a", "b"))
 

@@ -233,3 +233,21 @@ def test_a_text_is_shipped_once_to_its_cell(spark):
         patch.setattr(ND, "_by_cells", counted)
         ND._pairs(nodes, nodes, 95, False).collect()
     assert sent[0].count() == nodes.count() == 200
+
+
+def test_only_texts_of_undecided_pairs_are_fetched(spark, monkeypatch):
+    rng = random.Random(5)
+    long = ["same", "start"] + ["".join(rng.choice("abcdefghij") for _ in range(12)) for _ in range(200)]
+    near = [w[:-1] + "z" if i > 150 else w for i, w in enumerate(long)]
+    rows = [(0, " ".join(long), "s"), (1, " ".join(near), "s")]
+    rows += [(i, f"same start {i} " + "word " * i, "s") for i in range(2, 40)]
+    staged = {}
+
+    def noted(df, name, materialise=ND.materialise):
+        staged[name] = materialise(df, name)
+        return staged[name]
+
+    monkeypatch.setattr(ND, "materialise", noted)
+    df = spark.createDataFrame(rows, "seq long, text string, source string")
+    assert {r.seq for r in ND.drop_near_duplicates(df, 95).collect()} == sequential(rows, 95)
+    assert sorted(r.id for r in staged["texts"].collect()) == [0, 1]
