@@ -251,3 +251,54 @@ def test_only_texts_of_undecided_pairs_are_fetched(spark, monkeypatch):
     df = spark.createDataFrame(rows, "seq long, text string, source string")
     assert {r.seq for r in ND.drop_near_duplicates(df, 95).collect()} == sequential(rows, 95)
     assert sorted(r.id for r in staged["texts"].collect()) == [0, 1]
+
+
+def unlike(n, words, seed, length=(3, 9)):
+    """Texts of one opening whose letters are alike and whose words are not."""
+    rng = random.Random(seed)
+    return ["one opening " + " ".join("".join(rng.choice("aabcdeeefghiil") for _ in range(rng.randrange(*length))) for _ in range(words)) for _ in range(n)]
+
+
+def test_unlike_long_texts_are_not_left_to_score_pair_by_pair(spark):
+    texts = unlike(40, 420, 21)
+    texts.append(texts[0][:-1] + "z")
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    nodes = ND._nodes(spark.createDataFrame(rows, "seq long, text string, source string"), "text", "seq", ())
+    assert min(len(r.tokens) for r in nodes.collect()) > ND._LONG
+    assert {(r.a, r.b) for r in ND._pairs(nodes, nodes, 95, False).collect()} == {(0, 40)}
+
+
+@pytest.mark.parametrize("threshold, few, batch", [(70, 0, 1 << 15), (70, 0, 64), (50, 2, 256), (90, 0, 64), (95, 10**6, 64)])
+def test_pairs_of_many_texts_together_equal_the_scores(monkeypatch, threshold, few, batch):
+    """Bit rows near the diagonal only, pairs that end early, batches of any size: the same pairs."""
+    monkeypatch.setattr(ND, "_FEW", few)
+    monkeypatch.setattr(ND, "_BATCH", batch)
+    rng = random.Random(threshold + few)
+    vocabulary = ["".join(rng.choice("abcdefghijé") for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    texts = near_texts(rng, 40, ["hi all"], vocabulary) + unlike(25, 30, 4)
+    texts += [t[:90] + "é" + t[91:] for t in texts[-10:]]
+    texts = sorted({" ".join(sorted(set(t.split()))) for t in texts}, key=lambda t: rng.random())
+    ids = np.arange(len(texts)) * 3
+    found = ND._Found(ids, texts, threshold, False)
+    found.meet(np.arange(len(texts)), np.arange(len(texts)))
+    table = found.table().to_pylist()
+    assert all(r["sure"] for r in table)
+    expected = {(3 * i, 3 * j) for j in range(len(texts)) for i in range(j) if token_set_score(texts[i], texts[j]) >= threshold}
+    assert {(r["a"], r["b"]) for r in table} == expected and len(table) == len(expected)
+
+
+def test_a_bucket_with_much_work_is_cut_into_tiles(spark, monkeypatch):
+    monkeypatch.setattr(ND, "_CELL_WORK", 2e5)
+    dealt = []
+
+    def counted(left, right, meetings, by_tiles=ND._by_tiles):
+        dealt.append(by_tiles(left, right, meetings))
+        return dealt[-1]
+
+    monkeypatch.setattr(ND, "_by_tiles", counted)
+    texts = unlike(60, 12, 3, (5, 6))
+    texts += [t + " x" for t in texts[:15]]
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "seq long, text string, source string")
+    assert {r.seq for r in ND.drop_near_duplicates(df, 70).collect()} == sequential(rows, 70)
+    assert dealt[0].select("bl", "br", "tl", "tr").distinct().count() >= 9
