@@ -302,3 +302,9 @@ def test_a_bucket_with_much_work_is_cut_into_tiles(spark, monkeypatch):
     df = spark.createDataFrame(rows, "seq long, text string, source string")
     assert {r.seq for r in ND.drop_near_duplicates(df, 70).collect()} == sequential(rows, 70)
     assert dealt[0].select("bl", "br", "tl", "tr").distinct().count() >= 9
+
+
+def test_tokens_are_put_in_order_without_a_lambda(spark):
+    df = spark.createDataFrame([("b a é b 😀 ￿ a  ab",), ("",), (None,)], "t string").select(token_set(F.col("t")).alias("s"))
+    assert [r.s for r in df.collect()] == [["a", "ab", "b", "é", "￿", "😀"], [], None]
+    assert "array_sort" not in df._jdf.queryExecution().optimizedPlan().toString()
